@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from citeloom.llm import bpe, secrets
+from citeloom.llm import bpe, packing, secrets
 from citeloom.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` in sequences of at most 1024 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` to ids and back, by the ranks of a public vocabulary."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +32,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_packing": op3_packing,
         "op6_byte_bpe": op6_byte_bpe,
     }
 
