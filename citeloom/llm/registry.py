@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citeloom.llm import bpe, packing, secrets
+from citeloom.llm import bpe, packing, quality, secrets
 from citeloom.llm.common import table
 
 
@@ -29,11 +30,26 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path, public_tokenizers.PATTERN))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text of ``documents``, learnt from two folds of ``labels.quality``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = quality.fold("doc_id", 3)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", fold != 1)
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id",
+        (fold == 1).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op3_packing": op3_packing,
         "op6_byte_bpe": op6_byte_bpe,
+        "op8_quality": op8_quality,
     }
 
 
