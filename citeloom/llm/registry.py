@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citeloom.llm import bpe, packing, quality, secrets
+from citeloom.llm import bpe, packing, quality, secrets, simhash
 from citeloom.llm.common import table
 
 
@@ -30,6 +30,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path, public_tokenizers.PATTERN))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts of ``documents`` whose fingerprints chain by 2 or fewer differing bits."""
+    found = simhash.group(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text of ``documents``, learnt from two folds of ``labels.quality``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op3_packing": op3_packing,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_quality": op8_quality,
     }
 
