@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,16 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are no longer held.
+
+    Spark removes them when the driver's collector finds their frames unused;
+    between the steps of a long job this asks for that.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``max_bytes`` of ``column``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citeloom.llm import bpe, packing, quality, secrets, simhash
+from citeloom.llm import bpe, packing, quality, secrets, simhash, suffix
 from citeloom.llm.common import table
 
 
@@ -50,6 +50,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strings of 400 bytes that occur again leave of every text of ``documents``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix.strip(docs, 400)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -57,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_quality": op8_quality,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
