@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citeloom.llm import bpe, packing, quality, secrets, simhash, suffix
+from citeloom.llm import bpe, chat, packing, quality, secrets, simhash, suffix
 from citeloom.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations`` as a linked, validated and serialised tool message."""
+    return chat.link(chat.from_turns(table(spark, sf_dir, "conversations")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` to ids and back, by the ranks of a public vocabulary."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op3_packing": op3_packing,
+        "op5_chat_format": op5_chat_format,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_quality": op8_quality,
@@ -76,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": chat.ORACLE}
