@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citeloom.llm import bpe, chat, packing, quality, secrets, simhash, suffix
+from citeloom.llm import ann, bpe, chat, egojoin, packing, quality, secrets, simhash, suffix
 from citeloom.llm.common import table
 
 
@@ -18,11 +18,21 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of ``embeddings`` that chain by cosine 0.9 or more."""
+    return egojoin.group(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` in sequences of at most 1024 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of ``embeddings`` found for each row whose id is divisible by 50."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of ``conversations`` as a linked, validated and serialised tool message."""
     return chat.link(chat.from_turns(table(spark, sf_dir, "conversations")))
@@ -72,7 +82,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_packing": op3_packing,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_chat_format": op5_chat_format,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
