@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citeloom.llm import ann, bpe, chat, egojoin, packing, quality, secrets, simhash, suffix
+from citeloom.llm import ann, bpe, chat, egojoin, lm, packing, quality, secrets, simhash, suffix
 from citeloom.llm.common import table
 
 
@@ -65,6 +65,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` scored by models learnt from four folds of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.fold("doc_id", 5) == 1
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = lm.score(docs, path, public_tokenizers.PATTERN, ~F.coalesce(held_out, F.lit(False)))
+    return found.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What strings of 400 bytes that occur again leave of every text of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_quality": op8_quality,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
