@@ -21,12 +21,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import column_texts, materialize, sliced
 from citeloom.llm.units import UnitCache
 
+# The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_PRINTABLE = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
 GROUP = 500  # remainders of one length numbered together
 
 
@@ -36,14 +41,22 @@ def _worker(path: str) -> UnitCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+
+    split, model = regex.compile(PATTERN), tokenizer.model
+    known: dict[str, bytes] = {}
+
+    def piece(text: str) -> bytes:
+        """Ids of one piece; the model reads bytes written as printable characters."""
+        found = known.get(text)
+        if found is None:
+            if len(known) > 250_000:
+                known.clear()
+            printable = text.encode().decode("latin-1").translate(_PRINTABLE)
+            found = known[text] = np.array([t.id for t in model.tokenize(printable)], dtype="<u4").tobytes()
+        return found
 
     def encode(fresh: list[str]) -> list[bytes]:
-        out = []
-        for s in range(0, len(fresh), 20_000):
-            found = tokenizer.encode_batch_fast(fresh[s : s + 20_000], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-        return out
+        return [b"".join(map(piece, split.findall(u))) for u in fresh]
 
     return UnitCache(encode)
 

@@ -32,7 +32,7 @@ class UnitCache:
     At ``limit`` units the cache starts again empty, which bounds its memory.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000) -> None:
         self.encode, self.limit, self.known = encode, limit, {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
