@@ -6,6 +6,11 @@ span a proper subspace, so some nonzero v is orthogonal to all of them, and its
 mask hides every difference: each pair within the radius shares a masked value
 in at least one table.
 
+That guarantee costs 2^(radius+1) tables. ``group`` therefore takes a wider
+radius with ``sketches``: tables keyed by the least of the shingles' hashes
+under several permutations, which texts share with the chance of their shingles
+overlapping, beside the covering tables of radius 2; fingerprints still decide.
+
 Defined results: null and empty texts have fingerprint zero, linked like any
 other; a text of fewer words than a shingle is one shingle; texts of any length
 are read whole; equal texts share a fingerprint and are compared once; an empty
@@ -31,18 +36,27 @@ HOT = 2048  # a table's bucket beyond this is split by a third of its free bits
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """64-bit SimHash of the word shingles of a text with A-Z lowered."""
+_ODD = np.random.default_rng(7).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a text with A-Z lowered, repeats included."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     size = min(shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     hashed = xxhash.xxh64_intdigest
-    found = [hashed(joined[s:e], 42) for s, e in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
-    octets = np.array(found, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return np.array([hashed(joined[s:e], 42) for s, e in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
+
+
+def fingerprint(found: np.ndarray) -> int:
+    """64-bit SimHash, as a signed integer: a bit is set if it is in more than half of the hashes."""
+    if not len(found):
+        return 0
+    octets = found.astype("<u8").view(np.uint8).reshape(-1, 8)
     if len(found) > 256:
         votes = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS_OF for k in range(8)])
     else:
@@ -50,17 +64,30 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(found), bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+def sketch(found: np.ndarray, number: int) -> list[int]:
+    """The least hash under each of ``number`` permutations, as signed integers; none for no hashes."""
+    if not len(found):
+        return []
+    mixed = [(found * odd) ^ (found >> np.uint64(29)) for odd in _ODD[:number]]
+    return [int(m.min().view(np.int64)) for m in mixed]
+
+
+def fingerprints(docs: DataFrame, shingle: int, sketches: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, fp, least): the text's hash, its fingerprint as a signed long, and its sketch."""
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "body"):
-            found = [fingerprint(t, shingle) for t in column_bytes(batch, "body")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            found = [hashes(t, shingle) for t in column_bytes(batch, "body")]
+            least = [sketch(x, sketches) for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([fingerprint(x) for x in found], pa.int64()), pa.array(least, pa.list_(pa.int64()))],
+                names=["id", "h", "fp", "least"],
+            )
 
     id_type = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(each, f"id {id_type}, fp long")
+    return slim.mapInArrow(each, f"id {id_type}, h long, fp long, least array<long>")
 
 
 def masks(radius: int) -> list[int]:
@@ -132,9 +159,8 @@ def near_pairs(distinct: DataFrame, radius: int) -> DataFrame:
     """(a, b) links between distinct fingerprints: chains of near pairs, as trees.
 
     ``distinct`` has a long column ``fp`` without repeats. Buckets of more than
-    HOT fingerprints are dealt again by each third of the bits their mask hides:
-    three thirds hold at most ``radius`` differences, so with radius 2 some
-    third of each near pair agrees; with more, so many parts are used.
+    HOT fingerprints are dealt again by each of ``radius + 1`` parts of the bits
+    their mask hides, one of which no near pair differs in.
     """
     parts = radius + 1
     entries, sub = [], []
@@ -143,32 +169,54 @@ def near_pairs(distinct: DataFrame, radius: int) -> DataFrame:
         hidden = [i for i in range(BITS) if not m >> i & 1]
         for p in range(parts):
             keep = sum(1 << i for i in hidden[p::parts]) | m & ((1 << BITS) - 1)
-            sub.append((v, p, keep - (1 << BITS) if keep >> (BITS - 1) else keep))
+            sub.append((v, keep - (1 << BITS) if keep >> (BITS - 1) else keep))
     tables = len(entries)
     dealt = distinct.select("fp", F.explode(F.array(*entries)).alias("e")).select("fp", "e.t", "e.k")
-    sizes = dealt.groupBy("t", "k").count().filter("count > 1")
-    full = materialize(dealt.join(sizes, ["t", "k"]))
+    full = materialize(_shared(dealt))
     finer = F.array(*[
-        F.struct(F.lit(tables + n).alias("t"), F.col("fp").bitwiseAND(F.lit(keep)).alias("k"), F.lit(v).alias("v"))
-        for n, (v, _, keep) in enumerate(sub)
+        F.struct(F.lit(tables + n).alias("t"), F.col("fp").bitwiseAND(F.lit(keep)).alias("k"), F.lit(v).alias("v")) for n, (v, keep) in enumerate(sub)
     ])
     hot = full.filter(F.col("count") > HOT).select("fp", "t", F.filter(finer, lambda s: s["v"] == F.col("t")).alias("s"))
     hot = hot.select("fp", F.explode("s").alias("e")).select("fp", "e.t", "e.k")
     rows = full.filter(F.col("count") <= HOT).select("t", "k", "fp").unionByName(hot.select("t", "k", "fp"))
+    return _linked(rows, radius)
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """Entries (t, k, fp) whose bucket holds more than one, with its ``count``."""
+    return dealt.join(dealt.groupBy("t", "k").count().filter("count > 1"), ["t", "k"])
+
+
+def _linked(rows: DataFrame, radius: int) -> DataFrame:
     rows = rows.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
     return rows.mapInArrow(lambda it: _links(it, radius), "a long, b long").distinct()
 
 
-def group(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): the least id that links of near fingerprints reach."""
-    prints = materialize(fingerprints(docs, shingle, id_col, text_col))
+def group(docs: DataFrame, shingle: int = 3, radius: int = 2, sketches: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, fp, component_id): the least id that links of near fingerprints reach.
+
+    Without ``sketches`` no link within ``radius`` is lost.
+    """
+    prints = materialize(fingerprints(docs, shingle, sketches, id_col, text_col))
     firsts = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(near_pairs(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
+    links = near_pairs(firsts.select("fp"), 2 if sketches else radius)
+    if sketches:
+        keyed = prints.select("fp", F.posexplode("least").alias("t", "k")).distinct()
+        links = links.unionByName(_linked(_shared(keyed).select("t", "k", "fp"), radius)).distinct()
+    roots = components(links).withColumnRenamed("node", "fp")
     rooted = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     found = materialize(rooted.join(least, "root").select("fp", "component_id"))
-    joined = prints.join(found, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-    return joined
+    return prints.join(found, "fp").select(F.col("id").alias(id_col), "h", "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 12, sketches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the least id."""
+    found = group(docs, shingle, radius, sketches, id_col, text_col)
+    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("h").alias("__h")).distinct()
+    hashed = docs.withColumn("__of", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = hashed.join(keep, hashed[id_col].eqNullSafe(keep["__id"]) & (hashed["__of"] == keep["__h"]), "left_semi")
+    return kept.dropDuplicates([id_col, "__of"]).drop("__of")
 
 
 def hexadecimal(fp: str = "fp"):
