@@ -49,7 +49,7 @@ def _worker(path: str) -> UnitCache:
         """Ids of one piece; the model reads bytes written as printable characters."""
         found = known.get(text)
         if found is None:
-            if len(known) > 250_000:
+            if len(known) > 400_000:
                 known.clear()
             printable = text.encode().decode("latin-1").translate(_PRINTABLE)
             found = known[text] = np.array([t.id for t in model.tokenize(printable)], dtype="<u4").tobytes()
@@ -76,19 +76,20 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return slim.mapInArrow(each, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
 
 
-def cut(tokenized: DataFrame, window: int, id_col: str = "doc_id") -> DataFrame:
-    """Per row its id, number of ids and the CRC-32 of each piece of up to ``window`` ids."""
-    row = 4 * window
+def measure(docs: DataFrame, path: str, window: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+    """(id, n, sums): per row its number of ids and the CRC-32 of each piece of up to ``window`` ids."""
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+    end, row = np.array([end_id], dtype="<u4").tobytes(), 4 * window
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
+        cache = _worker(path)
+        for batch in sliced(batches, "body", 4 << 20):
+            ids = [x + end for x in cache.texts(column_texts(batch, "body"))]
             sums = [[zlib.crc32(x[s : s + row]) for s in range(0, len(x), row)] for x in ids]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(sums, pa.list_(pa.int64()))], names=["id", "n", "sums"])
 
-    id_type = tokenized.schema[id_col].dataType.simpleString()
-    slim = tokenized.select(F.col(id_col).alias("id"), "ids")
+    id_type = slim.schema["id"].dataType.simpleString()
     return slim.mapInArrow(each, f"id {id_type}, n long, sums array<long>")
 
 
@@ -165,7 +166,7 @@ def plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
 
 
 def pack(pieces: DataFrame, window: int, id_col: str = "doc_id") -> DataFrame:
-    """Place the pieces of ``cut``'s rows: one row per piece with sequence and offset."""
+    """Place the pieces of ``measure``'s rows: one row per piece with sequence and offset."""
     pieces = materialize(pieces)
     rest = pieces.withColumn("len", (F.col("n") % window).cast("int")).filter("len > 0")
     found = rest.groupBy("len").count().collect()  # at most window - 1 rows
@@ -222,4 +223,4 @@ def pack(pieces: DataFrame, window: int, id_col: str = "doc_id") -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(cut(tokenize(docs, path, id_col, text_col), window, id_col), window, id_col)
+    return pack(measure(docs, path, window, id_col, text_col), window, id_col)
