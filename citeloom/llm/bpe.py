@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import column_texts, sliced
-from citeloom.llm.units import UnitCache
+from citeloom.llm.units import UnitCache, pieces
 
 NONE = np.int32(1 << 30)  # rank of a pair that does not merge
 
@@ -133,9 +133,9 @@ def _worker(path: str, pattern: str) -> tuple[Ranks, UnitCache]:
     ranks, split = Ranks(path), regex.compile(pattern)
 
     def encode(fresh: list[str]) -> list[bytes]:
-        cut = [split.findall(u) for u in fresh]
-        pieces = list({p for c in cut for p in c})
-        ids = dict(zip(pieces, ranks.encode([p.encode() for p in pieces])))
+        cut = [pieces(u, split) for u in fresh]
+        distinct = list({p for c in cut for p in c})
+        ids = dict(zip(distinct, ranks.encode([p.encode() for p in distinct])))
         return [b"".join(map(ids.__getitem__, c)) for c in cut]
 
     return ranks, UnitCache(encode)

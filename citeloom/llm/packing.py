@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import column_texts, materialize, sliced
-from citeloom.llm.units import UnitCache
+from citeloom.llm.units import UnitCache, pieces
 
 # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _PRINTABLE = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
+_SPACE = chr(_PRINTABLE[ord(" ")])
 GROUP = 500  # remainders of one length numbered together
 
 
@@ -40,23 +42,20 @@ def _worker(path: str) -> UnitCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    model, split = Tokenizer.from_file(path).model, regex.compile(PATTERN)
 
-    split, model = regex.compile(PATTERN), tokenizer.model
-    known: dict[str, bytes] = {}
-
-    def piece(text: str) -> bytes:
+    def ids(piece: str) -> bytes:
         """Ids of one piece; the model reads bytes written as printable characters."""
-        found = known.get(text)
-        if found is None:
-            if len(known) > 400_000:
-                known.clear()
-            printable = text.encode().decode("latin-1").translate(_PRINTABLE)
-            found = known[text] = np.array([t.id for t in model.tokenize(printable)], dtype="<u4").tobytes()
-        return found
+        if piece.isascii() and piece.isprintable():
+            printable = piece.replace(" ", _SPACE)
+        else:
+            printable = piece.encode().decode("latin-1").translate(_PRINTABLE)
+        return array("I", [t.id for t in model.tokenize(printable)]).tobytes()
 
     def encode(fresh: list[str]) -> list[bytes]:
-        return [b"".join(map(piece, split.findall(u))) for u in fresh]
+        cut = [pieces(u, split) for u in fresh]
+        known = {p: ids(p) for p in {p for c in cut for p in c}}
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
 
     return UnitCache(encode)
 

@@ -14,16 +14,31 @@ import regex
 
 UNIT = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile(r" \s|[^\S ] ")
+_MARKS = frozenset(".,;:!?")
 
 
 def units(text: str) -> list[str]:
+    """Units of a text: a bare word stands for itself after one space; after a tab the unit is as written."""
     if not text:
         return []
     if _ODD.search(text):
-        return UNIT.findall(text)
-    head, *rest = text.split(" ")
-    found = [" " + w for w in rest]
-    return [head, *found] if head else found
+        return ["\t" + u for u in UNIT.findall(text)]
+    found = text.split(" ")
+    if found[0]:
+        found[0] = "\t" + found[0]
+        return found
+    return found[1:]
+
+
+def pieces(unit: str, split: regex.Pattern) -> list[str]:
+    """The pieces that the public pattern cuts a unit in; plain words need no search."""
+    if unit[0] == " ":
+        word = unit[1:]
+        if word.isalpha():
+            return [unit]
+        if word[:-1].isalpha() and word[-1] in _MARKS:
+            return [unit[:-1], word[-1]]
+    return split.findall(unit)
 
 
 class UnitCache:
@@ -41,6 +56,7 @@ class UnitCache:
         cut = [units(t) for t in texts]
         fresh = list({u for c in cut for u in c}.difference(self.known))
         if fresh:
-            self.known.update(zip(fresh, self.encode(fresh)))
+            written = [u[1:] if u[:1] == "\t" else " " + u for u in fresh]
+            self.known.update(zip(fresh, self.encode(written)))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
