@@ -12,7 +12,7 @@ sqrt(v). The construction goes block by block:
    a repeated string; all others are settled.
 2. those starts are dealt in suffix buckets by the hash of their whole string
    and again sorted one bucket at a time: a start is repeated if its string
-   ties with a neighbour's. Ties are told by names (hashes of 96 bits), never
+   ties with a neighbour's. Ties are told by names (hashes of 80 bits), never
    by comparing long strings, so memory is that of one bucket. Before that,
    runs of starts between two break points of the text (which depend on a few
    bytes only, so copies have the same) are dealt as one string; runs that
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import column_bytes, materialize, release, sliced
 
 SLICE = 4 << 20
-DEALT = "bucket int, done boolean, h binary, g binary, many binary, ids binary, counts binary, at binary"
+DEALT = "bucket int, done boolean, h binary, g binary, many binary, ids binary, counts binary, at binary, high binary"
 FOUND = "rid long, at binary, first binary, runs binary"
 
 
@@ -144,15 +144,15 @@ def _deal(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray, rids: n
 
 
 def _row(bucket: int, done: bool, h, g, many, ids, counts, at) -> dict:
-    packed = g.astype("<u4").tobytes() if g.any() else b""
+    some = lambda x: x.astype("<u2").tobytes() if x.any() else b""  # noqa: E731  absent where all are 0
     return {
-        "bucket": bucket, "done": done, "h": h.tobytes(), "g": packed, "many": np.packbits(many).tobytes(),
-        "ids": ids.astype("<i8").tobytes(), "counts": counts.astype("<u4").tobytes(), "at": at.astype("<u4").tobytes(),
+        "bucket": bucket, "done": done, "h": h.tobytes(), "g": some(g), "many": np.packbits(many).tobytes(),
+        "ids": ids.astype("<i8").tobytes(), "counts": counts.astype("<u4").tobytes(), "at": (at & 0xFFFF).astype("<u2").tobytes(), "high": some(at >> 16),
     }
 
 
 def _dealt(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-    kinds = [("bucket", pa.int32()), ("done", pa.bool_())] + [(k, pa.binary()) for k in ("h", "g", "many", "ids", "counts", "at")]
+    kinds = [("bucket", pa.int32()), ("done", pa.bool_())] + [(k, pa.binary()) for k in ("h", "g", "many", "ids", "counts", "at", "high")]
     found = list(rows)
     if found:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in kinds], names=[k for k, _ in kinds])
@@ -172,6 +172,10 @@ def _by_doc(rid: np.ndarray, at: np.ndarray, first: np.ndarray) -> pa.RecordBatc
     )
 
 
+def _or_zeros(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, dtype="<u2").astype(np.int64) if packed else np.zeros(n, dtype=np.int64)
+
+
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort one bucket at a time; emit the positions whose name occurs more than once."""
     held: list[dict] = []
@@ -183,12 +187,13 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if not rows:
                 continue
             rid = np.repeat(read("ids", "<i8", rows), read("counts", "<u4", rows))
-            at = read("at", "<u4", rows)
+            at = read("at", "<u2", rows).astype(np.int64)
+            at |= np.concatenate([_or_zeros(r["high"], len(r["at"]) // 2) for r in rows]) << 16
             if done:
                 yield _by_doc(rid, at, np.zeros(len(at), dtype=bool))
                 continue
             h = read("h", "<u8", rows)
-            g = np.concatenate([np.frombuffer(r["g"], "<u4") if r["g"] else np.zeros(len(r["h"]) // 8, dtype="<u4") for r in rows])
+            g = np.concatenate([_or_zeros(r["g"], len(r["h"]) // 8) for r in rows])
             many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(r["h"]) // 8) for r in rows])
             order, group, sizes = _groups(h, g)
             hit = (sizes > 1) | (np.bincount(group, weights=many[order]) > 0)
@@ -234,7 +239,7 @@ def _samples(batches: Iterator[pa.RecordBatch], length: int, q: int, buckets: in
         if at:
             at, doc = np.concatenate(at), np.concatenate(doc)
             h = roll.windows(roll.prefix(data), at + offsets[doc], width)
-            yield from _dealt(_deal(h, np.zeros(len(h), dtype=np.uint32), doc, at, rids, buckets))
+            yield from _dealt(_deal(h, np.zeros(len(h), dtype=np.uint16), doc, at, rids, buckets))
 
 
 @lru_cache(maxsize=4)
@@ -283,8 +288,8 @@ def _blocks(batch: pa.RecordBatch, roll: Roller, data: np.ndarray, offsets: np.n
 
 def _names(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, width) -> tuple[np.ndarray, np.ndarray]:
     other = _roller(2)
-    g = other.windows(other.prefix(data), starts, width) >> np.uint64(32)
-    return _roller(1).windows(prefix, starts, width), g.astype(np.uint32)
+    g = other.windows(other.prefix(data), starts, width) >> np.uint64(48)
+    return _roller(1).windows(prefix, starts, width), g.astype(np.uint16)
 
 
 def _block_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
