@@ -182,10 +182,16 @@ def changed_paths(paths: Column, most: int = 40) -> Column:
     return F.slice(F.array_distinct(F.filter(clean, lambda p: (p != "") & ~F.contains(p, F.lit("\0")))), 1, most)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bag_vector(text: Column, size: int = SETTINGS.vector_size) -> Column:
     """Deterministic bag-of-words vector: tokens hashed to dimensions, scaled to length 1."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(BAG_TOKEN), 0)
     dims = F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % size)
-    counts = F.array(*[F.size(F.filter(dims, lambda d, k=k: d == k)).cast("double") for k in range(size)])
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    each = F.sequence(F.lit(0), F.lit(size - 1))
+    counts = bound(dims, lambda d: F.transform(each, lambda k: F.size(F.filter(d, lambda x: x == k)).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    return bound(counts, lambda c: bound(norm(c), lambda n: F.transform(c, lambda x: x / F.when(n == 0, 1.0).otherwise(n))))

@@ -51,7 +51,10 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 10 == 0, "doc").otherwise("pr").alias("source_type"),
         F.concat(F.when(F.col("o_orderkey") % 7 == 0, "local://x/").otherwise("https://example.org/o/"), F.col("o_orderkey").cast("string")).alias("source_url"),
         (F.col("o_totalprice") % 100 / 100).alias("confidence"),
-        F.array(F.concat(F.lit("src"), (F.col("o_custkey") % 20).cast("string")), F.concat(F.lit("src"), (F.col("o_orderkey") % 20).cast("string"), F.lit("/en"))).alias("touched_paths"),
+        F.array(
+            F.concat(F.lit("src"), (F.col("o_custkey") % 20).cast("string"), F.lit("/en/"), F.col("o_custkey").cast("string"), F.when(F.col("o_custkey") % 4 == 0, ".txt").otherwise(".md")),
+            F.concat(F.lit("src"), (F.col("o_orderkey") % 20).cast("string"), F.lit("/none")),
+        ).alias("touched_paths"),
     )
 
 
@@ -61,7 +64,8 @@ DECISIONS = """decisions AS (SELECT o_orderkey AS id, o_custkey AS repo_id, 'ord
   CASE WHEN o_orderkey % 10 = 0 THEN 'doc' ELSE 'pr' END AS source_type,
   CASE WHEN o_orderkey % 7 = 0 THEN 'local://x/' ELSE 'https://example.org/o/' END || o_orderkey::VARCHAR AS source_url,
   o_totalprice % 100 / 100 AS confidence,
-  ['src' || (o_custkey % 20)::VARCHAR, 'src' || (o_orderkey % 20)::VARCHAR || '/en'] AS touched_paths FROM orders)"""
+  ['src' || (o_custkey % 20)::VARCHAR || '/en/' || o_custkey::VARCHAR || CASE WHEN o_custkey % 4 = 0 THEN '.txt' ELSE '.md' END,
+   'src' || (o_orderkey % 20)::VARCHAR || '/none'] AS touched_paths FROM orders)"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
