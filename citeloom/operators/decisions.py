@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,38 +15,41 @@ from citeloom.functions.text import trimmed
 ITEM = "struct<topic:string,summary:string,alternativesConsidered:array<string>,confidence:string,touchedPaths:array<string>>"
 
 
-def unfenced(raw: Column) -> Column:
-    """Text without an enclosing Markdown fence."""
-    t = trimmed(raw)
-    inner = F.regexp_extract(t, r"(?is)^```(?:json)?\s*(.*?)```$", 1)
-    return F.when(t.rlike(r"(?is)^```(?:json)?\s*.*```$"), trimmed(inner)).otherwise(t)
+_FENCE = re.compile(r"^```(?:json)?\s*(.*?)```$", re.I | re.S)
+_PART = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[\]{}]', re.S)
+
+
+def balanced(raw: str) -> str:
+    """The first balanced object or array of a text without its fence; the rest of the text if it never closes."""
+    text = raw.strip()
+    if fenced := _FENCE.match(text):
+        text = fenced[1].strip()
+    begin = re.search(r"[\[{]", text)
+    if not begin:
+        return text
+    opens, depth = begin[0], 0
+    closes = "}" if opens == "{" else "]"
+    for part in _PART.finditer(text, begin.start()):
+        depth += (part[0] == opens) - (part[0] == closes)
+        if not depth:
+            return text[begin.start() : part.end()]
+    return text[begin.start() :]
 
 
 def first_json(raw: Column) -> Column:
-    """The first balanced object or array of a text, mindful of strings; the rest of the text if it never closes."""
-    text = unfenced(raw)
-    start = F.regexp_instr(text, F.lit(r"[\[{]"))
-    rest = F.when(start > 0, F.substring(text, start, F.length(text))).otherwise(F.lit(""))
-    opens = F.left(rest, F.lit(1))
-    closes = F.when(opens == "{", "}").otherwise("]")
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("end"))
-
-    def step(s: Column, ch: Column) -> Column:
-        quote = (ch == '"') & ~s["escaped"]
-        depth = s["depth"] + F.when(s["quoted"], 0).when(ch == opens, 1).when(ch == closes, -1).otherwise(0)
-        done = (s["end"] == 0) & ~s["quoted"] & (ch == closes) & (depth == 0)
-        return F.struct(
-            (s["n"] + 1).alias("n"), depth.alias("depth"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
-            (s["quoted"] & (ch == "\\") & ~s["escaped"]).alias("escaped"), F.when(done, s["n"] + 1).otherwise(s["end"]).alias("end"),
-        )
-
-    end = F.aggregate(F.filter(F.split(rest, ""), lambda c: c != ""), zero, step, lambda s: s["end"])
-    return F.when(start == 0, text).when(end > 0, F.left(rest, end)).otherwise(rest)
+    """``balanced`` of each text, batch by batch: a scan that built-in functions lack."""
+
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(balanced, na_action="ignore")
+
+    each.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(each, "string")(raw)
 
 
 def parsed(outputs: DataFrame, column: str = "raw") -> DataFrame:
     """Adds ``decisions`` (list of records, missing lists empty) and ``valid``: null and false for bad output."""
-    text = first_json(F.col(column))
+    outputs = outputs.withColumn("__json", first_json(F.col(column)))
+    text = F.col("__json")
     wrapped = F.from_json(text, f"struct<decisions:array<{ITEM}>>")["decisions"]
     listed = F.from_json(text, f"array<{ITEM}>")
     single = F.from_json(text, ITEM)
@@ -61,7 +64,7 @@ def parsed(outputs: DataFrame, column: str = "raw") -> DataFrame:
     sound = lambda d: F.coalesce(
         F.length(d["topic"]).between(1, SETTINGS.topic_chars) & (F.length(d["summary"]) >= 1) & d["confidence"].between(0.0, 1.0), F.lit(False)
     )
-    return outputs.withColumn("decisions", clean).withColumn("valid", F.coalesce(F.forall("decisions", sound), F.lit(False)))
+    return outputs.withColumn("decisions", clean).withColumn("valid", F.coalesce(F.forall("decisions", sound), F.lit(False))).drop("__json")
 
 
 def gated(decisions: DataFrame, least: float = SETTINGS.min_confidence) -> DataFrame:
