@@ -156,7 +156,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` with ``decoded``: the bytes that ``ids`` stand for (null for null ids)."""
+    """``encoded`` with ``decoded``: the bytes that ``ids`` stand for (null for null ids); such a column is replaced."""
+    encoded = encoded.drop("decoded")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _worker(path, pattern)[0].tokens.__getitem__

@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, ma
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score``, from 0 to 1."""
+    """``docs`` with ``quality_score``, from 0 to 1; a column of that name is replaced."""
+    docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the corpus
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -379,8 +379,10 @@ def covered(n: int, at: np.ndarray, runs: np.ndarray, length: int) -> np.ndarray
 def strip(docs: DataFrame, length: int = 400, text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """``docs`` with ``spans`` (start and end bytes of what repeats) and ``kept`` (the bytes left).
 
-    With ``whole_characters`` spans are narrowed to whole UTF-8 characters.
+    With ``whole_characters`` spans are narrowed to whole UTF-8 characters. Columns
+    of these names that ``docs`` had are replaced.
     """
+    docs = docs.drop("spans", "kept")
     keyed = docs.withColumn("__body", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
     keyed = keyed.withColumn("__rid", F.xxhash64(*[c for c in docs.columns if c != text_col and docs.schema[c].dataType.typeName() in ("long", "integer", "string")], "__body"))
     found = repeats(keyed.select(F.col("__rid").alias("rid"), F.col("__body").alias("body")), length)
