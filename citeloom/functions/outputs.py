@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import SPACE, changed_paths, trimmed
 
 
+# Fixed value: heading of the list of changed files.
+CHANGED = "Changed files (from git — use these for touchedPaths; do not invent paths):"
+
+
 def paths_summary(paths: Column, most: int = 40) -> Column:
     """A line for each of the first paths and how many more there are; null without any."""
     shown = F.transform(F.slice(paths, 1, most), lambda p: F.concat(F.lit("- "), p))
     more = F.when(F.size(paths) > most, F.array(F.concat(F.lit("- …and "), (F.size(paths) - most).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
-    head = F.array(F.lit("Changed files (from git — use these for touchedPaths; do not invent paths):"))
+    head = F.array(F.lit(CHANGED))
     return F.when(F.size(paths) > 0, F.array_join(F.concat(head, shown, more), "\n"))
 
 
