@@ -45,6 +45,13 @@ def sparse_tokens(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), split_identifier))
 
 
+def lowered_tokens(text: Column) -> Column:
+    """``sparse_tokens`` of a text in lower case, where identifiers have snake parts only."""
+    parts = lambda r: F.when(F.contains(r, F.lit("_")), F.array_distinct(F.concat(F.array(r), F.split(r, "_")))).otherwise(F.array(r))
+    every = F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), parts))
+    return F.filter(every, lambda x: F.length(x) >= 2)
+
+
 def fnv1a(term: Column) -> Column:
     """FNV-1a over the characters of an ASCII term, as an unsigned 32-bit number."""
     codes = F.transform(F.filter(F.split(term, ""), lambda x: x != ""), F.ascii)
