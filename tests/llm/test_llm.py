@@ -290,6 +290,27 @@ def test_attention_gradients_and_windows():
 
 
 # op10
+def test_training_windows_cover_every_token(spark):
+    texts = ["", "one", *(words(random.Random(n), n) for n in (31, 32, 33, 500, 3000))]
+    counts = np.ones(50_257, dtype=np.int64)
+    model = lm.subwords(counts, RANKS, public_tokenizers.PATTERN)
+    close, classes = bytes([lm.CLOSE]), model.words()
+    told = Counter()
+    for t in texts:
+        line = close + b"".join(classes[x][0] for x in t.encode().lower().split()) + close
+        told.update(zip(line[:-1], line[1:]))
+    rows = lm.training_windows(spark.createDataFrame([(t,) for t in texts], "body string"), model).collect()
+    found = Counter()
+    for r in rows:
+        windows = np.frombuffer(bytes(r["w"]), dtype=np.uint8).reshape(-1, lm.WIDTH + 1)
+        assert len(windows) == r["n"]
+        found.update((a, b) for x in windows.tolist() for a, b in zip(x[:-1], x[1:]) if b != 255)
+    assert found == told
+    blocks = [np.tile(np.arange(lm.WIDTH + 1, dtype=np.uint8), (64, 1))] * 70
+    w = lm.start_parameters(counts, 5, model.of)
+    assert lm.forward(lm.train_blocks(w, iter(blocks), 0), np.arange(lm.WIDTH)[None])[0][5][6] > -1.0
+
+
 def test_difference_cover():
     for q in (3, 5, 13):
         v, d = suffix.difference_cover(q)
