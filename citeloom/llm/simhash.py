@@ -6,10 +6,12 @@ span a proper subspace, so some nonzero v is orthogonal to all of them, and its
 mask hides every difference: each pair within the radius shares a masked value
 in at least one table.
 
-That guarantee costs 2^(radius+1) tables. ``group`` therefore takes a wider
-radius with ``sketches``: tables keyed by the least of the shingles' hashes
-under several permutations, which texts share with the chance of their shingles
-overlapping, beside the covering tables of radius 2; fingerprints still decide.
+That guarantee costs 2^(radius+1) tables, and bits only estimate how many
+shingles texts share. ``group_similar`` therefore decides by the exact Jaccard
+similarity of the sets of shingles. Its candidates are near fingerprints and
+sets that share one of the first hashes in a common order: of n hashes that must
+agree in a share s, so many stand at the head that similar sets cannot miss
+each other there.
 
 Defined results: null and empty texts have fingerprint zero, linked like any
 other; a text of fewer words than a shingle is one shingle; texts of any length
@@ -20,11 +22,12 @@ table gives an empty result. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import column_bytes, materialize, sliced
@@ -32,13 +35,11 @@ from citeloom.llm.components import components
 
 BITS = 64
 BLOCK = 1024  # fingerprints compared at once
+LATE = 16  # a hash at more sampled heads than this comes last in the order
 HOT = 2048  # a table's bucket beyond this is split by a third of its free bits
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-_ODD = np.random.default_rng(7).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def hashes(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 (seed 42) of the word shingles of a text with A-Z lowered, repeats included."""
     words = text.lower().split()
@@ -64,30 +65,18 @@ def fingerprint(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(found), bitorder="little").tobytes(), "little", signed=True)
 
 
-def sketch(found: np.ndarray, number: int) -> list[int]:
-    """The least hash under each of ``number`` permutations, as signed integers; none for no hashes."""
-    if not len(found):
-        return []
-    mixed = [(found * odd) ^ (found >> np.uint64(29)) for odd in _ODD[:number]]
-    return [int(m.min().view(np.int64)) for m in mixed]
-
-
-def fingerprints(docs: DataFrame, shingle: int, sketches: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, fp, least): the text's hash, its fingerprint as a signed long, and its sketch."""
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, fp): the text's hash, and its fingerprint as a signed long."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "body"):
             found = [hashes(t, shingle) for t in column_bytes(batch, "body")]
-            least = [sketch(x, sketches) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([fingerprint(x) for x in found], pa.int64()), pa.array(least, pa.list_(pa.int64()))],
-                names=["id", "h", "fp", "least"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(x) for x in found], pa.int64())], names=["id", "h", "fp"])
 
     id_type = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(each, f"id {id_type}, h long, fp long, least array<long>")
+    return slim.mapInArrow(each, f"id {id_type}, h long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -192,17 +181,11 @@ def _linked(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(lambda it: _links(it, radius), "a long, b long").distinct()
 
 
-def group(docs: DataFrame, shingle: int = 3, radius: int = 2, sketches: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, fp, component_id): the least id that links of near fingerprints reach.
-
-    Without ``sketches`` no link within ``radius`` is lost.
-    """
-    prints = materialize(fingerprints(docs, shingle, sketches, id_col, text_col))
+def group(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, fp, component_id): the least id that links of near fingerprints reach; no link within ``radius`` is lost."""
+    prints = materialize(fingerprints(docs, shingle, id_col, text_col))
     firsts = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    links = near_pairs(firsts.select("fp"), 2 if sketches else radius)
-    if sketches:
-        keyed = prints.select("fp", F.posexplode("least").alias("t", "k")).distinct()
-        links = links.unionByName(_linked(_shared(keyed).select("t", "k", "fp"), radius)).distinct()
+    links = near_pairs(firsts.select("fp"), radius)
     roots = components(links).withColumnRenamed("node", "fp")
     rooted = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -210,9 +193,172 @@ def group(docs: DataFrame, shingle: int = 3, radius: int = 2, sketches: int = 0,
     return prints.join(found, "fp").select(F.col("id").alias(id_col), "h", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 12, sketches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _ordered(found: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Distinct hashes in one order for all texts: those of ``late`` (sorted) after the others."""
+    own = np.unique(found)
+    if not len(late):
+        return own
+    last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+    return np.concatenate([own[~last], own[last]])
+
+
+def _prefix(n: int, similarity: Fraction) -> int:
+    """So many hashes at the head of n: texts at least so similar share one of them."""
+    return n - -(-n * similarity.numerator // similarity.denominator) + 1 if n else 0
+
+
+def late_hashes(docs: DataFrame, shingle: int, similarity: Fraction, text_col: str) -> np.ndarray:
+    """Hashes at the heads of many texts, as a sample of the texts tells; any choice is right, it only moves buckets."""
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "body"):
+            for text in column_bytes(batch, "body"):
+                own = _ordered(hashes(text, shingle), np.zeros(0, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(own[: _prefix(len(own), similarity)].view(np.int64))], names=["k"])
+
+    some = docs.select(body.alias("body")).distinct().filter(F.abs(F.xxhash64("body") % 16) == 0)
+    often = some.mapInArrow(each, "k long").groupBy("k").count().filter(F.col("count") > LATE)
+    return np.sort(often.orderBy(F.desc("count"), "k").limit(1 << 16).toArrow().column("k").to_numpy().view(np.uint64))
+
+
+def heads(docs: DataFrame, shingle: int, similarity: Fraction, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, fp, g, n, head): g tells the set of a text's n shingles; its head is shared by similar sets."""
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
+    late = docs.sparkSession.sparkContext.broadcast(late_hashes(docs, shingle, similarity, text_col))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "body"):
+            fp, g, n, head = [], [], [], []
+            for text in column_bytes(batch, "body"):
+                found = hashes(text, shingle)
+                own = _ordered(found, late.value)
+                fp.append(fingerprint(found))
+                g.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+                n.append(len(own))
+                head.append(own[: _prefix(len(own), similarity)].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(head, pa.list_(pa.int64()))],
+                names=["id", "h", "fp", "g", "n", "head"],
+            )
+
+    id_type = slim.schema["id"].dataType.simpleString()
+    return slim.mapInArrow(each, f"id {id_type}, h long, fp long, g long, n long, head array<long>")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of each run of equal first values of a sorted partition."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        cuts = [0, *(np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist()]
+        for s, e in zip(cuts, cuts[1:]):
+            yield [c[s:e] for c in held]
+        held = [c[cuts[-1] :] for c in held]
+    if held is not None:
+        yield held
+
+
+def _least_common(small, large, similarity: Fraction):
+    """So many hashes the heads of similar sets of these sizes share at least: the rest of one cannot make up for fewer."""
+    t, u = similarity.numerator, similarity.denominator
+    up = lambda x, y: (x + y - 1 - (x + y - 1) % y) / y
+    return up(t * (small + large), t + u) - up(t * large, u) + 1
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's sets (k, n, g, root; sorted by size) whose roots differ and whose sizes allow the similarity, with what they must share."""
+
+    def out() -> pa.RecordBatch:
+        a, b, need = (np.concatenate(x) for x in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int64))], names=["a", "b", "need"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for _, n, g, root in _runs(batches):
+        if (root == root[0]).all():
+            continue
+        ends = np.searchsorted(n, n * similarity.denominator // similarity.numerator, side="right")
+        for i in range(len(n) - 1):
+            at = i + 1 + np.flatnonzero(root[i + 1 : ends[i]] != root[i])
+            other = g[at]
+            if len(other):
+                held.append((np.minimum(g[i], other), np.maximum(g[i], other), _least_common(n[i], n[at], similarity)))
+                size += len(other)
+            if size > 1 << 16:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) whose sets of shingles have the Jaccard similarity; ``texts`` has (g, body)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, left = [], None, None
+            for x, y in zip(column_bytes(batch, "x"), column_bytes(batch, "y")):
+                if x != last:
+                    last, left = x, np.unique(hashes(x, shingle))
+                right = np.unique(hashes(y, shingle))
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(both * similarity.denominator >= similarity.numerator * (len(left) + len(right) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(texts.select(F.col("g").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("g").alias("b"), F.col("body").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+
+
+def group_similar(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, component_id): the least id that links of texts with that Jaccard similarity of shingles reach.
+
+    Near fingerprints (radius 2, covering) and each set's likest neighbour within
+    buckets of equal head hashes are compared first; then all pairs that these
+    links have not joined yet and that share as many buckets as similar sets must,
+    so no link is lost.
+    """
+    prints = materialize(heads(docs, shingle, similarity, id_col, text_col))
+    sets = materialize(prints.groupBy("g").agg(F.min(F.struct("id", "h")).alias("of"), F.min("id").alias("first"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("head").alias("head")))
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
+
+    def told(pairs: DataFrame) -> DataFrame:
+        """Similar ones of the pairs; only their texts are read again."""
+        pairs = materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ends = pairs.select(F.col("a").alias("g")).union(pairs.select("b")).distinct()
+        wanted = sets.join(ends, "g", "left_semi").select("g", "of")
+        texts = hashed.join(wanted, hashed["id"].eqNullSafe(wanted["of"]["id"]) & (hashed["h"] == wanted["of"]["h"])).select("g", "body")
+        return materialize(similar(pairs, materialize(texts.dropDuplicates(["g"])), shingle, similarity))
+
+    keyed = sets.select(F.explode("head").alias("k"), "n", "g")
+    buckets = materialize(keyed.join(keyed.groupBy("k").count().filter("count > 1").select("k"), "k"))
+    before = F.lag(F.struct("g", "n")).over(Window.partitionBy("k").orderBy("n", "g"))
+    beside = buckets.select("g", "n", before.alias("b")).filter("b IS NOT NULL").groupBy("g", "b", "n").count()
+    beside = beside.filter(F.col("count") * 4 >= _least_common(F.col("b")["n"], F.col("n"), similarity))
+    beside = beside.groupBy(F.col("g").alias("a")).agg(F.max_by(F.col("b")["g"], F.struct("count", "b")).alias("b"))
+    firsts = sets.groupBy("fp").agg(F.min("g").alias("g"))
+    near = near_pairs(firsts.select("fp"), 2).join(firsts.select(F.col("fp").alias("a"), F.col("g").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("g").alias("y")), "b")
+    links = told(beside.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    roots = materialize(components(links))
+    placed = buckets.join(roots.withColumnRenamed("node", "g"), "g", "left").select("k", "n", "g", F.coalesce("root", "g").alias("root"))
+    placed = placed.repartition("k").sortWithinPartitions("k", "n", "g")
+    crossing = placed.mapInArrow(lambda it: _crossing(it, similarity), "a long, b long, need long")
+    links = links.unionByName(told(crossing.groupBy("a", "b", "need").count().filter("count >= need")))
+    roots = components(links).withColumnRenamed("node", "g")
+    rooted = sets.join(roots, "g", "left").select("g", "first", F.coalesce("root", "g").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = materialize(rooted.join(least, "root").select("g", "component_id"))
+    return prints.join(found, "g").select(F.col("id").alias(id_col), "h", "component_id")
+
+
+def first_of_each(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the least id."""
-    found = group(docs, shingle, radius, sketches, id_col, text_col)
+    found = group_similar(docs, shingle, similarity, id_col, text_col)
     keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("h").alias("__h")).distinct()
     hashed = docs.withColumn("__of", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     kept = hashed.join(keep, hashed[id_col].eqNullSafe(keep["__id"]) & (hashed["__of"] == keep["__h"]), "left_semi")

@@ -1,8 +1,8 @@
 """Corpus pipeline: stages applied to ``documents``, each written and read again.
 
 1. documents that the quality classifier rejects go;
-2. of each group of near-duplicates (SimHash of five-word shingles, similarity
-   of 0.8 or more) one document stays;
+2. of each group of near-duplicates (five-word shingles with a Jaccard similarity
+   of 0.8 or more, found by SimHash and shared heads) one document stays;
 3. what strings of 400 bytes that occur again cover is cut out of the texts;
 4. secrets are replaced by the names of their kinds;
 5. what is left is packed in windows of 1024 ids.
@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates."""
-    return simhash.first_of_each(docs, shingle=5, radius=12, sketches=4)
+    return simhash.first_of_each(docs, shingle=5, similarity=Fraction(4, 5))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -207,6 +207,33 @@ def test_simhash_groups(spark, corpus, monkeypatch):
     assert simhash.group(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("late", [0, 16])
+def test_similar_groups_against_brute_force(spark, monkeypatch, late):
+    monkeypatch.setattr(simhash, "LATE", late)
+    rng = random.Random(4)
+    base = [words(rng, n) for n in (3, 30, 60, 120, 240, 300)]
+    texts = [None, "", " ", *base, base[0]]
+    for t in base * 8:
+        w = t.split()
+        for _ in range(rng.randint(1, max(1, len(w) // 60))):
+            w[rng.randrange(len(w))] = words(rng, 1) + "x"
+        texts.append(" ".join(w))
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = np.array([[a == b or 5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    links = int(alike.sum() - len(sets)) // 2
+    assert 40 < links < len(sets) * (len(sets) - 1) // 4
+    label = np.arange(len(sets))
+    for _ in sets:
+        label = np.where(alike, label[None], len(sets)).min(axis=1)
+    rows = simhash.group_similar(frame(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(label.tolist()))
+    assert sorted(r["doc_id"] for r in simhash.first_of_each(frame(spark, texts)).collect()) == sorted(set(label.tolist()))
+    assert simhash.group_similar(frame(spark, [])).count() == 0
+
+
 def test_link_bucket_against_hot_split(spark):
     rng = np.random.default_rng(3)
     center = int(rng.integers(1 << 62))
