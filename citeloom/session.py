@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,12 @@ def local_session(cpus: int | None = None, app: str = "citeloom", **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder, by any path Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``), or a temporary one on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("citeloom.scratch.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="spark-citeloom-")
+        spark.conf.set("citeloom.scratch.dir", found)
+    return found

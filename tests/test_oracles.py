@@ -54,6 +54,16 @@ def test_other_queries_run(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["stream_once", "stream_coalesce"])
+def test_streams_leave_files_beside_their_checkpoint(spark, tmp_path, monkeypatch, name):
+    from citeloom.plans import streams
+
+    monkeypatch.setattr(streams, "shared_dir", lambda _: f"file://{tmp_path}", raising=False)
+    frame = catalog.queries()[name](spark, SF)
+    assert frame.count() > 0 and all(f.startswith(f"file://{tmp_path}") or f.startswith(f"file:{tmp_path}") for f in frame.inputFiles()) and frame.inputFiles()
+    assert glob.glob(f"{tmp_path}/stream-*/state/offsets/*")
+
+
 def test_flagship_cites(spark):
     rows = catalog.flagship(spark, SF).collect()
     assert rows and all(r["file_path"] and r["evidence"] >= 0.35 for r in rows)
