@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -20,39 +18,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine), a temporary folder is
-    chosen once and kept in the session's settings.
+    A session on one machine that names none gets a temporary folder, chosen once
+    and kept in the session's settings; any other session must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("citeloom.scratch.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-citeloom-")
         spark.conf.set("citeloom.scratch.dir", found)
     return found
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage and survives lost executors: the files are in shared
-    storage. Later reads prune columns, which a row checkpoint cannot.
+    storage. Later reads prune columns, which a row checkpoint cannot. Shuffle
+    files of the job that wrote them are let go when it ends. ``discard`` deletes
+    the files once no frame needs them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer held.
 
-    Spark removes them when the driver's collector finds their frames unused;
-    between the steps of a long job this asks for that.
-    """
-    for _ in range(2):  # objects that Python lets go in the first pass are found by the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing reads any more."""
+    for frame in frames:
+        spark, path = frame.sparkSession, frame.written_to
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Exact repeated substrings, by difference-cover samples and suffix buckets.
+"""Exact repeated substrings, by difference-cover samples and buckets of names.
 
 For a period v a difference cover D holds residues such that any two positions
 i and j have some shift k < v that takes both into D. Two equal strings of
@@ -6,39 +6,46 @@ i and j have some shift k < v that takes both into D. Two equal strings of
 ``length - v + 1`` bytes that begin at sampled positions: about one position in
 sqrt(v). The construction goes block by block:
 
-1. cover samples are dealt by a hash of their window in suffix buckets; one
-   bucket at a time is sorted, which ranks the samples and shows those whose
-   window occurs again. Only starts less than v before such a sample can begin
-   a repeated string; all others are settled.
-2. those starts are dealt in suffix buckets by the hash of their whole string
-   and again sorted one bucket at a time: a start is repeated if its string
-   ties with a neighbour's. Ties are told by names (hashes of 80 bits), never
-   by comparing long strings, so memory is that of one bucket. Before that,
-   runs of starts between two break points of the text (which depend on a few
-   bytes only, so copies have the same) are dealt as one string; runs that
-   repeat as a whole are settled, and one of each stands for its starts.
+1. cover samples are dealt by a hash of their window in buckets; one bucket at a
+   time is sorted, which shows the samples whose window occurs again. Only starts
+   less than v before such a sample can begin a repeated string; all others are
+   settled. A false tie of hashes here only leaves a start open.
+2. those starts are dealt in buckets by the name of their whole string and again
+   sorted one bucket at a time: a start is repeated if its name ties with a
+   neighbour's. Names are hashes of 96 bits; long strings are never compared.
+   Before that, runs of starts between two break points of the text (which
+   depend on a few bytes only, so copies have the same) are dealt as one string;
+   runs that repeat as a whole are settled, and one of each stands for its starts.
+
+Texts are numbered once, in units of about ``UNIT`` bytes, and written; a place
+is a unit and an offset in it, which no two bytes share. Python holds one slice
+of text of ``SLICE`` bytes (or one longer text), ``DEAL`` names, or one bucket.
 
 Defined results: null and empty texts have no bytes; texts shorter than
 ``length`` keep all; texts of any length are read whole; repeated rows are
-copies of each other; an empty table gives an empty result. Only the named
-columns are read by ``repeats`` and ``strip``, so others may have any name.
+copies of each other; an empty table gives an empty result. Only the text column
+is read by ``strip``, so others may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import column_bytes, materialize, release, sliced
+from citeloom.llm.common import column_bytes, discard, materialize, sliced
 
-SLICE = 4 << 20
-DEALT = "bucket int, done boolean, h binary, g binary, many binary, ids binary, counts binary, at binary, high binary"
-FOUND = "rid long, at binary, first binary, runs binary"
+UNIT = 1 << 20  # bytes of text numbered together
+SLICE = 1 << 19  # bytes of text hashed at once
+DEAL = 1 << 18  # names dealt at once
+DEALT = "bucket int, kind int, sids binary, counts binary, at binary, h binary, g binary, many binary"
+SETTLED = "sid long, at binary, first binary, runs binary"
+NAMES, PLACES, RUNS = 0, 1, 2  # kinds of dealt rows: to be sorted; settled places; settled runs
 
 
 @lru_cache(maxsize=4)
@@ -91,277 +98,337 @@ class Roller:
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])
+        terms = self.values[data]
+        terms *= self.up[: len(data)]
+        np.cumsum(terms, out=out[1:])
         return out
 
     def windows(self, prefix: np.ndarray, starts: np.ndarray, width: np.ndarray | int) -> np.ndarray:
-        h = (prefix[starts + width] - prefix[starts]) * self.down[starts]
+        h = prefix[starts + width]
+        h -= prefix[starts]
+        h *= self.down[starts]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
+        h ^= h >> np.uint64(32)
+        return h
 
 
-def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of a batch's texts in one array, where each begins, and their row keys."""
-    texts = column_bytes(batch, "body")
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    offsets = np.cumsum([0] + [len(t) for t in texts])
-    return data, offsets, batch.column(batch.schema.get_field_index("rid")).to_numpy(zero_copy_only=False)
+@lru_cache(maxsize=4)
+def _roller(seed: int) -> Roller:
+    return Roller(seed)
+
+
+def _cells(batch: pa.RecordBatch, column: str) -> list:
+    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__sid`` and ``__off``: the unit of a text (column ``__body``, which is left out) and its offset there."""
+    columns = [c for c in docs.columns if c != "__body"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, at = TaskContext.get().partitionId() << 32, 0
+        for batch in sliced(batches, "__body"):
+            sids, offs = [], []
+            for n in pa.compute.binary_length(batch.column(batch.schema.get_field_index("__body"))).to_pylist():
+                if at and at + n > UNIT:
+                    unit, at = unit + 1, 0
+                sids.append(unit)
+                offs.append(at)
+                at += n
+            own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sids, pa.int64()), pa.array(offs, pa.int64())], names=[*columns, "__sid", "__off"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__body")
+    return docs.mapInArrow(each, f"{schema}{', ' if schema else ''}__sid long, __off long")
 
 
-def _groups(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _groups(h: np.ndarray, g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorting order of the names (h, g), the group of each sorted entry, and group sizes."""
-    order = np.lexsort((g, h)) if g.any() else np.argsort(h, kind="stable")
+    order = np.argsort(h, kind="stable") if g is None else np.lexsort((g, h))
     fresh = np.ones(len(h), dtype=bool)
-    fresh[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+    fresh[1:] = h[order][1:] != h[order][:-1]
+    if g is not None:
+        fresh[1:] |= g[order][1:] != g[order][:-1]
     group = np.cumsum(fresh) - 1
     return order, group, np.bincount(group)
 
 
-def _deal(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray, rids: np.ndarray, buckets: int) -> Iterator[dict]:
-    """Rows that take names to their buckets, packed, and what is settled already.
+class Dealer:
+    """Collects names of places and deals them to buckets, packed.
 
-    Names that occur again within the batch are settled here; one of each is
-    sent on with a mark, so a frequent string costs one entry a batch.
+    Names that occur again among those held are settled here; one of each is
+    sent on with a mark, so a frequent string costs one entry a deal.
     """
-    if not len(h):
-        return
-    order, group, sizes = _groups(h, g)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    sent, many = order[starts], (sizes > 1).astype(np.uint8)
-    bucket = ((h[sent] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-    by = np.lexsort((sent, bucket))
-    sent, many, bucket = sent[by], many[by], bucket[by]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for s, e in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(sent)]]).tolist()):
-        part = sent[s:e]
-        ids, counts = np.unique(doc[part], return_counts=True)
-        yield _row(int(bucket[s]), False, h[part], g[part], many[s:e], rids[ids], counts, at[part])
-    again = np.sort(order[sizes[group] > 1])
-    if len(again):
-        ids, counts = np.unique(doc[again], return_counts=True)
-        yield _row(int(h[again[0]] % np.uint64(buckets)), True, h[:0], g[:0], many[:0], rids[ids], counts, at[again])
-
-
-def _row(bucket: int, done: bool, h, g, many, ids, counts, at) -> dict:
-    some = lambda x: x.astype("<u2").tobytes() if x.any() else b""  # noqa: E731  absent where all are 0
-    return {
-        "bucket": bucket, "done": done, "h": h.tobytes(), "g": some(g), "many": np.packbits(many).tobytes(),
-        "ids": ids.astype("<i8").tobytes(), "counts": counts.astype("<u4").tobytes(), "at": (at & 0xFFFF).astype("<u2").tobytes(), "high": some(at >> 16),
-    }
-
-
-def _dealt(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-    kinds = [("bucket", pa.int32()), ("done", pa.bool_())] + [(k, pa.binary()) for k in ("h", "g", "many", "ids", "counts", "at", "high")]
-    found = list(rows)
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in kinds], names=[k for k, _ in kinds])
-
-
-def _by_doc(rid: np.ndarray, at: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-    """One row per text with its positions in order, and those that stand for their group."""
-    order = np.lexsort((at, rid))
-    rid, at, first = rid[order], at[order].astype("<u4"), first[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(rid)) + 1, [len(rid)]])
-    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, h: np.ndarray, g: np.ndarray | None, sid: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(h):
+            self.held.append((h, g, sid, at.astype("<u4")))
+            self.size += len(h)
+        if self.size >= DEAL:
+            yield from self.deal()
+
+    def deal(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        h, g, sid, at = (None if x[0] is None else np.concatenate(x) for x in zip(*self.held))
+        self.held, self.size = [], 0
+        order, group, sizes = _groups(h, g)
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sent, many = order[first], sizes > 1
+        again = np.sort(order[many[group]])
+        bucket = ((h[sent] >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
+        by = np.lexsort((sent, bucket))
+        sent, many, bucket = sent[by], many[by], bucket[by]
+        rows = []
+        for s, e in _runs(bucket):
+            part = sent[s:e]
+            rows.append((int(bucket[s]), NAMES, *_packed(sid[part]), at[part].tobytes(), h[part].tobytes(), b"" if g is None else g[part].tobytes(), np.packbits(many[s:e]).tobytes()))
+        if len(again):
+            rows.append((int(h[again[0]] % np.uint64(self.buckets)), PLACES, *_packed(sid[again]), at[again].tobytes(), b"", b"", b""))
+        yield _dealt(rows)
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal keys."""
+    if not len(keys):
+        return []
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]))
+
+
+def _packed(sid: np.ndarray) -> tuple[bytes, bytes]:
+    """Units in runs and how many places each run has."""
+    runs = _runs(sid)
+    return sid[[s for s, _ in runs]].astype("<i8").tobytes(), np.array([e - s for s, e in runs], dtype="<u4").tobytes()
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("bucket", pa.int32()), ("kind", pa.int32())] + [(k, pa.binary()) for k in ("sids", "counts", "at", "h", "g", "many")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[k for k, _ in kinds])
+
+
+def _by_unit(sid: np.ndarray, at: np.ndarray, first: np.ndarray | None) -> pa.RecordBatch:
+    """One row per unit with its places, and those that stand for their group."""
+    order = np.argsort(sid, kind="stable")
+    sid, at = sid[order], at[order].astype("<u4")
+    spans = _runs(sid)
     every = [at[s:e].tobytes() for s, e in spans]
-    some = [at[s:e][first[s:e]].tobytes() for s, e in spans]
-    nothing = pa.array([b""] * len(spans), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rid[cuts[:-1]]), pa.array(every, pa.binary()), pa.array(some, pa.binary()), nothing], names=["rid", "at", "first", "runs"]
-    )
+    some = [b""] * len(spans)
+    if first is not None:
+        first = first[order]
+        some = [at[s:e][first[s:e]].tobytes() for s, e in spans]
+    return _settled(sid[[s for s, _ in spans]], every, some, [b""] * len(spans))
 
 
-def _or_zeros(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, dtype="<u2").astype(np.int64) if packed else np.zeros(n, dtype=np.int64)
+def _settled(sid: np.ndarray, at: list[bytes], first: list[bytes], runs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), *[pa.array(x, pa.binary()) for x in (at, first, runs)]], names=["sid", "at", "first", "runs"])
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort one bucket at a time; emit the positions whose name occurs more than once."""
+    """Sort one bucket at a time; emit the places whose name occurs more than once."""
     held: list[dict] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        read = lambda k, kind, rows: np.concatenate([np.frombuffer(r[k], dtype=kind) for r in rows])
-        for done in (True, False):
-            rows = [r for r in held if r["done"] == done]
-            if not rows:
-                continue
-            rid = np.repeat(read("ids", "<i8", rows), read("counts", "<u4", rows))
-            at = read("at", "<u2", rows).astype(np.int64)
-            at |= np.concatenate([_or_zeros(r["high"], len(r["at"]) // 2) for r in rows]) << 16
-            if done:
-                yield _by_doc(rid, at, np.zeros(len(at), dtype=bool))
-                continue
-            h = read("h", "<u8", rows)
-            g = np.concatenate([_or_zeros(r["g"], len(r["h"]) // 8) for r in rows])
-            many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(r["h"]) // 8) for r in rows])
-            order, group, sizes = _groups(h, g)
-            hit = (sizes > 1) | (np.bincount(group, weights=many[order]) > 0)
-            keep = hit[group]
-            if keep.any():
-                fresh = np.concatenate([[True], np.diff(group) > 0])
-                yield _by_doc(rid[order][keep], at[order][keep], fresh[keep])
+        read = lambda k, kind: np.concatenate([np.frombuffer(r[k], dtype=kind) for r in held])
+        sid, at, h = np.repeat(read("sids", "<i8"), read("counts", "<u4")), read("at", "<u4"), read("h", "<u8")
+        g = read("g", "<u4") if held[0]["g"] else None
+        many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(r["h"]) // 8) for r in held])
+        order, group, sizes = _groups(h, g)
+        keep = ((sizes > 1) | (np.bincount(group, weights=many[order]) > 0))[group]
+        if keep.any():
+            fresh = np.ones(len(group), dtype=bool)
+            fresh[1:] = group[1:] != group[:-1]
+            yield _by_unit(sid[order][keep], at[order][keep], fresh[keep])
 
     for batch in batches:
         for row in batch.to_pylist():
-            if held and held[-1]["bucket"] != row["bucket"]:
-                yield from flush()
-                held = []
-            held.append(row)
+            if row["kind"] == NAMES:
+                if held and held[-1]["bucket"] != row["bucket"]:
+                    yield from flush()
+                    held = []
+                held.append(row)
+            elif row["kind"] == PLACES:
+                yield _by_unit(np.repeat(np.frombuffer(row["sids"], "<i8"), np.frombuffer(row["counts"], "<u4")), np.frombuffer(row["at"], "<u4"), None)
+            else:
+                yield _settled(np.frombuffer(row["sids"], "<i8"), [b""], [b""], [row["at"]])
     if held:
         yield from flush()
 
 
-def _settle(dealt: DataFrame, buckets: int) -> DataFrame:
-    """(rid, at, first, runs): per text the lists of what its buckets found."""
-    ordered = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = ordered.mapInArrow(_sorted_buckets, FOUND)
-    return found.groupBy("rid").agg(*[F.collect_list(c).alias(c) for c in ("at", "first", "runs")])
+def _settle(dealt: DataFrame) -> DataFrame:
+    """(sid, at, first, runs): what the buckets found, in several rows a unit."""
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, SETTLED)
 
 
-def _positions(cells) -> np.ndarray:
-    """The positions of a list of packed arrays."""
-    return np.frombuffer(b"".join(cells or ()), dtype="<u4").astype(np.int64)
+def _beside(texts: DataFrame, settled: DataFrame, each: Callable, schema: str) -> DataFrame:
+    """``each`` over texts in order of unit and offset, every unit's settled rows before its texts (with offset -1)."""
+    told = settled.select(F.col("sid").alias("__sid"), F.lit(-1).cast("long").alias("__off"), F.col("at").alias("__at"), F.col("first").alias("__first"), F.col("runs").alias("__runs"))
+    both = texts.unionByName(told, allowMissingColumns=True)
+    return both.repartition("__sid").sortWithinPartitions("__sid", "__off").mapInArrow(each, schema)
+
+
+class _Told:
+    """What the rows of offset -1 have told of the unit at hand."""
+
+    def __init__(self) -> None:
+        self.sid, self.cells, self.read = None, {}, {}
+
+    def texts(self, batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, int]]:
+        """Slices of texts of one unit; ``places`` then tells of that unit."""
+        for batch in sliced(batches, "__body", most):
+            sids, offs = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("__sid", "__off"))
+            for s, e in _runs(sids):
+                if sids[s] != self.sid:
+                    self.sid, self.cells, self.read = int(sids[s]), {c: [] for c in ("__at", "__first", "__runs")}, {}
+                heads = int((offs[s:e] < 0).sum())
+                if heads:
+                    for c in self.cells:
+                        self.cells[c] += [x for x in _cells(batch.slice(s, heads), c) if x]
+                if s + heads < e:
+                    yield batch.slice(s + heads, e - s - heads), self.sid
+
+    def places(self, column: str) -> np.ndarray:
+        if column not in self.read:
+            self.read[column] = np.frombuffer(b"".join(self.cells[column]), dtype="<u4").astype(np.int64)
+            if column != "__runs":
+                self.read[column] = np.unique(self.read[column])
+        return self.read[column]
+
+    def within(self, column: str, low: int, high: int) -> np.ndarray:
+        """Places from ``low`` on, less than ``high``, counted from ``low``."""
+        found = self.places(column)
+        return found[np.searchsorted(found, low) : np.searchsorted(found, high)] - low
+
+
+def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a batch's texts in one array, where each begins there, and what to add for its place in the unit."""
+    texts = column_bytes(batch, "__body")
+    begins = np.cumsum([0] + [len(t) for t in texts])
+    offs = batch.column(batch.schema.get_field_index("__off")).to_numpy()
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), begins, offs - begins[:-1]
 
 
 def _samples(batches: Iterator[pa.RecordBatch], length: int, q: int, buckets: int) -> Iterator[pa.RecordBatch]:
     period, cover = difference_cover(q)
-    width, roll = length - period + 1, _roller(1)
-    for batch in sliced(batches, "body", SLICE):
-        data, offsets, rids = _joined(batch)
+    width, roll, dealer = length - period + 1, _roller(1), Dealer(buckets)
+    for batch in sliced(batches, "__body", SLICE):
+        data, begins, shift = _joined(batch)
+        sids = batch.column(batch.schema.get_field_index("__sid")).to_numpy()
         at, doc = [], []
-        for i, n in enumerate(np.diff(offsets).tolist()):
+        for i, n in enumerate(np.diff(begins).tolist()):
             if n >= length:
                 p = (np.arange(0, n - width + 1, period)[:, None] + cover).ravel()
                 p = p[p <= n - width]
-                at.append(p)
+                at.append(p + begins[i])
                 doc.append(np.full(len(p), i))
         if at:
             at, doc = np.concatenate(at), np.concatenate(doc)
-            h = roll.windows(roll.prefix(data), at + offsets[doc], width)
-            yield from _dealt(_deal(h, np.zeros(len(h), dtype=np.uint16), doc, at, rids, buckets))
-
-
-@lru_cache(maxsize=4)
-def _roller(seed: int) -> Roller:
-    return Roller(seed)
+            yield from dealer.add(roll.windows(roll.prefix(data), at, width), None, sids[doc], at + shift[doc])
+    yield from dealer.deal()
 
 
 def _regions(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
     """Texts with a repeated sample, and the runs of starts (first, last) that it leaves open."""
     period, _ = difference_cover(q)
-    for batch in sliced(batches, "body", SLICE):
-        rows = []
-        for text, cells in zip(column_bytes(batch, "body"), batch.column(batch.schema.get_field_index("at")).to_pylist()):
-            a, last = np.unique(_positions(cells)), len(text) - length
+    told = _Told()
+    for batch, sid in told.texts(batches):
+        texts, offs, rows = column_bytes(batch, "__body"), _cells(batch, "__off"), []
+        for i, (text, off) in enumerate(zip(texts, offs)):
+            a, last = told.within("__at", off, off + len(text)), len(text) - length
             low, high = np.maximum(a - period + 1, 0), np.minimum(a, last)
             low, high = low[low <= high], high[low <= high]
-            new = np.ones(len(low), dtype=bool)
-            new[1:] = low[1:] > high[:-1] + 1
-            first = low[new]
-            final = high[np.concatenate([new[1:], [True]])] if len(low) else high
-            rows.append(np.column_stack([first, final]).astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["rid", "body", "regions"])
-
-
-def _blocks(batch: pa.RecordBatch, roll: Roller, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Blocks of the open starts between break points: prefix sums, text, first and last start."""
+            if len(low):
+                new = np.ones(len(low), dtype=bool)
+                new[1:] = low[1:] > high[:-1] + 1
+                pairs = np.column_stack([low[new], high[np.concatenate([new[1:], [True]])]])
+                rows.append((off, text, pairs.astype("<u4").tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sid] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]],
+                names=["__sid", "__off", "__body", "__regions"],
+            )
+
+
+def _blocks(batch: pa.RecordBatch, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks of the open starts between break points: prefix sums, text, first and last start; then all open starts and their texts."""
+    roll = _roller(1)
     prefix = roll.prefix(data)
-    cells = batch.column(batch.schema.get_field_index("regions")).to_pylist()
-    pairs = [np.frombuffer(c, "<u4").reshape(-1, 2).astype(np.int64) for c in cells]
+    pairs = [np.frombuffer(c, "<u4").reshape(-1, 2).astype(np.int64) for c in _cells(batch, "__regions")]
     doc = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-    pairs = np.concatenate(pairs) + offsets[doc][:, None] if len(pairs) else np.zeros((0, 2), dtype=np.int64)
+    pairs = np.concatenate(pairs) + begins[doc][:, None]
     sizes = pairs[:, 1] - pairs[:, 0] + 1
     region = np.repeat(np.arange(len(pairs)), sizes)
     within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    start = np.repeat(pairs[:, 0], sizes) + within
+    start = pairs[region, 0] + within
     cut = roll.windows(prefix, start, 16) >> np.uint64(58) == 0
     cut |= (within == 0) | (start == pairs[region, 1])
     point, of = start[cut], region[cut]
     nexts = np.append(point[1:], -1)
     follows = np.append(of[1:] == of[:-1], False)
-    alone = (sizes == 1)[of]
-    keep = follows | alone
+    keep = follows | (sizes == 1)[of]
     first, last = point[keep], np.where(follows, nexts, point)[keep]
     return prefix, doc[of[keep]], first, last, start, doc[region]
 
 
 def _names(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, width) -> tuple[np.ndarray, np.ndarray]:
     other = _roller(2)
-    g = other.windows(other.prefix(data), starts, width) >> np.uint64(48)
-    return _roller(1).windows(prefix, starts, width), g.astype(np.uint16)
+    g = other.windows(other.prefix(data), starts, width) >> np.uint64(32)
+    return _roller(1).windows(prefix, starts, width), g.astype("<u4")
 
 
 def _block_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, "body", SLICE):
-        data, offsets, rids = _joined(batch)
-        prefix, doc, first, last, _, _ = _blocks(batch, _roller(1), data, offsets)
-        if len(first):
-            h, g = _names(data, prefix, first, last - first + length)
-            yield from _dealt(_deal(h, g, doc, first - offsets[doc], rids, buckets))
+    dealer = Dealer(buckets)
+    for batch in sliced(batches, "__body", SLICE):
+        data, begins, shift = _joined(batch)
+        prefix, doc, first, last, _, _ = _blocks(batch, data, begins)
+        sids = batch.column(batch.schema.get_field_index("__sid")).to_numpy()
+        yield from dealer.add(*_names(data, prefix, first, last - first + length), sids[doc], first + shift[doc])
+    yield from dealer.deal()
 
 
 def _start_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Names of the starts that are still open, and of one block of each kind that repeats."""
-    for batch in sliced(batches, "body", SLICE):
-        data, offsets, rids = _joined(batch)
-        prefix, doc, first, last, start, owner = _blocks(batch, _roller(1), data, offsets)
-        if not len(first):
-            continue
-        marks = {}
-        for column in ("at", "first"):
-            cells = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            known = np.concatenate([np.unique(_positions(c)) + offsets[i] for i, c in enumerate(cells)])
-            chosen = np.isin(first, known)
+    """Names of the starts that are still open, and of one block of each kind that repeats; runs that blocks settle."""
+    dealer, told = Dealer(buckets), _Told()
+    for batch, sid in told.texts(batches):
+        data, begins, shift = _joined(batch)
+        prefix, doc, first, last, start, owner = _blocks(batch, data, begins)
+        place, marks = first + shift[doc], {}
+        for column in ("__at", "__first"):
+            known = told.places(column)
+            chosen = known[np.minimum(np.searchsorted(known, place), len(known) - 1)] == place if len(known) else np.zeros(len(place), dtype=bool)
+            if column == "__at" and chosen.any():
+                runs = np.column_stack([place, place + last - first])[chosen].astype("<u4").tobytes()
+                yield _dealt([(sid % buckets, RUNS, np.array([sid], "<i8").tobytes(), b"", runs, b"", b"", b"")])
             steps = np.zeros(len(data) + 2, dtype=np.int32)
             np.add.at(steps, first[chosen], 1)
             np.add.at(steps, last[chosen] + 1, -1)
             marks[column] = np.cumsum(steps)[start] > 0
-        send = ~marks["at"] | marks["first"]
+        send = ~marks["__at"] | marks["__first"]
         at = start[send]
         if len(at):
-            h, g = _names(data, prefix, at, length)
-            yield from _dealt(_deal(h, g, owner[send], at - offsets[owner[send]], rids, buckets))
-
-
-def _settled_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of starts whose blocks repeat as a whole."""
-    for batch in sliced(batches, "body", SLICE):
-        data, offsets, rids = _joined(batch)
-        _, doc, first, last, _, _ = _blocks(batch, _roller(1), data, offsets)
-        cells = batch.column(batch.schema.get_field_index("at")).to_pylist()
-        known = np.concatenate([np.unique(_positions(c)) + offsets[i] for i, c in enumerate(cells)])
-        chosen = np.isin(first, known)
-        doc, pairs = doc[chosen], np.column_stack([first, last])[chosen]
-        pairs = (pairs - offsets[doc][:, None]).astype("<u4")
-        cuts = np.searchsorted(doc, np.arange(len(rids) + 1))
-        runs = [pairs[s:e].tobytes() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(runs, pa.binary())], names=["rid", "runs"])
-
-
-def repeats(rows: DataFrame, length: int = 400, q: int = 13, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """Where strings of ``length`` bytes occur again, for rows (rid, body).
-
-    Returns (rid, at, runs), lists of packed starts and of packed (first, last)
-    runs of starts; texts without any are absent.
+            yield from dealer.add(*_names(data, prefix, at, length), np.full(len(at), sid), at + shift[owner[send]])
+    yield from dealer.deal()
+
+
+def repeats(texts: DataFrame, length: int = 400, q: int = 13, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """Where strings of ``length`` bytes occur again, for rows (__sid, __off, __body).
+
+    Returns (sid, at, first, runs): packed starts, and packed (first, last) runs
+    of starts; several rows a unit, none for units without any.
     """
-    size = rows.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
+    size = texts.agg(F.sum(F.octet_length("__body")).alias("n")).first()["n"] or 0
     buckets = max(32, -(-size // bucket_bytes))
-    sampled = rows.mapInArrow(lambda it: _samples(it, length, q, buckets), DEALT)
-    found = materialize(_settle(sampled, buckets).select("rid", "at"))
-    release(rows.sparkSession)
-    opened = materialize(rows.join(found, "rid").select("rid", "body", "at").mapInArrow(lambda it: _regions(it, length, q), "rid long, body binary, regions binary"))
-    release(rows.sparkSession)
-    blocks = materialize(_settle(opened.mapInArrow(lambda it: _block_names(it, length, buckets), DEALT), buckets).select("rid", "at", "first"))
-    both = materialize(opened.join(blocks, "rid", "left"))
-    release(rows.sparkSession)
-    runs = both.mapInArrow(_settled_runs, "rid long, runs binary").filter(F.octet_length("runs") > 0).select("rid", F.lit(b"").alias("at"), "runs")
-    starts = _settle(both.mapInArrow(lambda it: _start_names(it, length, buckets), DEALT), buckets)
-    starts = starts.select("rid", F.explode("at").alias("at"), F.lit(b"").alias("runs"))
-    every = starts.unionByName(runs).groupBy("rid").agg(F.collect_list("at").alias("at"), F.collect_list("runs").alias("runs"))
-    every = materialize(every)
-    release(rows.sparkSession)
-    return every
+    sampled = materialize(_settle(texts.mapInArrow(lambda it: _samples(it, length, q, buckets), DEALT)))
+    opened = materialize(_beside(texts, sampled, lambda it: _regions(it, length, q), "__sid long, __off long, __body binary, __regions binary"))
+    discard(sampled)
+    blocks = materialize(_settle(opened.mapInArrow(lambda it: _block_names(it, length, buckets), DEALT)))
+    starts = materialize(_settle(_beside(opened, blocks, lambda it: _start_names(it, length, buckets), DEALT)))
+    discard(opened, blocks)
+    return starts
 
 
 def covered(n: int, at: np.ndarray, runs: np.ndarray, length: int) -> np.ndarray:
@@ -376,6 +443,15 @@ def covered(n: int, at: np.ndarray, runs: np.ndarray, length: int) -> np.ndarray
     return edges.reshape(-1, 2)
 
 
+def _whole(text: bytes, pairs: list[list[int]]) -> None:
+    """Narrow spans to whole UTF-8 characters."""
+    for p in pairs:
+        while p[0] < p[1] and text[p[0]] & 0xC0 == 0x80:
+            p[0] += 1
+        while p[1] > p[0] and p[1] < len(text) and text[p[1]] & 0xC0 == 0x80:
+            p[1] -= 1
+
+
 def strip(docs: DataFrame, length: int = 400, text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """``docs`` with ``spans`` (start and end bytes of what repeats) and ``kept`` (the bytes left).
 
@@ -383,30 +459,26 @@ def strip(docs: DataFrame, length: int = 400, text_col: str = "text", whole_char
     of these names that ``docs`` had are replaced.
     """
     docs = docs.drop("spans", "kept")
-    keyed = docs.withColumn("__body", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    keyed = keyed.withColumn("__rid", F.xxhash64(*[c for c in docs.columns if c != text_col and docs.schema[c].dataType.typeName() in ("long", "integer", "string")], "__body"))
-    found = repeats(keyed.select(F.col("__rid").alias("rid"), F.col("__body").alias("body")), length)
-    found = found.select(F.col("rid").alias("__rid"), F.col("at").alias("__at"), F.col("runs").alias("__runs"))
-    joined = keyed.join(found, "__rid", "left")
-    columns = docs.columns
+    columns, body = docs.columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    numbered = materialize(_numbered(docs.withColumn("__body", body)))
+    texts = numbered.withColumn("__body", body)
+    found = repeats(texts.select("__sid", "__off", "__body"), length)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in sliced(batches, "__body"):
-            cells = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__at", "__runs")]
+        told = _Told()
+        for batch, _ in told.texts(batches):
             spans, kept = [], []
-            for text, at, runs in zip(column_bytes(batch, "__body"), *cells):
-                if not at and not runs:
+            for text, off in zip(column_bytes(batch, "__body"), _cells(batch, "__off")):
+                at, runs = told.within("__at", off, off + len(text)), told.places("__runs").reshape(-1, 2) - off
+                runs = runs[(runs[:, 0] >= 0) & (runs[:, 0] < len(text))]
+                if not len(at) and not len(runs):
                     spans.append([])
                     kept.append(text)
                     continue
-                pairs = covered(len(text), _positions(at), _positions(runs).reshape(-1, 2), length).tolist()
+                pairs = covered(len(text), at, runs, length).tolist()
                 if whole_characters:
-                    for p in pairs:
-                        while p[0] < p[1] and text[p[0]] & 0xC0 == 0x80:
-                            p[0] += 1
-                        while p[1] > p[0] and p[1] < len(text) and text[p[1]] & 0xC0 == 0x80:
-                            p[1] -= 1
+                    _whole(text, pairs)
                 spans.append([{"start": s, "end": e} for s, e in pairs])
                 ends = [0] + [e for _, e in pairs]
                 kept.append(b"".join(text[a:b] for a, b in zip(ends, [s for s, _ in pairs] + [len(text)])))
@@ -414,4 +486,4 @@ def strip(docs: DataFrame, length: int = 400, text_col: str = "text", whole_char
             yield pa.RecordBatch.from_arrays([*own, pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*columns, "spans", "kept"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(each, f"{schema}, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return _beside(texts, found, each, f"{schema}, spans array<struct<start:bigint,end:bigint>>, kept binary")

@@ -349,18 +349,25 @@ def test_repeats_against_brute_force(spark):
     shared = [words(rng, 150) for _ in range(3)]
     texts = [None, "", "ab", "x" * 900, words(rng, 400), *[words(rng, rng.randint(1, 80)) + rng.choice(shared) + words(rng, 30) for _ in range(14)]]
     texts += [texts[6], texts[6], shared[0][:399], "é" + shared[1][:420] + "é"]
+    texts.append(words(rng, 170_000) + shared[2])
+    assert len(texts[-1]) > suffix.SLICE
+    rows = [(i, t, "en", "x") for i, t in enumerate(texts)] + [(6, texts[7], "en", "x"), (6, texts[7], "en", "x")]  # one id on several rows
     seen = Counter()
-    raw = [(t or "").encode() for t in texts]
+    raw = [(t or "").encode() for _, t, _, _ in rows]
     for t in raw:
-        seen.update(t[p : p + 400] for p in range(len(t) - 399))
-    got = {r["doc_id"]: r for r in suffix.strip(frame(spark, texts), 400).collect()}
-    for i, t in enumerate(raw):
+        seen.update(hash(t[p : p + 400]) for p in range(len(t) - 399))
+    found = {}
+    for r in suffix.strip(spark.createDataFrame(rows, DOCS), 400).collect():
+        found.setdefault((r["doc_id"], r["text"]), []).append(r)
+    assert sum(map(len, found.values())) == len(rows)
+    for (i, text, _, _), t in zip(rows, raw):
+        got = found[i, text].pop()
         gone = np.zeros(len(t), dtype=bool)
         for p in range(len(t) - 399):
-            if seen[t[p : p + 400]] > 1:
+            if seen[hash(t[p : p + 400])] > 1:
                 gone[p : p + 400] = True
-        assert bytes(got[i]["kept"]) == bytes(np.frombuffer(t, np.uint8)[~gone])
-        assert sum(s["end"] - s["start"] for s in got[i]["spans"]) == gone.sum()
+        assert bytes(got["kept"]) == bytes(np.frombuffer(t, np.uint8)[~gone])
+        assert sum(s["end"] - s["start"] for s in got["spans"]) == gone.sum()
     assert suffix.strip(frame(spark, []), 400).count() == 0
 
 
