@@ -13,9 +13,11 @@ sqrt(v). The construction goes block by block:
 2. those starts are dealt in buckets by the name of their whole string and again
    sorted one bucket at a time: a start is repeated if its name ties with a
    neighbour's. Names are hashes of 96 bits; long strings are never compared.
-   Before that, runs of starts between two break points of the text (which
-   depend on a few bytes only, so copies have the same) are dealt as one string;
-   runs that repeat as a whole are settled, and one of each stands for its starts.
+   Before that, the text is cut at break points, which depend on a few bytes
+   only, so copies have the same. Runs of starts between two of them are dealt as
+   one string; runs that repeat as a whole are settled, and one of each stands
+   for its starts. The short strings from one break point to the next are dealt
+   too: a start whose string holds one that occurs once is no repeated start.
 
 Texts are numbered once, in units of about ``UNIT`` bytes, and written; a place
 is a unit and an offset in it, which no two bytes share. Python holds one slice
@@ -46,6 +48,8 @@ DEAL = 1 << 18  # names dealt at once
 DEALT = "bucket int, kind int, sids binary, counts binary, at binary, h binary, g binary, many binary"
 SETTLED = "sid long, at binary, first binary, runs binary"
 NAMES, PLACES, RUNS = 0, 1, 2  # kinds of dealt rows: to be sorted; settled places; settled runs
+EDGE = 16  # bytes that tell whether a break point is before them
+SHORT = 1 << 31  # added to the place of a string between break points, to tell it from a run's
 
 
 @lru_cache(maxsize=4)
@@ -364,7 +368,7 @@ def _blocks(batch: pa.RecordBatch, data: np.ndarray, begins: np.ndarray) -> tupl
     region = np.repeat(np.arange(len(pairs)), sizes)
     within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     start = pairs[region, 0] + within
-    cut = roll.windows(prefix, start, 16) >> np.uint64(58) == 0
+    cut = roll.windows(prefix, start, EDGE) >> np.uint64(58) == 0
     cut |= (within == 0) | (start == pairs[region, 1])
     point, of = start[cut], region[cut]
     nexts = np.append(point[1:], -1)
@@ -374,6 +378,22 @@ def _blocks(batch: pa.RecordBatch, data: np.ndarray, begins: np.ndarray) -> tupl
     return prefix, doc[of[keep]], first, last, start, doc[region]
 
 
+def _between(prefix: np.ndarray, begins: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, starts and ends of the strings between break points, shorter than ``length``, that a string of an open start holds."""
+    n = len(prefix) - 1
+    opened = np.zeros(n + 1, dtype=np.int64)
+    opened[start + 1] = 1
+    np.cumsum(opened, out=opened)  # opened[i]: open starts before i
+    cut = np.flatnonzero(_roller(1).windows(prefix, np.arange(n - EDGE + 1), EDGE) >> np.uint64(58) == 0)
+    doc = np.searchsorted(begins, cut, side="right") - 1
+    inside = cut + EDGE <= begins[doc + 1]
+    cut, doc = cut[inside], doc[inside]
+    first, end = cut[:-1], cut[1:] + EDGE
+    keep = (doc[1:] == doc[:-1]) & (end - first < length)
+    keep &= opened[np.minimum(first + 1, n)] > opened[np.maximum(end - length, 0)]
+    return doc[:-1][keep], first[keep], end[keep]
+
+
 def _names(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, width) -> tuple[np.ndarray, np.ndarray]:
     other = _roller(2)
     g = other.windows(other.prefix(data), starts, width) >> np.uint64(32)
@@ -384,12 +404,21 @@ def _block_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
     dealer = Dealer(buckets)
     for batch in sliced(batches, "__body", SLICE):
         data, begins, shift = _joined(batch)
-        prefix, doc, first, last, _, _ = _blocks(batch, data, begins)
+        prefix, doc, first, last, start, _ = _blocks(batch, data, begins)
         sids = batch.column(batch.schema.get_field_index("__sid")).to_numpy()
         yield from dealer.add(*_names(data, prefix, first, last - first + length), sids[doc], first + shift[doc])
+        doc, first, end = _between(prefix, begins, start, length)
+        yield from dealer.add(*_names(data, prefix, first, end - first), sids[doc], first + shift[doc] + SHORT)
     yield from dealer.deal()
 
 
+def _known(places: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of ``asked`` are among ``places`` (sorted)."""
+    if not len(places):
+        return np.zeros(len(asked), dtype=bool)
+    return places[np.minimum(np.searchsorted(places, asked), len(places) - 1)] == asked
+
+
 def _start_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Names of the starts that are still open, and of one block of each kind that repeats; runs that blocks settle."""
     dealer, told = Dealer(buckets), _Told()
@@ -398,8 +427,7 @@ def _start_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
         prefix, doc, first, last, start, owner = _blocks(batch, data, begins)
         place, marks = first + shift[doc], {}
         for column in ("__at", "__first"):
-            known = told.places(column)
-            chosen = known[np.minimum(np.searchsorted(known, place), len(known) - 1)] == place if len(known) else np.zeros(len(place), dtype=bool)
+            chosen = _known(told.places(column), place)
             if column == "__at" and chosen.any():
                 runs = np.column_stack([place, place + last - first])[chosen].astype("<u4").tobytes()
                 yield _dealt([(sid % buckets, RUNS, np.array([sid], "<i8").tobytes(), b"", runs, b"", b"", b"")])
@@ -407,7 +435,12 @@ def _start_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
             np.add.at(steps, first[chosen], 1)
             np.add.at(steps, last[chosen] + 1, -1)
             marks[column] = np.cumsum(steps)[start] > 0
-        send = ~marks["__at"] | marks["__first"]
+        doc, first, end = _between(prefix, begins, start, length)
+        once = ~_known(told.places("__at"), first + shift[doc] + SHORT)
+        steps = np.zeros(len(data) + 2, dtype=np.int32)
+        np.add.at(steps, np.maximum(end[once] - length, 0), 1)
+        np.add.at(steps, first[once] + 1, -1)
+        send = (~marks["__at"] | marks["__first"]) & (np.cumsum(steps)[start] == 0)
         at = start[send]
         if len(at):
             yield from dealer.add(*_names(data, prefix, at, length), np.full(len(at), sid), at + shift[owner[send]])
