@@ -190,9 +190,9 @@ class Dealer:
         rows = []
         for s, e in _runs(bucket):
             part = sent[s:e]
-            rows.append((int(bucket[s]), NAMES, *_packed(sid[part]), at[part].tobytes(), h[part].tobytes(), b"" if g is None else g[part].tobytes(), np.packbits(many[s:e]).tobytes()))
+            rows.append((int(bucket[s]), NAMES, *_packed(sid[part]), _halves(at[part]), h[part].tobytes(), b"" if g is None else g[part].tobytes(), np.packbits(many[s:e]).tobytes()))
         if len(again):
-            rows.append((int(h[again[0]] % np.uint64(self.buckets)), PLACES, *_packed(sid[again]), at[again].tobytes(), b"", b"", b""))
+            rows.append((int(h[again[0]] % np.uint64(self.buckets)), PLACES, *_packed(sid[again]), _halves(at[again]), b"", b"", b""))
         yield _dealt(rows)
 
 
@@ -210,6 +210,15 @@ def _packed(sid: np.ndarray) -> tuple[bytes, bytes]:
     return sid[[s for s, _ in runs]].astype("<i8").tobytes(), np.array([e - s for s, e in runs], dtype="<u4").tobytes()
 
 
+def _halves(at: np.ndarray) -> bytes:
+    """Places as low halves, then high halves, which come in runs and so take little room in a compressed shuffle."""
+    return at.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def _from_halves(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, "<u2").reshape(2, -1).T).view("<u4").ravel()
+
+
 def _dealt(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [("bucket", pa.int32()), ("kind", pa.int32())] + [(k, pa.binary()) for k in ("sids", "counts", "at", "h", "g", "many")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[k for k, _ in kinds])
@@ -238,7 +247,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     def flush() -> Iterator[pa.RecordBatch]:
         read = lambda k, kind: np.concatenate([np.frombuffer(r[k], dtype=kind) for r in held])
-        sid, at, h = np.repeat(read("sids", "<i8"), read("counts", "<u4")), read("at", "<u4"), read("h", "<u8")
+        sid, at, h = np.repeat(read("sids", "<i8"), read("counts", "<u4")), np.concatenate([_from_halves(r["at"]) for r in held]), read("h", "<u8")
         g = read("g", "<u4") if held[0]["g"] else None
         many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(r["h"]) // 8) for r in held])
         order, group, sizes = _groups(h, g)
@@ -256,7 +265,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     held = []
                 held.append(row)
             elif row["kind"] == PLACES:
-                yield _by_unit(np.repeat(np.frombuffer(row["sids"], "<i8"), np.frombuffer(row["counts"], "<u4")), np.frombuffer(row["at"], "<u4"), None)
+                yield _by_unit(np.repeat(np.frombuffer(row["sids"], "<i8"), np.frombuffer(row["counts"], "<u4")), _from_halves(row["at"]), None)
             else:
                 yield _settled(np.frombuffer(row["sids"], "<i8"), [b""], [b""], [row["at"]])
     if held:
