@@ -36,6 +36,7 @@ from citeloom.llm.components import components
 BITS = 64
 BLOCK = 1024  # fingerprints compared at once
 LATE = 16  # a hash at more sampled heads than this comes last in the order
+BLOCK_BYTES, BLOCK_SETS = 1 << 18, 512  # bounds of what is compared at once with another such block
 HOT = 2048  # a table's bucket beyond this is split by a third of its free bits
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -208,18 +209,22 @@ def _prefix(n: int, similarity: Fraction) -> int:
 
 
 def late_hashes(docs: DataFrame, shingle: int, similarity: Fraction, text_col: str) -> np.ndarray:
-    """Hashes at the heads of many texts, as a sample of the texts tells; any choice is right, it only moves buckets."""
+    """Hashes of many texts, as a sixteenth of the texts tells; any choice is right, it only moves buckets.
+
+    All shingles are counted, not heads alone: what takes the place of a late hash
+    at a head must not be as frequent.
+    """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "body"):
-            for text in column_bytes(batch, "body"):
-                own = _ordered(hashes(text, shingle), np.zeros(0, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(own[: _prefix(len(own), similarity)].view(np.int64))], names=["k"])
+        for batch in sliced(batches, "body", 4 << 20):
+            found = [np.unique(hashes(text, shingle)) for text in column_bytes(batch, "body")]
+            k, c = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["k", "c"])
 
     some = docs.select(body.alias("body")).distinct().filter(F.abs(F.xxhash64("body") % 16) == 0)
-    often = some.mapInArrow(each, "k long").groupBy("k").count().filter(F.col("count") > LATE)
-    return np.sort(often.orderBy(F.desc("count"), "k").limit(1 << 16).toArrow().column("k").to_numpy().view(np.uint64))
+    often = some.mapInArrow(each, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") > LATE)
+    return np.sort(often.orderBy(F.desc("c"), "k").limit(1 << 16).toArrow().column("k").to_numpy().view(np.uint64))
 
 
 def heads(docs: DataFrame, shingle: int, similarity: Fraction, id_col: str, text_col: str) -> DataFrame:
@@ -247,22 +252,6 @@ def heads(docs: DataFrame, shingle: int, similarity: Fraction, id_col: str, text
     return slim.mapInArrow(each, f"id {id_type}, h long, fp long, g long, n long, head array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of each run of equal first values of a sorted partition."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        cuts = [0, *(np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist()]
-        for s, e in zip(cuts, cuts[1:]):
-            yield [c[s:e] for c in held]
-        held = [c[cuts[-1] :] for c in held]
-    if held is not None:
-        yield held
-
-
 def _least_common(small, large, similarity: Fraction):
     """So many hashes the heads of similar sets of these sizes share at least: the rest of one cannot make up for fewer."""
     t, u = similarity.numerator, similarity.denominator
@@ -270,30 +259,88 @@ def _least_common(small, large, similarity: Fraction):
     return up(t * (small + large), t + u) - up(t * large, u) + 1
 
 
-def _crossing(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's sets (k, n, g, root; sorted by size) whose roots differ and whose sizes allow the similarity, with what they must share."""
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of ``a`` shares with each of ``b``, by products of incidence matrices of their common hashes."""
+    of = lambda x: (np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x]))
+    (ha, da), (hb, db) = of(a), of(b)
+    common = np.intersect1d(ha, hb)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
 
-    def out() -> pa.RecordBatch:
-        a, b, need = (np.concatenate(x) for x in zip(*held))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int64))], names=["a", "b", "need"])
+    def incidence(h: np.ndarray, d: np.ndarray, rows: int, some: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(some, h), len(some) - 1)
+        hit = some[at] == h
+        m = np.zeros((rows, len(some)), dtype=np.float32)
+        m[d[hit], at[hit]] = 1
+        return m
 
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-    for _, n, g, root in _runs(batches):
-        if (root == root[0]).all():
-            continue
-        ends = np.searchsorted(n, n * similarity.denominator // similarity.numerator, side="right")
-        for i in range(len(n) - 1):
-            at = i + 1 + np.flatnonzero(root[i + 1 : ends[i]] != root[i])
-            other = g[at]
-            if len(other):
-                held.append((np.minimum(g[i], other), np.maximum(g[i], other), _least_common(n[i], n[at], similarity)))
-                size += len(other)
-            if size > 1 << 16:
-                yield out()
-                held, size = [], 0
-    if held:
-        yield out()
+    for s in range(0, len(common), 4096):
+        some = common[s : s + 4096]
+        out += incidence(ha, da, len(a), some) @ incidence(hb, db, len(b), some).T
+    return out.astype(np.int64)
+
+
+def _block_links(x: list[dict], y: list[dict], similarity: Fraction) -> list[tuple[int, int]]:
+    """A link for each two roots that similar sets of two blocks have."""
+    (ga, ra, sa), (gb, rb, sb) = ((np.array([r["g"] for r in z]), np.array([r["root"] for r in z]), [np.frombuffer(r["own"], "<u8") for r in z]) for z in (x, y))
+    both, size = _overlaps(sa, sb), lambda z: np.array([len(v) for v in z])
+    alike = both * similarity.denominator >= similarity.numerator * (size(sa)[:, None] + size(sb)[None] - both)
+    i, j = np.nonzero(alike & (ra[:, None] != rb[None]))
+    _, first = np.unique(np.column_stack([ra[i], rb[j]]), axis=0, return_index=True)
+    return list(zip(ga[i[first]].tolist(), gb[j[first]].tolist()))
+
+
+def _own(texts: DataFrame, shingle: int) -> DataFrame:
+    """(g, own): the sorted distinct hashes of each text of (g, body)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "body"):
+            own = [np.unique(hashes(t, shingle)).astype("<u8").tobytes() for t in column_bytes(batch, "body")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["g", "own"])
+
+    return texts.select("g", "body").mapInArrow(each, "g long, own binary")
+
+
+def crossing(buckets: DataFrame, roots: DataFrame, texts_of, shingle: int, similarity: Fraction) -> DataFrame:
+    """(a, b): links between sets of different roots that meet in a bucket (k, n, g, count).
+
+    Sets that meet often have the same home, the hub of their fullest bucket, and
+    lie in blocks of bounded size, of like sizes; two blocks that meet in as many
+    buckets as similar sets must are compared whole, so no pair of sets is ever a
+    row. Members that the hub's root has are kept in blocks of their own, which
+    are not compared with each other.
+    """
+    rooted = buckets.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
+    hubs = rooted.groupBy("k").agg(F.max_by(F.struct("g", "root"), F.struct("n", "g")).alias("hub"), (F.min("root") != F.max("root")).alias("mixed"))
+    placed = materialize(rooted.join(hubs, "k"))
+    homes = placed.groupBy("g").agg(F.max_by("hub", F.struct("count", "k")).alias("hub"), F.first("root").alias("root"), F.first("n").alias("n"), F.max("mixed").alias("mixed")).filter("mixed")
+    homes = homes.select("g", "n", "root", F.col("hub.g").alias("home"), (F.col("root") == F.col("hub.root")).alias("core"), F.floor(F.log("n") / F.log(F.lit(1.1))).alias("like"))
+    sets = materialize(_own(texts_of(homes.select("g")), shingle).join(homes, "g"))
+    key = ["home", "core", "like"]
+    size = sets.groupBy(key).agg(F.ceil(F.greatest(F.sum(F.octet_length("own")) / BLOCK_BYTES, F.count("*") / BLOCK_SETS)).alias("blocks"))
+    blocked = sets.join(size, key).withColumn("block", F.struct(*key, F.pmod(F.xxhash64("g"), "blocks").alias("salt")))
+    packed = materialize(blocked.groupBy("block").agg(
+        F.collect_list(F.struct("g", "root", "own")).alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"), F.first(F.when(F.col("core"), F.col("root"))).alias("only"),
+    ))
+    told = packed.select("block", F.struct("block", "least", "most", "only").alias("told"))
+    where = materialize(blocked.select("g", "block").join(told, "block").select("g", "told"))
+    met = placed.filter("mixed").select("k", "g").join(where, "g").groupBy("k").agg(F.array_sort(F.collect_set("told")).alias("m"))
+    met = met.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda b: b["block"] >= F.col("a.block"))).alias("b"))
+    alone = F.coalesce(F.col("a.only") == F.col("b.only"), F.lit(False))
+    t, u = similarity.numerator, similarity.denominator
+    apart = (u * F.col("a.most") < t * F.col("b.least")) | (u * F.col("b.most") < t * F.col("a.least"))
+    need = _least_common(F.least("a.least", "b.least"), F.greatest("a.most", "b.most"), similarity) - 2  # rounding may lift sizes between these by less
+    pairs = met.filter(~alone & ~apart).groupBy("a", "b").count().filter(F.col("count") >= need)
+    pairs = materialize(pairs.select(F.col("a.block").alias("a"), F.col("b.block").alias("b")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = _block_links(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), similarity)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    side = lambda name, to: packed.select(F.col("block").alias(name), F.col("sets").alias(to))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y").mapInArrow(each, "a long, b long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
@@ -314,41 +361,55 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: Fracti
     return joined.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
 
 
+def _likeliest(buckets: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b): for each set the neighbour by size and the hub that it meets in most of its buckets (k, n, g, count).
+
+    A bucket's hub is the member whose buckets are fullest: in a group of copies
+    with edits, one with few edits, which most of the others are similar to.
+    """
+    full = buckets.groupBy("g").agg(F.avg(F.log("count")).alias("full"))
+    weighed = buckets.join(full, "g")
+    in_order = Window.partitionBy("k").orderBy("n", "g")
+    before = F.lag(F.struct("g", "n")).over(in_order)
+    hubs = weighed.groupBy("k").agg(F.max_by(F.struct("g", "n"), F.struct("full", "g")).alias("b"))
+    met = buckets.select("g", "n", before.alias("b"), F.lit(0).alias("way")).unionByName(buckets.join(hubs, "k").select("g", "n", "b", F.lit(1).alias("way")))
+    met = met.filter(F.col("b")["g"] != F.col("g")).groupBy("g", "n", "b", "way").count()
+    small, large = F.least("n", F.col("b")["n"]), F.greatest("n", F.col("b")["n"])
+    met = met.filter((F.col("count") * 4 >= _least_common(small, large, similarity)) & (large * similarity.numerator <= small * similarity.denominator))
+    return met.groupBy(F.col("g").alias("a"), "way").agg(F.max_by(F.col("b")["g"], F.struct("count", "b")).alias("b")).select("a", "b")
+
+
 def group_similar(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, component_id): the least id that links of texts with that Jaccard similarity of shingles reach.
 
-    Near fingerprints (radius 2, covering) and each set's likest neighbour within
-    buckets of equal head hashes are compared first; then all pairs that these
-    links have not joined yet and that share as many buckets as similar sets must,
-    so no link is lost.
+    Near fingerprints (radius 2, covering) and each set's likeliest partners within
+    buckets of equal head hashes are compared first; then all sets of a bucket that
+    these links have not joined yet, block by block, so no link is lost.
     """
     prints = materialize(heads(docs, shingle, similarity, id_col, text_col))
     sets = materialize(prints.groupBy("g").agg(F.min(F.struct("id", "h")).alias("of"), F.min("id").alias("first"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("head").alias("head")))
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
 
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(g, body) of the sets in ``some``; only their texts are read again."""
+        wanted = sets.join(some, "g", "left_semi").select("g", "of")
+        return hashed.join(wanted, hashed["id"].eqNullSafe(wanted["of"]["id"]) & (hashed["h"] == wanted["of"]["h"])).select("g", "body").dropDuplicates(["g"])
+
     def told(pairs: DataFrame) -> DataFrame:
-        """Similar ones of the pairs; only their texts are read again."""
+        """Similar ones of the pairs."""
         pairs = materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         ends = pairs.select(F.col("a").alias("g")).union(pairs.select("b")).distinct()
-        wanted = sets.join(ends, "g", "left_semi").select("g", "of")
-        texts = hashed.join(wanted, hashed["id"].eqNullSafe(wanted["of"]["id"]) & (hashed["h"] == wanted["of"]["h"])).select("g", "body")
-        return materialize(similar(pairs, materialize(texts.dropDuplicates(["g"])), shingle, similarity))
+        return materialize(similar(pairs, materialize(texts_of(ends)), shingle, similarity))
 
     keyed = sets.select(F.explode("head").alias("k"), "n", "g")
-    buckets = materialize(keyed.join(keyed.groupBy("k").count().filter("count > 1").select("k"), "k"))
-    before = F.lag(F.struct("g", "n")).over(Window.partitionBy("k").orderBy("n", "g"))
-    beside = buckets.select("g", "n", before.alias("b")).filter("b IS NOT NULL").groupBy("g", "b", "n").count()
-    beside = beside.filter(F.col("count") * 4 >= _least_common(F.col("b")["n"], F.col("n"), similarity))
-    beside = beside.groupBy(F.col("g").alias("a")).agg(F.max_by(F.col("b")["g"], F.struct("count", "b")).alias("b"))
+    buckets = materialize(keyed.join(keyed.groupBy("k").count().filter("count > 1"), "k"))
+    beside = _likeliest(buckets, similarity)
     firsts = sets.groupBy("fp").agg(F.min("g").alias("g"))
     near = near_pairs(firsts.select("fp"), 2).join(firsts.select(F.col("fp").alias("a"), F.col("g").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("g").alias("y")), "b")
     links = told(beside.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     roots = materialize(components(links))
-    placed = buckets.join(roots.withColumnRenamed("node", "g"), "g", "left").select("k", "n", "g", F.coalesce("root", "g").alias("root"))
-    placed = placed.repartition("k").sortWithinPartitions("k", "n", "g")
-    crossing = placed.mapInArrow(lambda it: _crossing(it, similarity), "a long, b long, need long")
-    links = links.unionByName(told(crossing.groupBy("a", "b", "need").count().filter("count >= need")))
+    links = links.unionByName(materialize(crossing(buckets, roots, texts_of, shingle, similarity)))
     roots = components(links).withColumnRenamed("node", "g")
     rooted = sets.join(roots, "g", "left").select("g", "first", F.coalesce("root", "g").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
