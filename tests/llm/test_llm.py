@@ -290,8 +290,10 @@ def test_language_models(spark, corpus):
 
 def test_attention_gradients_and_windows():
     rng = np.random.default_rng(1)
-    w = [m.astype(np.float64) for m in lm.start_parameters(np.ones(50_000), 5, np.zeros(50_000, np.uint8))]
-    x, y, used = rng.integers(0, lm.CLASSES, (2, lm.WIDTH)), rng.integers(0, lm.CLASSES, (2, lm.WIDTH)), rng.random((2, lm.WIDTH)) > 0.3
+    heads = np.ones(50_257, dtype=np.int64)
+    w = [m.astype(np.float64) for m in lm.start_parameters(heads, 5)]
+    codes = lm.CLASSES + lm.KNOWN
+    x, y, used = rng.integers(0, codes, (2, lm.WIDTH)), rng.integers(0, lm.CLASSES, (2, lm.WIDTH)), rng.random((2, lm.WIDTH)) > 0.3
     g = lm.gradients(w, x, y, used)
     loss = lambda: -(lm.forward(w, x)[0][np.arange(x.size), y.ravel()] * used.ravel()).sum() / used.sum()
     for k, m in enumerate(w):
@@ -300,44 +302,82 @@ def test_attention_gradients_and_windows():
         up, m[i] = loss(), old - 1e-4
         down, m[i] = loss(), old
         assert math.isclose((up - down) / 2e-4, g[k][i], rel_tol=1e-3, abs_tol=1e-8)
-    lines = [bytes([lm.CLOSE]) + rng.integers(0, lm.CLASSES, n).astype(np.uint8).tobytes() for n in (1, 31, 32, 33, 57, 200)]
-
-    def plain(line):
-        total, step = 0.0, lm.WIDTH - lm.CONTEXT
-        for i in range(len(line) - 1):
-            s = 0 if i < lm.WIDTH else -(-(i - lm.WIDTH + 1) // step) * step
-            seen = np.zeros((1, lm.WIDTH), dtype=int)
-            seen[0, : len(line[s : s + lm.WIDTH])] = list(line[s : s + lm.WIDTH])
-            total += lm.forward(w, seen)[0][i - s][line[i + 1]]
-        return total
-
-    assert np.allclose(lm.score_sequences(w, lines), [plain(x) for x in lines])
-    trained = lm.train([m.astype(np.float32) for m in w], np.tile(np.arange(lm.WIDTH + 1, dtype=np.uint8), (64, 1)), 0)
+    lines = [np.concatenate([[lm.CLOSE], rng.integers(0, codes, n)]).astype(np.uint16) for n in (1, 31, 32, 33, 57, 200)]
+    assert np.allclose(lm.score_sequences(w, lines), [plain_chain(w, x) for x in lines])
+    trained = lm.train([m.astype(np.float32) for m in w], np.tile(np.arange(lm.WIDTH + 1, dtype=np.uint16), (64, 1)), 0)
     assert lm.forward(trained, np.arange(lm.WIDTH)[None])[0][5][6] > -1.0
 
 
-# op10
-def test_training_windows_cover_every_token(spark):
+def plain_chain(w, line):
+    """Natural log-probability of a line's classes, place by place."""
+    total, step, of = 0.0, lm.WIDTH - lm.CONTEXT, lm.classes_of_codes()
+    for i in range(len(line) - 1):
+        s = 0 if i < lm.WIDTH else -(-(i - lm.WIDTH + 1) // step) * step
+        seen = np.zeros((1, lm.WIDTH), dtype=int)
+        seen[0, : len(line[s : s + lm.WIDTH])] = line[s : s + lm.WIDTH]
+        total += lm.forward(w, seen)[0][i - s][of[line[i + 1]]]
+    return total
+
+
+def test_training_windows_cover_every_word(spark):
     texts = ["", "one", *(words(random.Random(n), n) for n in (31, 32, 33, 500, 3000))]
-    counts = np.ones(50_257, dtype=np.int64)
-    model = lm.subwords(counts, RANKS, public_tokenizers.PATTERN)
-    close, classes = bytes([lm.CLOSE]), model.words()
+    heads, later = np.arange(50_257), np.ones(50_257, dtype=np.int64)
+    model, speller = lm.subwords(heads, later, RANKS, public_tokenizers.PATTERN), lm.Speller(RANKS, public_tokenizers.PATTERN)
     told = Counter()
     for t in texts:
-        line = close + b"".join(classes[x][0] for x in t.encode().lower().split()) + close
+        line = [lm.CLOSE, *[int(model.code[speller.ids(x)[0]]) for x in t.encode().lower().split()], lm.CLOSE]
         told.update(zip(line[:-1], line[1:]))
-    rows = lm.training_windows(spark.createDataFrame([(t,) for t in texts], "body string"), model).collect()
-    found = Counter()
-    for r in rows:
-        windows = np.frombuffer(bytes(r["w"]), dtype=np.uint8).reshape(-1, lm.WIDTH + 1)
-        assert len(windows) == r["n"]
-        found.update((a, b) for x in windows.tolist() for a, b in zip(x[:-1], x[1:]) if b != 255)
-    assert found == told
-    blocks = [np.tile(np.arange(lm.WIDTH + 1, dtype=np.uint8), (64, 1))] * 70
-    w = lm.start_parameters(counts, 5, model.of)
-    assert lm.forward(lm.train_blocks(w, iter(blocks), 0), np.arange(lm.WIDTH)[None])[0][5][6] > -1.0
+    for cut in (1, 3):  # the shards and their order do not depend on how the table is cut
+        rows = lm.training_windows(spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(cut), model, 2).collect()
+        found = Counter()
+        for r in rows:
+            windows = np.frombuffer(bytes(r["w"]), dtype="<u2").reshape(-1, lm.WIDTH + 1)
+            found.update((a, b) for x in windows.tolist() for a, b in zip(x[:-1], x[1:]) if b != lm.NOTHING)
+        assert found == told
+        shards = sorted((r["shard"], r["key"]) for r in rows)
+        assert cut == 1 or shards == before
+        before = shards
+
+
+def test_score_is_a_distribution_and_equals_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOP", 20)
+    rng = random.Random(8)
+    texts = [words(rng, n) + "." for n in (5, 40, 90, 200)] + ["zzqx zzqx unseen", None]
+    kept = {}
+    real = lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda windows, w: kept.setdefault(len(kept), real(windows, w)))
+    rows = [(i, t, "en", "x") for i, t in enumerate(texts)] + [(0, texts[0], "en", "x")]
+    usable = F.col("doc_id") < 4
+    found = lm.score(spark.createDataFrame(rows, DOCS), RANKS, public_tokenizers.PATTERN, usable).collect()
+    assert len(found) == len(rows)
+    speller, of = lm.Speller(RANKS, public_tokenizers.PATTERN), lm.classes_of_codes()
+    counts = Counter(w for i, t, _, _ in rows if i < 4 for w in t.encode().lower().split())
+    heads, later = np.zeros(50_257, dtype=int), np.zeros(50_257, dtype=int)
+    for w, c in counts.items():
+        ids = speller.ids(w)
+        heads[ids[0]] += c
+        np.add.at(later, ids[1:], c)
+    model, weights = lm.subwords(heads, later, RANKS, public_tokenizers.PATTERN), kept[1]
+    mass = Counter()
+    rank = np.empty(50_257, dtype=int)
+    rank[np.lexsort((np.arange(50_257), -heads))] = np.arange(50_257)
+    cls = lm.classes_of_codes(lm.CLASSES + 50_257)[lm.CLASSES + rank]
+    for i, k in enumerate(cls):
+        mass[k] += heads[i] + 0.5
+    n, m = later.sum(), heads.sum()
+    for r in found:
+        total, line = 0.0, [lm.CLOSE]
+        for w in (texts[r["doc_id"]] or "").encode().lower().split():
+            first, *rest = speller.ids(w)
+            spelt = math.prod((later[i] + 0.5) / (n + 0.5 * 50_257) * (n + 0.5) / (n + m + 1) for i in rest) * (m + 0.5) / (n + m + 1)
+            total += math.log10((heads[first] + 0.5) / mass[cls[first]] * (counts[w] + 0.5 * spelt) / (heads[first] + 0.5))
+            line.append(int(model.code[first]))
+            assert of[line[-1]] == cls[first]
+        assert math.isclose(r["score"], total + plain_chain(weights, [*line, lm.CLOSE]) / math.log(10), rel_tol=1e-5)
+    assert lm.score(spark.createDataFrame([], DOCS), RANKS, public_tokenizers.PATTERN, usable).count() == 0
 
 
+# op10
 def test_difference_cover():
     for q in (3, 5, 13):
         v, d = suffix.difference_cover(q)
