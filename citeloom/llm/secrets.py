@@ -31,8 +31,8 @@ class Rule:
 
     ``size`` is the least length of group ``group`` of the exact expression.
     Rules with ``base`` report leftmost matches that do not overlap; a shorter
-    match takes its bytes and is then dropped. Qualifying matches hidden by
-    such a shorter one are reported as additional spans.
+    match takes its bytes and is then dropped. The first qualifying match that
+    begins within such a dropped one is reported as an additional span.
     """
 
     kind: str
@@ -55,10 +55,11 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", r"[0-9a-f]+", 24, 0, True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]+", 24),
     Rule("chat", r"xox[abpr]-[A-Za-z0-9\-]+", r"xox[abpr]-[A-Za-z0-9-]+", 15),
-    Rule("web_token", r"eyJ[A-Za-z0-9_\-.]+", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_\-.]+", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("private_key", r"-----BEGIN [A-Z\x20]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 
+_KEYWORD = re.compile(rb"(?i:password|passwd|secret|token|api_?key)")  # begins each match of the rule with a group
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 
@@ -68,22 +69,23 @@ def _compiled(rules: tuple[Rule, ...]):
     return compile_rules([r.head for r in rules]), exact
 
 
-def _spans_of(region: bytes, rule_bits: int, rules: tuple[Rule, ...], exact: list) -> Iterator[tuple[int, int, int, bool]]:
-    """(rule, start, end, base) of the matches within one region of bytes."""
+def _spans_of(joined: bytes, s: int, e: int, rule_bits: int, rules: tuple[Rule, ...], exact: list) -> Iterator[tuple[int, int, int, bool]]:
+    """(rule, start, end, base) of the matches from ``s`` to ``e``, each byte being tried a bounded number of times."""
     for r, rule in enumerate(rules):
         if not rule_bits >> r & 1:
             continue
-        taken = set()
-        for m in exact[r].finditer(region):
-            if m.end(rule.group) - m.start(rule.group) >= rule.size:
-                taken.add(m.span())
+        long_enough = lambda m: m.end(rule.group) - m.start(rule.group) >= rule.size  # noqa: E731,B023
+        for m in exact[r].finditer(joined, s, e):
+            if long_enough(m):
                 yield r, *m.span(), rule.base
-        at = 0
-        if rule.group:  # a match may hide behind a shorter one that began earlier
-            while m := exact[r].search(region, at):
-                if m.end(rule.group) - m.start(rule.group) >= rule.size and m.span() not in taken:
-                    yield r, *m.span(), False
+            elif rule.group:  # a match may hide behind this shorter one, which began earlier
                 at = m.start() + 1
+                while at < m.end() and (word := _KEYWORD.search(joined, at, m.end())):
+                    hidden = exact[r].match(joined, word.start(), e)
+                    if hidden and long_enough(hidden):
+                        yield r, *hidden.span(), False
+                        break
+                    at = word.start() + 1
 
 
 def find(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> dict[int, list[tuple[str, int, int, bool]]]:
@@ -110,8 +112,8 @@ def find(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> dict[int, list[
     found: dict[int, list] = {}
     for s, e, b, doc in zip(starts.tolist(), ends.tolist(), bits.tolist(), owner.tolist()):
         base = before(int(begins[doc]))
-        for r, x, y, is_base in _spans_of(joined[s:e], b, rules, exact):
-            found.setdefault(doc, []).append((before(s + x) - base, r, before(s + y) - base, is_base))
+        for r, x, y, is_base in _spans_of(joined, s, e, b, rules, exact):
+            found.setdefault(doc, []).append((before(x) - base, r, before(y) - base, is_base))
     return {d: [(rules[r].kind, x, y, base) for x, r, y, base in sorted(v)] for d, v in found.items()}
 
 
