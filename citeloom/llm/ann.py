@@ -5,7 +5,9 @@ parts of equal size that keep neighbours together; a small classifier learns
 each vector's part. It then deals every vector of the table to its most probable
 part, and routes each query to several; how many is set so that sampled queries
 find ``TARGET`` of their neighbours. Routed candidates are all reranked by exact
-cosine. Large parts are dealt in blocks, so no group grows with the table.
+cosine. Large parts, and the queries that reach them, are dealt in blocks, so no
+group grows with the table; there are at most ``SAMPLE / 64`` parts, so the work
+of a query does. A table of up to ``PART`` vectors is one part.
 
 Copies are searched once: a distinct vector carries its least ids, as many as an
 answer can hold. Defined results: vectors that are null, empty, zero or hold
@@ -29,7 +31,8 @@ from citeloom.llm.vectors import cosine, matrix, unit, usable
 
 SAMPLE = 8192  # vectors that the index is fitted on, at most
 PART = 2048  # vectors meant for a part
-BLOCK = 512  # vectors of a part compared in one group
+BLOCK = 2048  # vectors of a part, and queries, compared in one group
+CLOSE = 1e-9  # products of unit vectors this near to the last one kept are told apart by the exact cosine
 DEGREE = 10  # neighbours of a vector in the graph
 TARGET = 0.97
 
@@ -198,13 +201,16 @@ def search(embeddings: DataFrame, queries: Column, k: int = 5, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts.tolist(), pa.list_(pa.int32()))], names=["vid", "embedding", "parts"])
 
     indexed = materialize(distinct.select("vid", "ids", "embedding").mapInArrow(dealt, "vid long, ids array<long>, embedding array<float>, part int"))
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each part
-    candidates = indexed.join(F.broadcast(blocks), "part").select("part", F.pmod(F.xxhash64("vid"), "blocks").cast("int").alias("salt"), "vid", "ids", "embedding")
     asked = rows.filter("asked").select("id", "embedding")
     wanted = asked.select("embedding").distinct().join(distinct.select("embedding", "vid"), "embedding").select("vid", "embedding")
     probes = wanted.mapInArrow(routed, "vid long, embedding array<float>, parts array<int>")
-    probes = probes.select("vid", "embedding", F.explode("parts").alias("part")).join(F.broadcast(blocks), "part")
-    probes = probes.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("vid").alias("query"), "embedding")
+    probes = materialize(probes.select("vid", "embedding", F.explode("parts").alias("part")))
+    number = lambda df, to: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(to))
+    blocks = number(indexed, "blocks").join(number(probes, "asks"), "part")  # a row for each part, of which there are at most SAMPLE / 64
+    salt = lambda n: F.pmod(F.xxhash64("vid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    candidates = indexed.join(F.broadcast(blocks), "part").select("part", salt("blocks").alias("salt"), every("asks").alias("ask"), "vid", "ids", "embedding")
+    probes = probes.join(F.broadcast(blocks), "part").select("part", every("blocks").alias("salt"), salt("asks").alias("ask"), F.col("vid").alias("query"), "embedding")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query": [], "vid": [], "ids": [], "score": []}
@@ -215,17 +221,23 @@ def search(embeddings: DataFrame, queries: Column, k: int = 5, id_col: str = "ve
             order = np.argsort(cids, kind="stable")
             c, uc, cids = c[order], uc[order], cids[order]
             keep = min(k + 1, len(c))
-            for s in range(0, len(q), 1024):
-                near = np.argsort(-(uq[s : s + 1024] @ uc.T), axis=1, kind="stable")[:, :keep]
-                which = np.repeat(np.arange(s, s + len(near)), keep)
-                flat = near.ravel()
-                out["query"] += qids[which].tolist()
-                out["vid"] += cids[flat].tolist()
-                out["ids"] += [lists[order[i]] for i in flat.tolist()]
-                out["score"] += cosine(q[which], c[flat]).tolist()
+            for s in range(0, len(q), 512):
+                near = uq[s : s + 512] @ uc.T
+                cut = np.partition(near, len(c) - keep, axis=1)[:, len(c) - keep]
+                which, at = np.nonzero(near >= cut[:, None] - CLOSE)
+                which += s
+                score = cosine(q[which], c[at])
+                best = np.lexsort((cids[at], -score, which))
+                which, at, score = which[best], at[best], score[best]
+                first = np.searchsorted(which, which)
+                kept = np.arange(len(which)) - first < keep
+                out["query"] += qids[which[kept]].tolist()
+                out["vid"] += cids[at[kept]].tolist()
+                out["ids"] += [lists[order[i]] for i in at[kept].tolist()]
+                out["score"] += score[kept].tolist()
         return pa.table(out, schema=pa.schema([("query", pa.int64()), ("vid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())]))
 
-    found = probes.groupBy("part", "salt").cogroup(candidates.groupBy("part", "salt")).applyInArrow(rerank, "query long, vid long, ids array<long>, score double")
+    found = probes.groupBy("part", "salt", "ask").cogroup(candidates.groupBy("part", "salt", "ask")).applyInArrow(rerank, "query long, vid long, ids array<long>, score double")
     pairs = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("id")))
     best = found.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k + 1).alias("best"))
     named = best.join(distinct.select(F.col("vid").alias("query"), "embedding"), "query").select("embedding", "best")
