@@ -1,17 +1,26 @@
 """Tool calls and results linked by identifier, ordered, validated and serialised.
 
-All steps are DataFrame functions. Identifiers are summarised first (one row
-each, however many copies a call or result has), and every message is then
-hash-joined to its identifier's summary, so copies never multiply. Calls and
-results form a graph of two levels; a result is placed after its call even where
-it was logged before it. Messages stay one row each, with a position to sort
-by, so a conversation of any length needs no large group.
+All steps are DataFrame functions. Identifiers, which hold within a conversation,
+are summarised first (one row each, however many copies a call or result has),
+and every message is then hash-joined to its identifier's summary, so copies
+never multiply. A call may name the identifiers whose results it needs: its level
+is two above the highest of theirs, that of a result one above its call's; a
+result is placed after its call even where it was logged before it. Messages stay
+one row each, with a position to sort by, so a conversation of any length needs
+no large group.
+
+Arguments are read as JSON values with their own types, so the number 5 is no
+string, and written again with sorted keys and no spaces. Fields that no schema
+names are let through and written; they never make a call valid or invalid.
 
 Defined results: a message without identifier is not linked and keeps its
 place; a result without call, or a call without result, has ``linked`` false;
-repeated rows each keep their row; null texts serialise as null; arguments that
-are no JSON object, lack a required field or have one of another type are not
-valid; an empty table gives an empty result. Only named columns are read.
+calls that need each other in a circle, or need what such a call gives, have a
+null level, as their results; needs without a call count as met; repeated rows
+each keep their row; null texts serialise as null; arguments that are no JSON
+object, lack a required field or have one of another type are not valid, and are
+written as they are if they are no JSON; an empty table gives an empty result.
+Only named columns are read.
 """
 
 from __future__ import annotations
@@ -19,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import materialize
+
 # Fields that a call's arguments must hold, by function.
 SCHEMAS = {"ask": {"text": "string", "turn": "bigint"}}
 
@@ -37,38 +48,73 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
+# How a schema's types are called for JSON values.
+_KINDS = {"string": ("STRING",), "bigint": ("BIGINT",), "boolean": ("BOOLEAN",), "double": ("DOUBLE", "BIGINT")}
+
+
 def _valid(schemas: dict[str, dict[str, str]]) -> Column:
-    """Whether arguments hold every required field, not empty, of the type the schema names."""
+    """Whether arguments hold every required field, not empty or negative, of the type the schema names."""
     out = F.lit(False)
     for name, fields in schemas.items():
-        parsed = F.from_json("arguments", ", ".join(f"{k} {t}" for k, t in fields.items()))
-        checks = [parsed[k].isNotNull() & (F.length(parsed[k]) > 0 if t == "string" else parsed[k] >= 0) for k, t in sorted(fields.items())]
-        every = checks[0]
-        for c in checks[1:]:
-            every = every & c
+        every = F.lit(True)
+        for k, t in sorted(fields.items()):
+            kind = F.schema_of_variant(F.try_variant_get("given", f"$.{k}", "variant"))
+            value = F.try_variant_get("given", f"$.{k}", t)
+            told = kind.isin(*_KINDS[t]) | (F.lit(t == "double") & kind.startswith("DECIMAL"))
+            every = every & told & (F.length(value) > 0 if t == "string" else value >= 0 if t != "boolean" else value.isNotNull())
         out = F.when(F.col("name") == name, F.coalesce(every, F.lit(False))).otherwise(out)
     return out
 
 
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, link_id, call_level) for calls (conv_id, link_id, needs): two more than the highest level they need.
+
+    Each round settles the calls whose needs are settled, so there are as many
+    rounds as the longest chain has calls; a call of a circle stays out.
+    """
+    key = ["conv_id", "link_id"]
+    edges = calls.select(*key, F.explode("needs").alias("need")).distinct()
+    known = calls.select("conv_id", F.col("link_id").alias("need")).distinct()
+    edges = materialize(edges.join(known, ["conv_id", "need"], "left_semi"))
+    waiting = edges.select(*key).distinct()
+    settled = materialize(calls.select(*key).distinct().join(waiting, key, "left_anti").withColumn("call_level", F.lit(0)))
+    found = settled
+    while not edges.isEmpty():
+        given = edges.join(found.select("conv_id", F.col("link_id").alias("need"), "call_level"), ["conv_id", "need"], "left")
+        ready = given.groupBy(*key).agg(F.count_if(F.col("call_level").isNull()).alias("open"), (F.max("call_level") + 2).alias("call_level")).filter("open = 0")
+        ready = materialize(ready.select(*key, "call_level"))
+        if ready.isEmpty():
+            break
+        found = materialize(found.unionByName(ready))
+        edges = materialize(edges.join(ready.select(*key), key, "left_anti"))
+    return found
+
+
 def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> DataFrame:
-    """Each message with ``linked``, ``valid``, its ``level``, ``position`` and canonical ``json``."""
-    is_call = F.col("kind") == "call"
-    named = messages.filter("link_id is not null")
-    summary = named.groupBy("link_id").agg(
+    """Each message with ``linked``, ``valid``, its ``level``, ``position`` and canonical ``json``; a column ``needs`` (array of identifiers) is optional."""
+    is_call, key = F.col("kind") == "call", ["conv_id", "link_id"]
+    named = messages.filter("link_id is not null and conv_id is not null")
+    summary = named.groupBy(*key).agg(
         F.count_if(is_call).alias("calls"),
         F.count_if(~is_call).alias("results"),
         F.min(F.when(is_call, F.col("turn"))).alias("call_turn"),
     )
-    joined = named.join(summary.hint("shuffle_hash"), "link_id")
-    apart = messages.filter("link_id is null").withColumns({"calls": F.lit(0), "results": F.lit(0), "call_turn": F.lit(None).cast("long")})
+    if "needs" in messages.columns:
+        needing = named.filter(is_call).groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set("needs"))).alias("needs"))
+        summary = summary.join(levels(needing), key, "left")
+    else:
+        summary = summary.withColumn("call_level", F.lit(0))
+    joined = named.join(summary.hint("shuffle_hash"), key)
+    apart = messages.filter("link_id is null or conv_id is null").withColumns({"calls": F.lit(0), "results": F.lit(0), "call_turn": F.lit(None).cast("long"), "call_level": F.lit(0)})
     every = joined.unionByName(apart)
     linked = (F.col("calls") > 0) & (F.col("results") > 0)
     after = (F.col("kind") == "result") & linked
-    every = every.withColumns({
+    every = every.withColumn("given", F.try_parse_json("arguments")).withColumns({
         "linked": linked,
         "valid": F.when(is_call, _valid(schemas)),
-        "level": F.when(after, 1).otherwise(0),
+        "level": F.when(after, F.col("call_level") + 1).when(is_call, F.col("call_level")).otherwise(0),
         "position": F.when(after, 2 * F.greatest("turn", "call_turn") + 1).otherwise(2 * F.col("turn")),
+        "arguments": F.coalesce(F.to_json("given"), F.col("arguments")),
     })
     # Keys in sorted order, no spaces, absent fields left out: one form for equal messages.
     fields = ("arguments", "content", "conv_id", "kind", "link_id", "linked", "name", "role", "turn", "valid")

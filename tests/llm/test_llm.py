@@ -62,6 +62,17 @@ def test_secrets(spark, corpus):
     assert clean[0] == "password=[assign]" and clean[4] is None and len(clean) == len(texts)
 
 
+def test_secrets_in_hostile_texts_take_linear_time(spark):
+    import time
+
+    for piece in (b"secret=", b"eyJ", b"token:", b"secret = ", b"-----BEGIN "):
+        began = time.time()
+        secrets.find([piece * ((1 << 20) // len(piece))])
+        assert time.time() - began < 8
+    assert secrets.find([b"secret=secret=abcdef"]) == {0: [("assign", 0, 20, True)]}
+    assert secrets.scan(frame(spark, [])).count() == 0
+
+
 def test_automaton_minimal_and_lanes():
     auto = automaton.compile_rules(["ab+c", "b{2,3}x"])
     data = np.frombuffer(b"zabbbcbbx" * 400, dtype=np.uint8)
@@ -105,6 +116,27 @@ def test_vectors(spark):
     assert egojoin.group(empty).count() == 0 and ann.search(empty, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_in_several_parts_and_blocks_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART", 256)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(30, 16))[rng.integers(0, 30, 2000)] + rng.normal(size=(2000, 16)) * 0.4).astype(np.float32)
+    x[1:21] = rng.integers(1, 9, 16) * np.arange(1, 21)[:, None]  # multiples of one vector: ties but for rounding
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.search(table, F.col("vec_id") % 50 == 0, 5).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    hit = total = 0
+    for q in range(0, 2000, 50):
+        score = vectors.cosine(np.repeat(x[q : q + 1].astype(float), 2000, axis=0), x.astype(float))
+        best = [i for i in np.lexsort((np.arange(2000), -score)).tolist() if i != q][:5]
+        mine = [found[q][k] for k in range(1, 6)]
+        assert mine == sorted(mine, key=lambda m: (-m[1], m[0])) and all(score[i] == s for i, s in mine)
+        hit += len(set(best) & {i for i, _ in mine})
+        total += 5
+    assert hit / total >= 0.9
+
+
 def test_balanced_parts_and_probes():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(8, 16))[rng.integers(0, 8, 2000)] + rng.normal(size=(2000, 16)) * 0.2
@@ -177,6 +209,26 @@ def test_tool_calls(spark):
     assert chat.link(messages.filter("false")).count() == 0
 
 
+def test_tool_calls_types_order_and_circles(spark):
+    call = lambda conv, turn, link, arguments, needs=None: (conv, turn, "user", "call", link, "ask", arguments, None, needs)
+    rows = [
+        call(1, 0, "a", '{"turn":0,"text":"x"}'), call(1, 2, "b", '{"text":"x", "turn":0, "extra":1}', ["a", "nowhere"]), call(1, 4, "c", '{"text":5,"turn":0}', ["b", "a"]),
+        call(2, 6, "a", '{"text":"x","turn":"0"}', ["b"]), call(2, 8, "b", "no json", ["a"]), call(2, 9, "d", '{"text":"x","turn":-1}', ["b"]), call(2, 9, "e", "[1]"),
+        (1, 1, "assistant", "result", "a", None, None, "ok", None), (1, 5, "assistant", "result", "c", None, None, "ok", None), (2, 7, "assistant", "result", "zz", None, None, "ok", None),
+        (None, 7, "assistant", "result", "a", None, None, "ok", None),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, kind string, link_id string, name string, arguments string, content string, needs array<string>")
+    got = chat.link(messages).collect()
+    told = {(r["conv_id"], r["link_id"], r["kind"]): r for r in got}
+    assert len(got) == len(rows)
+    assert [told[1, k, "call"]["valid"] for k in "abc"] == [True, True, False] and not any(told[2, k, "call"]["valid"] for k in "abde")
+    assert [told[1, k, "call"]["level"] for k in "abc"] == [0, 2, 4] and told[1, "c", "result"]["level"] == 5 and told[1, "a", "result"]["position"] == 3
+    assert [told[2, k, "call"]["level"] for k in "abde"] == [None, None, None, 0]
+    assert not told[2, "a", "call"]["linked"] and not told[None, "a", "result"]["linked"]  # identifiers hold within a conversation
+    assert '"arguments":"{\\"text\\":\\"x\\",\\"turn\\":0}"' in told[1, "a", "call"]["json"]
+    assert '"arguments":"no json"' in told[2, "b", "call"]["json"]
+
+
 # op7
 def test_covering_masks():
     for radius in (1, 2, 3):
