@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import column_bytes, materialize, sliced
+from citeloom.llm.common import column_bytes, discard, materialize, sliced
 from citeloom.llm.components import components
 
 BITS = 64
 BLOCK = 1024  # fingerprints compared at once
-LATE = 16  # a hash at more sampled heads than this comes last in the order
+LATE = 4  # a hash in more of a sixteenth of the texts than this comes last in the order
+LATE_MOST = 1 << 18  # late hashes sent to the tasks, the most frequent first
+FEW = 128  # sets of a bucket that are paired one by one
 BLOCK_BYTES, BLOCK_SETS = 1 << 18, 512  # bounds of what is compared at once with another such block
 HOT = 2048  # a table's bucket beyond this is split by a third of its free bits
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -224,7 +226,7 @@ def late_hashes(docs: DataFrame, shingle: int, similarity: Fraction, text_col: s
 
     some = docs.select(body.alias("body")).distinct().filter(F.abs(F.xxhash64("body") % 16) == 0)
     often = some.mapInArrow(each, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") > LATE)
-    return np.sort(often.orderBy(F.desc("c"), "k").limit(1 << 16).toArrow().column("k").to_numpy().view(np.uint64))
+    return np.sort(often.orderBy(F.desc("c"), "k").limit(LATE_MOST).toArrow().column("k").to_numpy().view(np.uint64))
 
 
 def heads(docs: DataFrame, shingle: int, similarity: Fraction, id_col: str, text_col: str) -> DataFrame:
@@ -300,10 +302,12 @@ def _own(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("g", "body").mapInArrow(each, "g long, own binary")
 
 
-def crossing(buckets: DataFrame, roots: DataFrame, texts_of, shingle: int, similarity: Fraction) -> DataFrame:
+def crossing(buckets: DataFrame, roots: DataFrame, texts_of, told, shingle: int, similarity: Fraction) -> DataFrame:
     """(a, b): links between sets of different roots that meet in a bucket (k, n, g, count).
 
-    Sets that meet often have the same home, the hub of their fullest bucket, and
+    Sets that meet in buckets of at most FEW sets are paired, if in as many as
+    similar sets must; sets that meet in a larger one are compared in blocks. There
+    sets that meet often have the same home, the hub of their fullest bucket, and
     lie in blocks of bounded size, of like sizes; two blocks that meet in as many
     buckets as similar sets must are compared whole, so no pair of sets is ever a
     row. Members that the hub's root has are kept in blocks of their own, which
@@ -312,8 +316,17 @@ def crossing(buckets: DataFrame, roots: DataFrame, texts_of, shingle: int, simil
     rooted = buckets.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
     hubs = rooted.groupBy("k").agg(F.max_by(F.struct("g", "root"), F.struct("n", "g")).alias("hub"), (F.min("root") != F.max("root")).alias("mixed"))
     placed = materialize(rooted.join(hubs, "k"))
-    homes = placed.groupBy("g").agg(F.max_by("hub", F.struct("count", "k")).alias("hub"), F.first("root").alias("root"), F.first("n").alias("n"), F.max("mixed").alias("mixed")).filter("mixed")
+    mixed = placed.filter("mixed")
+    few = mixed.filter(F.col("count") <= FEW).select("k", "g", "n", "root")
+    other = few.select("k", F.col("g").alias("h"), F.col("n").alias("m"), F.col("root").alias("r"))
+    t, u = similarity.numerator, similarity.denominator
+    beside = few.join(other, "k").filter("(n < m OR n = m AND g < h) AND root <> r").filter(F.col("m") * t <= F.col("n") * u)
+    beside = beside.groupBy("g", "n", "h", "m").count().filter(F.col("count") >= _least_common(F.col("n"), F.col("m"), similarity))
+    near = told(beside.select(F.col("g").alias("a"), F.col("h").alias("b")))
+    many = mixed.filter(F.col("count") > FEW)
+    homes = many.groupBy("g").agg(F.max_by("hub", F.struct("count", "k")).alias("hub"), F.first("root").alias("root"), F.first("n").alias("n"))
     homes = homes.select("g", "n", "root", F.col("hub.g").alias("home"), (F.col("root") == F.col("hub.root")).alias("core"), F.floor(F.log("n") / F.log(F.lit(1.1))).alias("like"))
+    homes = materialize(homes)
     sets = materialize(_own(texts_of(homes.select("g")), shingle).join(homes, "g"))
     key = ["home", "core", "like"]
     size = sets.groupBy(key).agg(F.ceil(F.greatest(F.sum(F.octet_length("own")) / BLOCK_BYTES, F.count("*") / BLOCK_SETS)).alias("blocks"))
@@ -323,13 +336,12 @@ def crossing(buckets: DataFrame, roots: DataFrame, texts_of, shingle: int, simil
     ))
     told = packed.select("block", F.struct("block", "least", "most", "only").alias("told"))
     where = materialize(blocked.select("g", "block").join(told, "block").select("g", "told"))
-    met = placed.filter("mixed").select("k", "g").join(where, "g").groupBy("k").agg(F.array_sort(F.collect_set("told")).alias("m"))
-    met = met.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda b: b["block"] >= F.col("a.block"))).alias("b"))
+    met = mixed.select("k", "g", (F.col("count") > FEW).alias("large")).join(where, "g").groupBy("k", "large").agg(F.array_sort(F.collect_set("told")).alias("m"))
+    met = met.select(F.explode("m").alias("a"), "m", "large").select("a", "large", F.explode(F.filter("m", lambda b: b["block"] >= F.col("a.block"))).alias("b"))
     alone = F.coalesce(F.col("a.only") == F.col("b.only"), F.lit(False))
-    t, u = similarity.numerator, similarity.denominator
     apart = (u * F.col("a.most") < t * F.col("b.least")) | (u * F.col("b.most") < t * F.col("a.least"))
     need = _least_common(F.least("a.least", "b.least"), F.greatest("a.most", "b.most"), similarity) - 2  # rounding may lift sizes between these by less
-    pairs = met.filter(~alone & ~apart).groupBy("a", "b").count().filter(F.col("count") >= need)
+    pairs = met.filter(~alone & ~apart).groupBy("a", "b").agg(F.count("*").alias("count"), F.max("large").alias("large")).filter(F.col("large") & (F.col("count") >= need))
     pairs = materialize(pairs.select(F.col("a.block").alias("a"), F.col("b.block").alias("b")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +352,9 @@ def crossing(buckets: DataFrame, roots: DataFrame, texts_of, shingle: int, simil
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     side = lambda name, to: packed.select(F.col("block").alias(name), F.col("sets").alias(to))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y").mapInArrow(each, "a long, b long")
+    far = materialize(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y").mapInArrow(each, "a long, b long"))
+    discard(placed, homes, sets, packed, where, pairs)
+    return near.unionByName(far)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
@@ -400,7 +414,10 @@ def group_similar(docs: DataFrame, shingle: int = 5, similarity: Fraction = Frac
         """Similar ones of the pairs."""
         pairs = materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         ends = pairs.select(F.col("a").alias("g")).union(pairs.select("b")).distinct()
-        return materialize(similar(pairs, materialize(texts_of(ends)), shingle, similarity))
+        texts = materialize(texts_of(ends))
+        found = materialize(similar(pairs, texts, shingle, similarity))
+        discard(pairs, texts)
+        return found
 
     keyed = sets.select(F.explode("head").alias("k"), "n", "g")
     buckets = materialize(keyed.join(keyed.groupBy("k").count().filter("count > 1"), "k"))
@@ -409,7 +426,7 @@ def group_similar(docs: DataFrame, shingle: int = 5, similarity: Fraction = Frac
     near = near_pairs(firsts.select("fp"), 2).join(firsts.select(F.col("fp").alias("a"), F.col("g").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("g").alias("y")), "b")
     links = told(beside.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     roots = materialize(components(links))
-    links = links.unionByName(materialize(crossing(buckets, roots, texts_of, shingle, similarity)))
+    links = links.unionByName(crossing(buckets, roots, texts_of, told, shingle, similarity))
     roots = components(links).withColumnRenamed("node", "g")
     rooted = sets.join(roots, "g", "left").select("g", "first", F.coalesce("root", "g").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
