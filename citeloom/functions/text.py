@@ -36,7 +36,8 @@ def split_identifier(raw: Column) -> Column:
     """Lowered identifier, then its snake and camel parts: two characters or more, distinct, in order."""
     camel = lambda p: F.split(F.regexp_replace(F.regexp_replace(p, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2"), " ")
     parts = F.flatten(F.transform(F.split(raw, "_"), camel))
-    every = F.concat(F.array(F.lower(raw)), F.transform(parts, F.lower))
+    whole = F.array(F.lower(raw))
+    every = F.when(raw.rlike("_|[a-z0-9][A-Z]|[A-Z]{2}[a-z]"), F.concat(whole, F.transform(parts, F.lower))).otherwise(whole)  # most words have one part
     return F.array_distinct(F.filter(every, lambda x: F.length(x) >= 2))
 
 
@@ -45,13 +46,6 @@ def sparse_tokens(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), split_identifier))
 
 
-def lowered_tokens(text: Column) -> Column:
-    """``sparse_tokens`` of a text in lower case, where identifiers have snake parts only."""
-    parts = lambda r: F.when(F.contains(r, F.lit("_")), F.array_distinct(F.concat(F.array(r), F.split(r, "_")))).otherwise(F.array(r))
-    every = F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), parts))
-    return F.filter(every, lambda x: F.length(x) >= 2)
-
-
 def fnv1a(term: Column) -> Column:
     """FNV-1a over the characters of an ASCII term, as an unsigned 32-bit number."""
     codes = F.transform(F.filter(F.split(term, ""), lambda x: x != ""), F.ascii)

@@ -12,7 +12,7 @@ from citeloom.operators import ranking
 
 def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
     """(id, term, weight): document-side BM25 term weights."""
-    tokens = chunks.select("id", text.lowered_tokens(F.col(content)).alias("tokens"))
+    tokens = chunks.select("id", text.sparse_tokens(F.col(content)).alias("tokens"))
     long = tokens.select("id", F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.explode("tokens").alias("term"))
     tf = long.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     return tf.select("id", "term", text.bm25_tf(F.col("tf").cast("double"), F.col("length").cast("double")).alias("weight"))
@@ -25,7 +25,7 @@ def idf(index: DataFrame, documents: int) -> DataFrame:
 
 def sparse_hits(index: DataFrame, queries: DataFrame, documents: int) -> DataFrame:
     """Sum over shared terms of query frequency, document weight and idf; only asked terms are counted."""
-    asked = queries.select("query_id", F.explode(text.lowered_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.select("query_id", F.explode(text.sparse_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
     weighed = wanted.join(idf(wanted, documents), "term")
     hits = weighed.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("weight") * F.col("idf")).alias("score"))

@@ -145,13 +145,19 @@ def job_plans(spark, sf_dir):
 
 @query(
     "sync_recovery",
-    f"""WITH {EVENTS}, r AS (SELECT user_id, sum(k) - 40 * count(*) AS pending, max(value) > 10 AS has_metadata, count(*) FILTER (event_type = 'view') AS queued FROM ev GROUP BY user_id)
-SELECT *, CASE WHEN NOT has_metadata THEN 'error' WHEN pending <= 0 THEN 'finalize' WHEN queued = 0 THEN 'error' ELSE 'unchanged' END AS action FROM r""",
+    f"""WITH {EVENTS}, r AS (SELECT user_id, sum(k) - 40 * count(*) AS pending, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type IN ('error', 'click')) AS total,
+ count(*) FILTER (event_type = 'view') AS queued, CASE WHEN count(*) % 4 = 0 THEN 'ready' ELSE 'indexing' END AS status FROM ev GROUP BY user_id)
+SELECT *, CASE WHEN status <> 'indexing' THEN 'unchanged' WHEN pending <= 0 AND failed >= total THEN 'error' WHEN pending <= 0 THEN 'finalize'
+ WHEN total = 0 THEN 'error' WHEN queued = 0 THEN 'error' ELSE 'unchanged' END AS action FROM r""",
 )
 def recovery(spark, sf_dir):
     """What becomes of every user's run."""
     e = events(spark, sf_dir)
-    runs = e.groupBy("user_id").agg((F.sum("k") - 40 * F.count("*")).alias("pending"), (F.max("value") > 10).alias("has_metadata"), F.count_if(F.col("event_type") == "view").alias("queued"))
+    kind = F.col("event_type")
+    runs = e.groupBy("user_id").agg(
+        (F.sum("k") - 40 * F.count("*")).alias("pending"), F.count_if(kind == "error").alias("failed"), F.count_if(kind.isin("error", "click")).alias("total"),
+        F.count_if(kind == "view").alias("queued"), F.when(F.count("*") % 4 == 0, "ready").otherwise("indexing").alias("status"),
+    )
     return sync.recovery(runs)
 
 

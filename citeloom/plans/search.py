@@ -21,8 +21,8 @@ def _bag(name: str, source: str, key: str, body: str) -> str:
 
 
 def _tokens(name: str, source: str, key: str, body: str) -> str:
-    return f"""{name}_r AS (SELECT {key} AS id, unnest(regexp_extract_all(lower({body}), '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS r FROM {source}),
-{name} AS (SELECT id, unnest(list_filter(list_distinct([r] || string_split(r, '_')), lambda x: length(x) >= 2)) AS term FROM {name}_r)"""
+    return f"""{name}_r AS (SELECT {key} AS id, unnest(regexp_extract_all({body}, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS raw FROM {source}),
+{name} AS (SELECT id, unnest(list_distinct(list_filter([lower(raw)] || list_transform(string_split(regexp_replace(regexp_replace(replace(raw, '_', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), ' '), lambda x: lower(x)), lambda x: length(x) >= 2))) AS term FROM {name}_r)"""
 
 
 def _channels(source: str, body: str, prefetch: int, floor: float) -> str:

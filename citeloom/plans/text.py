@@ -29,8 +29,8 @@ def sparse_tokens(spark, sf_dir):
 
 @query(
     "fn_bm25",
-    """WITH r AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS raw FROM documents),
-t AS (SELECT id, unnest(list_filter(list_distinct([raw] || string_split(raw, '_')), lambda x: length(x) >= 2)) AS term FROM r),
+    """WITH r AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS raw FROM documents),
+t AS (SELECT id, unnest(list_distinct(list_filter([lower(raw)] || list_transform(string_split(regexp_replace(regexp_replace(replace(raw, '_', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), ' '), lambda x: lower(x)), lambda x: length(x) >= 2))) AS term FROM r),
 n AS (SELECT id, count(*)::DOUBLE AS n FROM t GROUP BY id), f AS (SELECT id, term, count(*)::DOUBLE AS tf FROM t GROUP BY ALL)
 SELECT id, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 180.0))), 6) AS weight, count(*) AS terms FROM f JOIN n USING (id) GROUP BY id""",
 )
