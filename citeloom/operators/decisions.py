@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from citeloom.config import SETTINGS
 from citeloom.functions import policy
 from citeloom.functions.text import trimmed
+from citeloom.session import shared_dir
 
 ITEM = "struct<topic:string,summary:string,alternativesConsidered:array<string>,confidence:string,touchedPaths:array<string>>"
 
@@ -128,6 +130,32 @@ def supersede_once(decisions: DataFrame, floor: float, dot: Column) -> DataFrame
     return best.select("repo_id", F.when(newer, F.col("other")).otherwise(F.col("id")).alias("id"), F.when(newer, F.col("id")).otherwise(F.col("other")).alias("superseded_by"), "score")
 
 
+def chain(decisions: DataFrame) -> DataFrame:
+    """Where each decision's chain of successors ends, and after how many: (id, latest, depth).
+
+    Expects id and superseded_by; a successor that is absent ends the chain.
+    Each round doubles the reach, so a chain of n takes log2(n) joins; rounds
+    are written to the shared folder. Chains that run in a circle have no end:
+    ``latest`` and ``depth`` are null.
+    """
+    spark = decisions.sparkSession
+    place = f"{shared_dir(spark)}/chain-{uuid.uuid4().hex}"
+    there = decisions.select(F.col("id").alias("superseded_by"), F.lit(True).alias("known"))
+    links = decisions.select("id", "superseded_by").join(there, "superseded_by", "left")
+    reach = links.select("id", F.when(F.col("known"), F.col("superseded_by")).otherwise(F.col("id")).alias("latest"), F.coalesce(F.col("known").cast("long"), F.lit(0)).alias("depth"))
+    reach.withColumn("left", F.col("depth")).write.parquet(f"{place}/0")
+    now, k = spark.read.parquet(f"{place}/0"), 0
+    total = now.count()
+    while 1 << k <= total and now.filter("left > 0").limit(1).count():
+        on = now.select(F.col("id").alias("latest"), F.col("latest").alias("further"), F.col("depth").alias("more"))
+        k += 1
+        ahead = now.join(on, "latest").select("id", F.col("further").alias("latest"), (F.col("depth") + F.col("more")).alias("depth"), F.col("more").alias("left"))
+        ahead.write.parquet(f"{place}/{k}")
+        now = spark.read.parquet(f"{place}/{k}")
+    ended = F.col("depth") < total
+    return now.select("id", F.when(ended, F.col("latest")).alias("latest"), F.when(ended, F.col("depth").cast("int")).alias("depth"))
+
+
 def extract(sources: DataFrame, complete, repair) -> DataFrame:
     """Redact, ask, parse; ask once more where parsing failed; gate.
 

@@ -126,6 +126,33 @@ def reorder(hits: DataFrame, ranks: DataFrame, head: int = SETTINGS.rerank_head)
     return joined.withColumn("position", F.row_number().over(order)).drop("rerank")
 
 
+def rerank_results(head: DataFrame, results: DataFrame) -> DataFrame:
+    """Ranks (query_id, id, rerank) from a reranker's answers (query_id, seq, index, score) on the ``head``.
+
+    ``index`` counts the head's hits from 0 by position. Answers whose index is
+    no whole number within the head, or whose score is not finite, are left
+    out; of several for a hit the first counts; the rest go by score.
+    """
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("position")) - 1
+    places = head.select("query_id", "id", nth.cast("double").alias("index"))
+    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    sound = results.filter(finite).select("query_id", "seq", F.col("index").cast("double").alias("index"), "score").join(places, ["query_id", "index"])
+    first = sound.groupBy("query_id", "id").agg(F.min("seq").alias("seq"), F.min_by("score", "seq").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
+    return first.select("query_id", "id", F.row_number().over(order).alias("rerank"))
+
+
+def reranked(hits: DataFrame, ask, head: int = SETTINGS.rerank_head) -> DataFrame:
+    """Hits in the order of a reranker; ``ask`` maps the head's rows to answers (query_id, seq, index, score).
+
+    A query without answers (the reranker failed or was late) keeps its order.
+    """
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
+    placed = hits.withColumn("position", nth)
+    first = placed.filter(F.col("position") <= head)
+    return reorder(placed, rerank_results(first, ask(first)), head)
+
+
 def dot(a: str, b: str, size: int) -> Column:
     """Inner product written out, which stays in generated code."""
     total = F.col(a)[0] * F.col(b)[0]

@@ -10,12 +10,22 @@ from citeloom.functions import policy, text
 from citeloom.operators import ranking
 
 
+def _scope(rows: DataFrame, queries: DataFrame) -> list[str]:
+    """The columns that a query's repository is matched by; a scoped index refuses queries without a repository."""
+    if "repo_id" not in rows.columns:
+        return []
+    if "repo_id" not in queries.columns:
+        raise ValueError("queries on rows of several repositories need a repo_id")
+    return ["repo_id"]
+
+
 def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
-    """(id, term, weight): document-side BM25 term weights."""
-    tokens = chunks.select("id", text.sparse_tokens(F.col(content)).alias("tokens"))
-    long = tokens.select("id", F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.explode("tokens").alias("term"))
-    tf = long.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    return tf.select("id", "term", text.bm25_tf(F.col("tf").cast("double"), F.col("length").cast("double")).alias("weight"))
+    """(id, term, weight): document-side BM25 term weights, with ``repo_id`` where the chunks have one."""
+    keys = [c for c in ("repo_id", "id") if c in chunks.columns]
+    tokens = chunks.select(*keys, text.sparse_tokens(F.col(content)).alias("tokens"))
+    long = tokens.select(*keys, F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.explode("tokens").alias("term"))
+    tf = long.groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return tf.select(*keys, "term", text.bm25_tf(F.col("tf").cast("double"), F.col("length").cast("double")).alias("weight"))
 
 
 def idf(index: DataFrame, documents: int) -> DataFrame:
@@ -24,25 +34,35 @@ def idf(index: DataFrame, documents: int) -> DataFrame:
 
 
 def sparse_hits(index: DataFrame, queries: DataFrame, documents: int) -> DataFrame:
-    """Sum over shared terms of query frequency, document weight and idf; only asked terms are counted."""
-    asked = queries.select("query_id", F.explode(text.sparse_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    """Sum over shared terms of query frequency, document weight and idf; only asked terms are counted.
+
+    Terms are weighed over all repositories, hits are those of the query's own.
+    """
+    scope = _scope(index, queries)
+    asked = queries.select("query_id", *scope, F.explode(text.sparse_tokens(F.col("query"))).alias("term")).groupBy("query_id", *scope, "term").agg(F.count("*").alias("qtf"))
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
     weighed = wanted.join(idf(wanted, documents), "term")
-    hits = weighed.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("weight") * F.col("idf")).alias("score"))
+    hits = weighed.join(asked, ["term", *scope]).groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("weight") * F.col("idf")).alias("score"))
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def dense_hits(vectors: DataFrame, queries: DataFrame, size: int, floor: float) -> DataFrame:
     """Cosine of unit vectors with each of the stated queries, at least ``floor``; queries are few and broadcast."""
-    pairs = vectors.select("id", "vector").join(F.broadcast(queries.select("query_id", F.col("vector").alias("asked"))))
+    scope = _scope(vectors, queries)
+    pairs = _paired(vectors.select("id", *scope, "vector"), queries.select("query_id", *scope, F.col("vector").alias("asked")), scope)
     scored = pairs.select("query_id", "id", F.round(ranking.dot("vector", "asked", size), 6).alias("score"))
     return scored.filter(F.col("score") >= floor)
 
 
+def _paired(rows: DataFrame, asked: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows with the queries of their repository, by a join on it; all rows with the few stated queries otherwise."""
+    return rows.join(asked, scope) if scope else rows.join(F.broadcast(asked))
+
+
 def lexical_hits(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Best lexical matches of each query on symbol, path and content."""
-    asked = queries.select("query_id", text.lexical_query(F.col("query")).alias("q"))
-    pairs = chunks.join(F.broadcast(asked))
+    scope = _scope(chunks, queries)
+    pairs = _paired(chunks, queries.select("query_id", *scope, text.lexical_query(F.col("query")).alias("q")), scope)
     found = pairs.filter(
         (F.col("symbol") == F.col("q")) | (F.col("file_path") == F.col("q"))
         | F.contains(F.lower("symbol"), F.lower("q")) | F.contains(F.lower("file_path"), F.lower("q"))
@@ -57,16 +77,19 @@ def lexical_hits(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> Data
     return top.select("query_id", "id", "kind", "score", "evidence", "nth")
 
 
-def search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, floor: float = SETTINGS.search_evidence_floor, lexical: bool = True) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, floor: float = SETTINGS.search_evidence_floor, lexical: bool = True, rerank=None) -> DataFrame:
     """Cited chunks for each (query_id, query): (query_id, position, id, file_path, score, evidence).
 
-    ``chunks`` has id, file_path, symbol, content. Ranking runs on ids and
+    ``chunks`` has id, file_path, symbol, content, and ``repo_id`` where there
+    are several repositories: then queries name theirs and find nothing else.
+    ``rerank``, if given, orders the head (see ``ranking.reranked``). Ranking runs on ids and
     scores alone; content joins only the few that are left.
     """
     fetch = max(2 * top_k, top_k + 5)
     prefetch = max(3 * fetch, 30)
     size = SETTINGS.vector_size
-    vectors = chunks.select("id", text.bag_vector(F.col("content")).alias("vector"))
+    scope = _scope(chunks, queries)
+    vectors = chunks.select("id", *scope, text.bag_vector(F.col("content")).alias("vector"))
     asked = queries.withColumn("vector", text.bag_vector(F.col("query")))
     dense = ranking.ranked(dense_hits(vectors, asked, size, floor), "dense", prefetch)
     sparse = ranking.ranked(sparse_hits(postings(chunks), queries, chunks.count()), "sparse", prefetch)
@@ -75,6 +98,8 @@ def search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, floor: float
         hits = ranking.merge_lexical(hits, lexical_hits(chunks, queries))
     rows = chunks.join(F.broadcast(hits), "id")  # at most fetch + 50 rows a query
     rows = rows.filter((text.trimmed(F.col("file_path")) != "") & ~policy.must_refuse(F.col("file_path"), F.col("content")) & (F.col("evidence") >= floor))
+    if rerank is not None:
+        rows = ranking.reranked(rows, rerank)
     return ranking.diversify(rows, top_k).select("query_id", "position", "id", "file_path", "score", "evidence")
 
 
@@ -86,7 +111,8 @@ def find_decisions(decisions: DataFrame, queries: DataFrame, limit: int = 3, his
     prefetch = max(3 * cut, 24)
     body = text.decision_text(F.col("topic"), F.col("summary"), F.col("alternatives"))
     docs = decisions.withColumn("content", body)
-    vectors = docs.select("id", text.bag_vector(F.col("content")).alias("vector"))
+    scope = _scope(docs, queries)
+    vectors = docs.select("id", *scope, text.bag_vector(F.col("content")).alias("vector"))
     asked = queries.withColumn("vector", text.bag_vector(F.col("query")))
     dense = ranking.ranked(dense_hits(vectors, asked, SETTINGS.vector_size, SETTINGS.find_dense_floor), "dense", prefetch)
     sparse = ranking.ranked(sparse_hits(postings(docs), queries, docs.count()), "sparse", prefetch)

@@ -254,11 +254,10 @@ def decision_sources(spark, sf_dir):
 c AS (SELECT id AS head, id, nxt, 0 AS depth FROM d UNION ALL SELECT c.head, d.id, d.nxt, depth + 1 FROM c JOIN d ON d.id = c.nxt)
 SELECT head AS id, id AS latest, depth FROM c WHERE nxt IS NULL""")
 def supersede_chain(spark, sf_dir):
-    """The end of every order's chain of successors, and how far it is."""
+    """The end of every order's chain of successors, each superseded by its customer's next."""
     o = table(spark, sf_dir, "orders")
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    every = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return o.select(F.col("o_orderkey").alias("id"), F.last("o_orderkey").over(every).alias("latest"), (F.count("*").over(every) - 1).cast("int").alias("depth"))
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return decide.chain(o.select(F.col("o_orderkey").alias("id"), after.alias("superseded_by")))
 
 
 def _vectors(spark, sf_dir):

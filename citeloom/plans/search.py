@@ -25,16 +25,18 @@ def _tokens(name: str, source: str, key: str, body: str) -> str:
 {name} AS (SELECT id, unnest(list_distinct(list_filter([lower(raw)] || list_transform(string_split(regexp_replace(regexp_replace(replace(raw, '_', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), ' '), lambda x: lower(x)), lambda x: length(x) >= 2))) AS term FROM {name}_r)"""
 
 
-def _channels(source: str, body: str, prefetch: int, floor: float) -> str:
+def _channels(source: str, body: str, prefetch: int, floor: float, scoped: bool = False) -> str:
+    own = f"JOIN {source} own ON own.id = %s.id JOIN asked ON asked.query_id = %s AND asked.repo_id = own.repo_id" if scoped else ""
+    in_dense, in_sparse = (own % ("d_v", "q_v.id"), own % ("post", "qtf.query_id")) if scoped else ("", "")
     return f"""{_bag('d', source, 'id', body)}, {_bag('q', 'asked', 'query_id', 'query')},
-dense AS (SELECT q_v.id AS query_id, d_v.id, round(sum(d_v.w * q_v.w), 6) AS score FROM d_v JOIN q_v USING (dim) GROUP BY ALL HAVING round(sum(d_v.w * q_v.w), 6) >= {floor}),
+dense AS (SELECT q_v.id AS query_id, d_v.id, round(sum(d_v.w * q_v.w), 6) AS score FROM d_v JOIN q_v USING (dim) {in_dense} GROUP BY ALL HAVING round(sum(d_v.w * q_v.w), 6) >= {floor}),
 {_tokens('dt', source, 'id', body)}, {_tokens('qt', 'asked', 'query_id', 'query')},
 len AS (SELECT id, count(*) AS n FROM dt GROUP BY id),
 tf AS (SELECT id, term, count(*)::DOUBLE AS tf FROM dt GROUP BY ALL),
 post AS (SELECT id, term, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 180.0)) AS weight FROM tf JOIN len USING (id)),
 idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM {source}) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY term),
 qtf AS (SELECT id AS query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
-sparse AS (SELECT query_id, post.id, round(sum(qtf * weight * idf), 6) AS score FROM qtf JOIN post USING (term) JOIN idf USING (term) GROUP BY ALL),
+sparse AS (SELECT qtf.query_id, post.id, round(sum(qtf * weight * idf), 6) AS score FROM qtf JOIN post USING (term) JOIN idf USING (term) {in_sparse} GROUP BY ALL),
 ranks AS (SELECT * FROM (SELECT query_id, id, 'dense' AS channel, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM dense) WHERE rank < {prefetch}
  UNION ALL SELECT * FROM (SELECT query_id, id, 'sparse' AS channel, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sparse) WHERE rank < {prefetch}),
 fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (rank + 3)), 6) AS score, coalesce(max(score) FILTER (channel = 'dense'), 0) AS evidence,
@@ -77,6 +79,21 @@ def search_codebase(spark, sf_dir):
     return retrieval.search(files(spark, sf_dir), asked(spark, sf_dir), 10, lexical=False)
 
 
+@query(
+    "rank_scoped_search",
+    f"""WITH {FILES.replace("SELECT doc_id AS id,", "SELECT doc_id AS id, source AS repo_id,")},
+asked AS (SELECT item_id AS query_id, text AS query, 'src' || (item_id % 20)::VARCHAR AS repo_id FROM benchmark), {_channels('files', 'content', 30, 0.35, True)}, {_cutoff(10)},
+rows_ AS (SELECT query_id, position, id, file_path, score, evidence FROM cut JOIN files USING (id)
+ WHERE evidence >= 0.35 AND NOT regexp_matches(content, '(?i)(postgres(ql)?|mysql|mongodb(\\+srv)?|redis|amqp)://[^\\s:@/]+:[^\\s@/]+@')),
+{_diversify(5)} SELECT query_id, place AS position, id, file_path, score, evidence FROM placed WHERE place <= 5""",
+)
+def scoped_search(spark, sf_dir):
+    """Every benchmark passage asked in one source alone; the other sources' documents are never paired with it."""
+    rows = files(spark, sf_dir).withColumn("repo_id", F.split("file_path", "/")[0])
+    queries = asked(spark, sf_dir).withColumn("repo_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return retrieval.search(rows, queries, 5, lexical=False)
+
+
 @query("rank_hybrid_cutoff", f"WITH {FILES}, {ASKED}, {_channels('files', 'content', 60, 0.35)}, {_cutoff(20)} SELECT * FROM cut")
 def hybrid(spark, sf_dir):
     """Fused ranks after the staged cutoff."""
