@@ -37,12 +37,38 @@ _SPACE = chr(_PRINTABLE[ord(" ")])
 GROUP = 500  # remainders of one length numbered together
 
 
+class _Encoder:
+    """Ids of texts: the tokenizer's added tokens are read first, as it does, and what lies between by units."""
+
+    def __init__(self, cache: UnitCache, added: dict[str, int]) -> None:
+        self.cache = cache
+        self.added = {text: array("I", [i]).tobytes() for text, i in added.items()}
+        longest = sorted(added, key=len, reverse=True)
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")")
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not marked:
+            return self.cache.texts(texts)
+        plain = list(texts)
+        for i in marked:
+            plain[i] = ""
+        out = self.cache.texts(plain)
+        for i in marked:
+            parts = self.marks.split(texts[i])  # ordinary parts and added tokens by turns
+            parts[::2] = self.cache.texts(parts[::2])
+            parts[1::2] = [self.added[a] for a in parts[1::2]]
+            out[i] = b"".join(parts)
+        return out
+
+
 @lru_cache(maxsize=2)
-def _worker(path: str) -> UnitCache:
+def _worker(path: str) -> _Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model, split = Tokenizer.from_file(path).model, regex.compile(PATTERN)
+    tokenizer, split = Tokenizer.from_file(path), regex.compile(PATTERN)
+    model = tokenizer.model
 
     def ids(piece: str) -> bytes:
         """Ids of one piece; the model reads bytes written as printable characters."""
@@ -57,7 +83,7 @@ def _worker(path: str) -> UnitCache:
         known = {p: ids(p) for p in {p for c in cut for p in c}}
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
-    return UnitCache(encode)
+    return _Encoder(UnitCache(encode), {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:

@@ -157,14 +157,13 @@ def test_tokenizers(spark, corpus):
     with open(RANKS, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = corpus + ["a  b\n c\t\td 's it's 12,3 <|endoftext|> \x85\xa0中文😀 end ", " lead", "\x1c\x1dx"]
+    texts = corpus + ["a  b\n c\t\td 's it's 12,3 <|endoftext|> \x85\xa0中文😀 end ", " lead", "\x1c\x1dx", "<|endoftext|>", "a<|endoftext|><|endoftext|> b \n", "x <|endoftext|"]
     encoded = bpe.encode(frame(spark, texts), RANKS, public_tokenizers.PATTERN)
     for r in bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).collect():
         text = texts[r["doc_id"]] or ""
         assert np.frombuffer(r["ids"], "<u4").tolist() == own.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
     path = public_tokenizers.path("byte_bpe_50k.json")
     theirs = Tokenizer.from_file(path)
-    theirs.encode_special_tokens = True
     ids = {i: np.array([*theirs.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
     placed = packing.pack_documents(frame(spark, texts), path, 1024).toPandas()
     for doc, rows in placed.sort_values("start").groupby("doc_id"):
