@@ -18,7 +18,7 @@ from citeloom.session import table
     None,
 )
 def select_sources(spark, sf_dir):
-    """Outcome of every source, commits covered by merge requests left out."""
+    """Outcome of every source, commits covered by merge requests left out."""
     return sync.select_sources(sources(spark, sf_dir)).select("id", "repo_id", "source_type", "outcome")
 
 
@@ -91,7 +91,7 @@ def chunk_plan(spark, sf_dir):
 SELECT user_id, k, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY fresh DESC, event_id DESC) AS n FROM b) WHERE n = 1""",
 )
 def upsert(spark, sf_dir):
-    """The last event of each user and key; clicks and views are the changes."""
+    """The last event of each user and key; clicks and views are the changes."""
     e = events(spark, sf_dir)
     fresh = F.col("event_type").isin("click", "view")
     cols = ["user_id", "k", "event_id", "value"]
@@ -104,7 +104,7 @@ def upsert(spark, sf_dir):
 SELECT * FROM r WHERE dedupe_key IS NULL UNION ALL SELECT repo_id, job_type, dedupe_key, min(id) FROM r WHERE dedupe_key IS NOT NULL GROUP BY ALL""",
 )
 def first_by_key(spark, sf_dir):
-    """K5, K6, K7: first job of each idempotency key, all of those without one."""
+    """K5: first job of each idempotency key, all of those without one."""
     e = events(spark, sf_dir)
     rows = e.select(F.col("user_id").alias("repo_id"), F.col("event_type").alias("job_type"), F.when(F.col("k") % 5 != 0, F.col("k")).alias("dedupe_key"), F.col("event_id").alias("id"))
     return sync.first_by_key(rows, ["repo_id", "job_type"], "dedupe_key", "id")
@@ -180,7 +180,7 @@ a AS (SELECT repo_id, count(*) AS total, count(*) FILTER (status = 'embedded') A
 SELECT *, total - done - failed AS pending, CASE WHEN total - done - failed > 0 THEN 'indexing' WHEN total > 0 AND failed = total THEN 'error' ELSE 'ready' END AS state FROM a""",
 )
 def progress(spark, sf_dir):
-    """State of every supplier's run over its line items."""
+    """State of every supplier's run over its line items."""
     status = F.when(F.col("l_returnflag") == "R", "failed").when((F.col("l_linestatus") == "F") | (F.col("l_suppkey") % 3 == 0), "embedded").otherwise("pending")
     return metrics.progress(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("repo_id"), status.alias("status")))
 
@@ -203,7 +203,7 @@ r AS (SELECT *, sum((status = 200)::INTEGER) OVER (PARTITION BY provider ORDER B
 n AS (SELECT provider, id, row_number() OVER (PARTITION BY provider, run ORDER BY ts, id) AS nth FROM r WHERE status = 429) SELECT * FROM n WHERE nth >= 2""",
 )
 def breaker(spark, sf_dir):
-    """Refusals in a row of every user as provider."""
+    """W9 in part (see agg_breaker_states): refusals in a row of every user as provider."""
     status = F.when(F.col("event_type") == "purchase", 200).when(F.col("event_type") == "signup", 500).otherwise(429)
     c = table(spark, sf_dir, "events").select(F.col("user_id").alias("provider"), F.col("event_id").alias("id"), "ts", status.alias("status"))
     return metrics.breaker_trips(c).drop("ts")
@@ -245,7 +245,7 @@ def endpoints(spark, sf_dir):
     """SELECT o_orderkey AS id, l_linenumber AS line, o_totalprice AS price FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') l ON l_orderkey = o_orderkey""",
 )
 def decision_sources(spark, sf_dir):
-    """Orders with their returned lines, those without any kept."""
+    """Orders with their returned lines, those without any kept."""
     o, returned = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
     return o.join(returned, returned["l_orderkey"] == o["o_orderkey"], "left").select(F.col("o_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("o_totalprice").alias("price"))
 

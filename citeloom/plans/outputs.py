@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import outputs, text
+from citeloom.operators import jobs
 from citeloom.plans.base import DECISIONS, EVENTS, SOURCES, decisions, events, files, query, sources
 from citeloom.plans.base import FILES
 from citeloom.plans.search import SPACE_SQL
@@ -95,7 +96,7 @@ def touched(spark, sf_dir):
 SELECT * FROM l WHERE nth <= 10""",
 )
 def run_budget(spark, sf_dir):
-    """Sections in order of file until a run's budget is used, the file that crosses it cut."""
+    """The budget rule of C12 alone, over lines as sections (the whole run: sync_doc_run)."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     rows = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("run"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("section"))
     nth = F.row_number().over(Window.partitionBy("run").orderBy("file", "section"))
@@ -107,14 +108,14 @@ def run_budget(spark, sf_dir):
     """SELECT user_id AS repo_id, count(*) AS n, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'error') AS failed, count(*) > 0 AS some FROM events GROUP BY user_id""",
 )
 def counts(spark, sf_dir):
-    """Counts of every user's jobs by state."""
+    """A1: counts of every user's jobs by state."""
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("user_id").alias("repo_id")).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"), F.count_if(F.col("event_type") == "error").alias("failed"), (F.count("*") > 0).alias("some"))
 
 
 @query("rank_newest", """SELECT * FROM (SELECT o_custkey AS repo_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders) WHERE nth <= 5""")
 def newest(spark, sf_dir):
-    """Newest five of every repository."""
+    """Newest five of every repository."""
     o = table(spark, sf_dir, "orders")
-    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
-    return o.select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("id"), nth.alias("nth")).filter("nth <= 5")
+    rows = o.select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("id"), "o_orderdate")
+    return jobs.newest(rows, "o_orderdate", 5).drop("o_orderdate")
