@@ -115,8 +115,8 @@ nthd AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 SELECT query_id, position, id, topic, source_url, score, evidence FROM nthd WHERE position <= 3""",
 )
 def find_decision(spark, sf_dir):
-    """Decisions for every priority's name."""
-    found = decisions(spark, sf_dir).withColumn("superseded_by", F.lit(None).cast("long"))
+    """Decisions for every priority's name, all orders being one repository's."""
+    found = decisions(spark, sf_dir).drop("repo_id").withColumn("superseded_by", F.lit(None).cast("long"))
     names = table(spark, sf_dir, "orders").select("o_orderpriority").distinct()
     from pyspark.sql import Window
 
