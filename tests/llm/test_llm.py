@@ -370,6 +370,15 @@ def plain_chain(w, line):
     return total
 
 
+def test_words_are_spelt_together_as_alone():
+    speller = lm.Speller(RANKS, public_tokenizers.PATTERN)
+    odd = ["a\u00a0b", "\u00a0", "\u3000x", "x\u2003"]
+    plain = ["it's", "word.", "'s", "1234567", "naïve", "日本語", "!!", "a" * 700, "\u200b", "\x1c"]
+    for some in (plain, odd, [*plain, *odd, *plain], ["x"], []):
+        ids, starts = speller.many([x.encode() for x in some])
+        assert [x.tolist() for x in np.split(ids, starts)[1:]] == [speller.ids(x.encode()) for x in some]
+
+
 def test_training_windows_cover_every_word(spark):
     texts = ["", "one", *(words(random.Random(n), n) for n in (31, 32, 33, 500, 3000))]
     heads, later = np.arange(50_257), np.ones(50_257, dtype=np.int64)
@@ -379,10 +388,11 @@ def test_training_windows_cover_every_word(spark):
         line = [lm.CLOSE, *[int(model.code[speller.ids(x)[0]]) for x in t.encode().lower().split()], lm.CLOSE]
         told.update(zip(line[:-1], line[1:]))
     for cut in (1, 3):  # the shards and their order do not depend on how the table is cut
-        rows = lm.training_windows(spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(cut), model, 2).collect()
+        some = spark.createDataFrame(list(enumerate(texts)), "id long, body string").withColumn("usable", F.lit(True)).repartition(cut)
+        rows = lm.training_lines(lm.coded(some, {b"": 1}, model), 2).collect()
         found = Counter()
         for r in rows:
-            windows = np.frombuffer(bytes(r["w"]), dtype="<u2").reshape(-1, lm.WIDTH + 1)
+            windows = lm.cut_windows(np.frombuffer(bytes(r["line"]), dtype="<u2"))
             found.update((a, b) for x in windows.tolist() for a, b in zip(x[:-1], x[1:]) if b != lm.NOTHING)
         assert found == told
         shards = sorted((r["shard"], r["key"]) for r in rows)
