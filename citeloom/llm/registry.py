@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citeloom.llm import ann, bpe, chat, egojoin, lm, packing, quality, secrets, simhash, suffix
+from citeloom.llm import ann, bpe, chat, conversation, decontaminate, egojoin, lm, packing, quality, secrets, simhash, spelling, suffix
 from citeloom.llm.common import table
 
 
@@ -88,6 +88,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of ``conversations``, damaged by a checksum, with its faults and cheapest repair."""
+    return conversation.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` with the words one edit away and the form that they are a variant of."""
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` against all windows of ten words of ``benchmark``."""
+    return decontaminate.digests(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -100,6 +115,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_decontamination": op13_decontamination,
     }
 
 
