@@ -8,15 +8,16 @@ needs a parser, goes through Python.
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.config import SETTINGS
 from citeloom.functions.text import trimmed
+from citeloom.operators import typescript
 
 CHUNK = ("id", "file_path", "symbol", "parent", "language", "byte_start", "byte_end", "content", "content_hash")
 STEP = SETTINGS.window - SETTINGS.overlap
@@ -71,6 +72,7 @@ def paragraphs(files: DataFrame) -> DataFrame:
     return _chunks(spans, F.lit("text"))
 
 
+# Fixed value: the form of a heading line.
 HEADING = r"^(#{1,6})[ \t]+([^\n]+?)[ \t]*$"
 
 
@@ -135,89 +137,61 @@ def python_symbols(source: str) -> list[Symbol]:
     return found
 
 
-_TS = re.compile(
-    r"(?P<export>export\s+(?:default\s+)?)?(?:(?P<kind>abstract\s+class|class|interface|(?:async\s+)?function\*?)\s+(?P<name>[A-Za-z_$][\w$]*)"
-    r"|(?P<decl>(?:const|let|var)\s+(?P<arrow>[A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*)(?=(?:async\s+)?(?:\([^()]*\)\s*(?::[^=;{]+)?|[A-Za-z_$][\w$]*\s*)=>))"
+@dataclass(frozen=True)
+class Plugin:
+    """A language: the extensions of its files, and what finds the symbols of a source."""
+
+    language: str
+    extensions: tuple[str, ...]
+    parse: Callable[[str, str], list[Symbol]]  # of the source and the file's lower-case extension
+
+
+PLUGINS = (
+    Plugin("python", (".py",), lambda source, _: python_symbols(source)),
+    Plugin("typescript", (".ts", ".tsx"), lambda source, ext: typescript.symbols(source, ext == ".tsx")),
 )
-_METHOD = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*(?P<name>[A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^;{}]*\)\s*(?::[^{};]+)?\{")
 
 
-def _blanked(source: str) -> str:
-    """The source with comments and strings as spaces, so that braces count."""
-    return re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", lambda m: re.sub(r"[^\n]", " ", m.group()), source, flags=re.S)
+def _extensions(plugins: tuple[Plugin, ...]) -> list[str]:
+    return [e for p in plugins for e in p.extensions]
 
 
-def _closing(text: str, at: int) -> int:
-    depth = 0
-    for i in range(at, len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
-        if depth == 0:
-            return i + 1
-    return len(text)
+def symbols(files: DataFrame, plugins: tuple[Plugin, ...] = PLUGINS) -> DataFrame:
+    """Chunks of source files by symbol; a file that does not parse, or has no symbol, is cut in windows.
 
+    The parser of a language sees one file at a time; everything else is in Spark.
+    """
+    known = {e: p for p in plugins for e in p.extensions}
+    symbol = pa.list_(pa.struct([("symbol", pa.string()), ("parent", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
 
-def typescript_symbols(source: str) -> list[Symbol]:
-    """Functions, classes, methods, interfaces and named arrow functions, by a brace-aware scan."""
-    text = _blanked(source)
-    found: list[Symbol] = []
-    classes: list[tuple[str, int, int]] = []
-    for m in _TS.finditer(text):
-        name = m["name"] or m["arrow"]
-        if m["arrow"]:
-            start = m.end("decl")
-            arrow = text.find("=>", start)
-            body = re.compile(r"\s*").match(text, arrow + 2).end()
-            end = _closing(text, body) if text[body : body + 1] == "{" else (re.compile(r"[^;\n]*").match(text, body).end())
-        else:
-            start = m.start()
-            brace = text.find("{", m.end())
-            end = _closing(text, brace) if brace >= 0 else len(text)
-            if "class" in m["kind"]:
-                classes.append((name, brace, end))
-        found.append((name, None, start, end))
-    for name, brace, end in classes:
-        for m in _METHOD.finditer(text, brace + 1, end - 1):
-            if m["name"] not in ("if", "for", "while", "switch", "catch", "function", "return") and text[brace + 1 : m.start("name")].count("{") == text[brace + 1 : m.start("name")].count("}"):
-                head = m.start() + len(m.group()) - len(m.group().lstrip())
-                found.append((m["name"], name, head, _closing(text, m.end() - 1)))
-    owner = lambda s, e: next((c for c, b, z in reversed(classes) if b < s and e <= z), None)
-    return sorted(((n, p or owner(s, e), s, e) for n, p, s, e in found), key=lambda x: (x[2], -x[3]))
-
-
-PARSERS: dict[str, tuple[str, Callable[[str], list[Symbol]]]] = {
-    ".py": ("python", python_symbols), ".ts": ("typescript", typescript_symbols), ".tsx": ("typescript", typescript_symbols)
-}
-
-
-def symbols(files: DataFrame) -> DataFrame:
-    """Chunks of source files by symbol; a file that does not parse, or has no symbol, is cut in windows."""
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                language, parse = PARSERS["." + r.file_path.rsplit(".", 1)[-1].lower()]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for ext, content in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    found = parse(r.content)
-                except (SyntaxError, ValueError):
+                    found = known[ext].parse(content, ext)
+                except (SyntaxError, ValueError, RecursionError):
                     found = []
-                rows += [(r.id, r.file_path, r.content, n, p, language, s, e) for n, p, s, e in found] or [(r.id, r.file_path, r.content, None, None, language, 0, -1)]
-            yield pd.DataFrame(rows, columns=["id", "file_path", "content", "symbol", "parent", "language", "s", "e"])
+                made.append([dict(zip(("symbol", "parent", "s", "e"), f)) for f in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, symbol)], names=[*batch.schema.names, "found"])
 
+    ext = extension(F.col("file_path"))
+    coded = files.select("id", "file_path", "content", ext.alias("ext")).filter(F.col("ext").isin(*known) & F.col("content").isNotNull())
     id_type = files.schema["id"].dataType.simpleString()
-    known = files.select("id", "file_path", "content").filter(extension(F.col("file_path")).isin(*PARSERS))
-    spans = known.mapInPandas(each, f"id {id_type}, file_path string, content string, symbol string, parent string, language string, s int, e int")
-    whole = F.array(F.struct(F.col("s").alias("s"), F.col("e").alias("e")))
-    return _chunks(spans.withColumn("w", F.when(F.col("e") >= 0, whole).otherwise(_windows(F.lit(0), F.length("content")))), F.col("language"))
+    parsed = coded.mapInArrow(each, f"id {id_type}, file_path string, content string, ext string, found array<struct<symbol:string,parent:string,s:int,e:int>>")
+    language = F.element_at(F.create_map(*[F.lit(x) for e, p in known.items() for x in (e, p.language)]), F.col("ext"))
+    spans = parsed.select("id", "file_path", "content", language.alias("language"), F.explode_outer("found").alias("f"))
+    whole = F.when(F.col("f").isNotNull(), F.array(F.struct(F.col("f.s").alias("s"), F.col("f.e").alias("e")))).otherwise(_windows(F.lit(0), F.length("content")))
+    return _chunks(spans.select("id", "file_path", "content", "language", F.col("f.symbol").alias("symbol"), F.col("f.parent").alias("parent"), whole.alias("w")), F.col("language"))
 
 
-def chunk_files(files: DataFrame, code: bool = True) -> DataFrame:
+def chunk_files(files: DataFrame, code: bool = True, plugins: tuple[Plugin, ...] = PLUGINS) -> DataFrame:
     """Every file by the chunker of its extension; files with a NUL are binary and give none."""
     ext = extension(F.col("file_path"))
     good = files.select("id", "file_path", "content").filter(F.col("content").isNotNull() & (F.instr("content", "\0") == 0))
-    prose, marked, coded = ext.isin(".txt", ".rst", ".adoc"), ext.isin(".md", ".mdx", ".markdown"), ext.isin(*PARSERS)
+    prose, marked, coded = ext.isin(".txt", ".rst", ".adoc"), ext.isin(".md", ".mdx", ".markdown"), ext.isin(*_extensions(plugins))
     out = paragraphs(good.filter(prose)).unionByName(markdown(good.filter(marked))).unionByName(windows(good.filter(~prose & ~marked & ~coded)))
-    return out.unionByName(symbols(good.filter(coded))) if code else out
+    return out.unionByName(symbols(good.filter(coded), plugins)) if code else out
 
 
 def doc_sections(files: DataFrame) -> DataFrame:

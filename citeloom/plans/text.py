@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from citeloom.functions import policy, text
@@ -56,19 +58,18 @@ def fnv1a(spark, sf_dir):
 
 @query(
     "fn_paths",
-    rf"""WITH {FILES}, p AS (SELECT id, CASE id % 5 WHEN 0 THEN file_path WHEN 1 THEN 'docs/x/decisions/' || file_path WHEN 2 THEN '.env.' || id::VARCHAR WHEN 3 THEN 'ADR-' || id::VARCHAR || '.md' ELSE 'dist/' || file_path END AS path FROM files)
+    rf"""WITH {FILES}, p AS (SELECT id, CASE id % 7 WHEN 5 THEN 'plain words ' || id::VARCHAR WHEN 6 THEN '.t' || (id % 10)::VARCHAR WHEN 0 THEN file_path WHEN 1 THEN 'docs/x/decisions/' || file_path WHEN 2 THEN '.env.' || id::VARCHAR WHEN 3 THEN 'ADR-' || id::VARCHAR || '.md' ELSE 'dist/' || file_path END AS path FROM files)
 SELECT id, path, split_part(path, '/', -1) AS base, CASE WHEN regexp_matches(path, '(?i)\.(md|mdx|rst|txt|adoc)$') THEN 'doc' ELSE 'source' END AS class,
  regexp_matches(split_part(path, '/', -1), '(?i)^adr.*\.md$') OR regexp_matches(path, '(?i)\.md$') AND regexp_matches(path, '(?i)(^|/)docs/(?:.+/)?decisions/') AS decision_doc,
- regexp_matches(path, '(?i)(^|/)\.env\.[^/]*$') AS secret, regexp_matches(path, '(?i)(^|/)\.env\.[^/]*$') OR regexp_matches(path, '(^|/)dist/') AS excluded, true AS path_like FROM p""",
+ regexp_matches(path, '(?i)(^|/)\.env\.[^/]*$') AS secret, regexp_matches(path, '(?i)(^|/)\.env\.[^/]*$') OR regexp_matches(path, '(^|/)dist/') AS excluded, contains(path, '/') OR regexp_matches(path, '\.[A-Za-z0-9]{{1,8}}$') AS path_like, regexp_matches(path, '^\.[A-Za-z0-9]{{1,8}}$') AS bare_extension FROM p""",
 )
 def paths(spark, sf_dir):
     """Classes of every file's path."""
     f = files(spark, sf_dir)
-    made = F.element_at(F.array(F.col("file_path"), F.concat(F.lit("docs/x/decisions/"), "file_path"), F.concat(F.lit(".env."), F.col("id").cast("string")), F.concat(F.lit("ADR-"), F.col("id").cast("string"), F.lit(".md")), F.concat(F.lit("dist/"), "file_path")), (F.col("id") % 5 + 1).cast("int"))
+    made = F.element_at(F.array(F.col("file_path"), F.concat(F.lit("docs/x/decisions/"), "file_path"), F.concat(F.lit(".env."), F.col("id").cast("string")), F.concat(F.lit("ADR-"), F.col("id").cast("string"), F.lit(".md")), F.concat(F.lit("dist/"), "file_path"), F.concat(F.lit("plain words "), F.col("id").cast("string")), F.concat(F.lit(".t"), (F.col("id") % 10).cast("string"))), (F.col("id") % 7 + 1).cast("int"))
     p = f.select("id", made.alias("path"))
     c = F.col("path")
-    long_ext = text.is_path_like(c) | c.rlike(r"^\.env\.")
-    return p.select("id", "path", text.basename(c).alias("base"), text.path_class(c).alias("class"), text.is_decision_doc(c).alias("decision_doc"), policy.is_secret_path(c).alias("secret"), policy.is_excluded(c).alias("excluded"), long_ext.alias("path_like"))
+    return p.select("id", "path", text.basename(c).alias("base"), text.path_class(c).alias("class"), text.is_decision_doc(c).alias("decision_doc"), policy.is_secret_path(c).alias("secret"), policy.is_excluded(c).alias("excluded"), text.is_path_like(c).alias("path_like"), text.is_extension_only(c).alias("bare_extension"))
 
 
 @query(
@@ -155,22 +156,31 @@ def chunk_windows(spark, sf_dir):
     return chunking.windows(p).select(*CHUNK_COLUMNS)
 
 
+# Sentences become headings of three depths and fence lines, by their first letters.
+MARKED = ((r"\. ([A-C])", ".\n```\n$1"), (r"\. ([D-H])", ".\n# $1"), (r"\. ([I-O])", ".\n### $1"), (r"\. ([P-Z])", ".\n## $1"))
+MARKED_SQL = reduce(lambda c, r: "regexp_replace(%s, '%s', E'%s', 'g')" % (c, r[0].replace("\\", "\\"), r[1].replace("\n", "\\n").replace("$1", "\\\\1")), MARKED, "text")
+
+
 @query(
     "chunk_markdown",
-    f"""WITH d AS (SELECT doc_id AS id, 'd/' || doc_id::VARCHAR || '.md' AS file_path, regexp_replace(text, '\\. ([A-Z])', E'.\\n## \\\\1', 'g') AS content FROM documents),
+    f"""WITH d AS (SELECT doc_id AS id, 'd/' || doc_id::VARCHAR || '.md' AS file_path, {MARKED_SQL} AS content FROM documents),
 l AS (SELECT id, file_path, content, unnest(string_split(content, E'\\n')) AS line, generate_subscripts(string_split(content, E'\\n'), 1) AS n FROM d),
-a AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
-h AS (SELECT *, regexp_replace(regexp_extract(line, '^(#{{1,6}})[ \\t]+([^\\n]+?)[ \\t]*$', 2), '^{SPACE_SQL}+|[ \\t]+#+[ \\t]*$|{SPACE_SQL}+$', '', 'g') AS title FROM a WHERE regexp_matches(line, '^(#{{1,6}})[ \\t]+([^\\n]+?)[ \\t]*$')),
-s AS (SELECT id, file_path, content, title AS symbol, pos AS s, coalesce(lead(pos) OVER (PARTITION BY id ORDER BY n), length(content)) AS e FROM h WHERE title <> ''
- UNION ALL SELECT id, file_path, content, NULL, 0, coalesce((SELECT min(pos) FROM h WHERE h.id = d.id AND title <> ''), length(content)) FROM d),
+a AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+ regexp_matches(line, '^\\s*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS fences FROM l),
+h AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}})', 1)) AS depth, regexp_replace(regexp_extract(line, '^(#{{1,6}})[ \\t]+([^\\n]+?)[ \\t]*$', 2), '^{SPACE_SQL}+|[ \\t]+#+[ \\t]*$|{SPACE_SQL}+$', '', 'g') AS title
+ FROM a WHERE NOT fence AND fences % 2 = 0 AND regexp_matches(line, '^(#{{1,6}})[ \\t]+([^\\n]+?)[ \\t]*$')),
+t AS (SELECT * FROM h WHERE title <> ''),
+u AS (SELECT id, n, max_by(other, above) AS parent FROM (SELECT t.id, t.n, p.n AS above, p.title AS other FROM t JOIN t AS p ON p.id = t.id AND p.n < t.n AND p.depth < t.depth) GROUP BY id, n),
+s AS (SELECT t.id, file_path, content, title AS symbol, u.parent, pos AS s, coalesce(lead(pos) OVER (PARTITION BY t.id ORDER BY t.n), length(content)) AS e FROM t LEFT JOIN u ON u.id = t.id AND u.n = t.n
+ UNION ALL SELECT d.id, file_path, content, NULL, NULL, 0, coalesce(low, length(content)) FROM d LEFT JOIN (SELECT id, min(pos) AS low FROM t GROUP BY id) AS f ON f.id = d.id),
 w AS (SELECT *, {WINDOW_SQL} AS o FROM s)
-SELECT id, file_path, symbol, NULL AS parent, 'markdown' AS language, (s + o)::INTEGER AS byte_start, least(s + o + 2000, e)::INTEGER AS byte_end,
+SELECT id, file_path, symbol, parent, 'markdown' AS language, (s + o)::INTEGER AS byte_start, least(s + o + 2000, e)::INTEGER AS byte_end,
  sha256(substring(content, (s + o + 1)::BIGINT, (least(s + o + 2000, e) - s - o)::BIGINT)) AS content_hash FROM w""",
 )
 def chunk_markdown(spark, sf_dir):
-    """Sections of every document, its sentences made headings."""
+    """Sections of every document, its sentences made headings of three depths, some within fences."""
     d = table(spark, sf_dir, "documents")
-    body = F.regexp_replace("text", r"\. ([A-Z])", ".\n## $1")
+    body = reduce(lambda c, r: F.regexp_replace(c, *r), MARKED, F.col("text"))
     f = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), body.alias("content"))
     return chunking.markdown(f).select(*CHUNK_COLUMNS)
 
@@ -181,15 +191,6 @@ def chunk_files(spark, sf_dir):
     return chunking.chunk_files(files(spark, sf_dir), code=False).select(*CHUNK_COLUMNS)
 
 
-@query("chunk_code")
-def chunk_code(spark, sf_dir):
-    """Documents as Python modules of one function a line, cut by symbol."""
-    d = table(spark, sf_dir, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("def f"), i.cast("string"), F.lit("():\n    return "), F.length(x).cast("string")))
-    f = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("m/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.array_join(lines, "\n").alias("content"))
-    return chunking.symbols(f).select(*CHUNK_COLUMNS)
-
-
 @query("chunk_doc_sections")
 def doc_sections(spark, sf_dir):
     """C11: decision drafts of every document's second-level sections."""

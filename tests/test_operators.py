@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import policy, text
-from citeloom.operators import chunking, decisions, metrics, ranking, sync
+from citeloom.operators import typescript, chunking, decisions, metrics, ranking, sync
 from citeloom.sources import events
 from citeloom.streaming import pushes
 
@@ -157,7 +157,7 @@ def test_code_symbols():
     python = "import os\n@dec\nclass A:\n    def f(self):\n        def g(): pass\n        return g\n\ndef h():\n    return 'é'\n"
     assert [(n, p) for n, p, _, _ in chunking.python_symbols(python)] == [("A", None), ("f", "A"), ("g", "A"), ("h", None)]
     script = "export interface P { a: string }\nexport function f(x: number) { return { x }; }\nexport class K {\n  run(a: string): void { if (a) { go(a); } }\n  stop() {}\n}\nexport const arrow = (a: number) => a + 1;\n"
-    found = chunking.typescript_symbols(script)
+    found = typescript.symbols(script)
     assert [(n, p) for n, p, _, _ in found] == [("P", None), ("f", None), ("K", None), ("run", "K"), ("stop", "K"), ("arrow", None)]
     assert script[found[-1][2] : found[-1][3]] == "(a: number) => a + 1"
     assert script[found[1][2] : found[1][3]].startswith("export function f")
