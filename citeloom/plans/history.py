@@ -119,10 +119,10 @@ def retention(spark, sf_dir):
 
 @query(
     "sync_coalesce_pushes",
-    f"""WITH {EVENTS} SELECT user_id AS repo_id, event_type AS ref, arg_min('s' || k::VARCHAR, event_id) AS before, arg_max('s' || (k + 1)::VARCHAR, event_id) AS after, count(*) AS pushes FROM ev GROUP BY ALL""",
+    f"""WITH {EVENTS} SELECT user_id AS repo_id, arg_min('s' || k::VARCHAR, event_id) AS before, arg_max('s' || (k + 1)::VARCHAR, event_id) AS after, count(*) AS pushes FROM ev GROUP BY ALL""",
 )
 def coalesce_pushes(spark, sf_dir):
-    """R2: pending range of every user's pushes of a kind."""
+    """R2: pending range of every user's pushes."""
     return sync.coalesce_pushes(_pushes(events(spark, sf_dir)))
 
 
@@ -147,7 +147,7 @@ def job_plans(spark, sf_dir):
     "sync_recovery",
     f"""WITH {EVENTS}, r AS (SELECT user_id, sum(k) - 40 * count(*) AS pending, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type IN ('error', 'click')) AS total,
  count(*) FILTER (event_type = 'view') AS queued, CASE WHEN count(*) % 4 = 0 THEN 'ready' ELSE 'indexing' END AS status FROM ev GROUP BY user_id)
-SELECT *, CASE WHEN status <> 'indexing' THEN 'unchanged' WHEN pending <= 0 AND failed >= total THEN 'error' WHEN pending <= 0 THEN 'finalize'
+SELECT *, CASE WHEN status <> 'indexing' THEN 'unchanged' WHEN pending <= 0 THEN CASE WHEN total > 0 AND failed >= total THEN 'error' ELSE 'finalize' END
  WHEN total = 0 THEN 'error' WHEN queued = 0 THEN 'error' ELSE 'unchanged' END AS action FROM r""",
 )
 def recovery(spark, sf_dir):

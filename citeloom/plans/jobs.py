@@ -130,21 +130,21 @@ def merged_pulls(spark, sf_dir):
 
 @query(
     "sync_flush_deferred",
-    f"""WITH {EVENTS}, r AS (SELECT user_id AS repo_id, event_type AS ref, arg_min('s' || k::VARCHAR, event_id) AS before, arg_max('s' || (k + 1)::VARCHAR, event_id) AS after,
+    f"""WITH {EVENTS}, r AS (SELECT user_id AS repo_id, arg_min('s' || k::VARCHAR, event_id) AS before, arg_max('s' || (k + 1)::VARCHAR, event_id) AS after,
  epoch_ms(max(ts)) AS updated_ms FROM ev WHERE event_type <> 'view' GROUP BY ALL),
 done AS (SELECT DISTINCT user_id AS repo_id, 's' || k::VARCHAR AS after FROM ev WHERE event_type = 'view' AND k % 2 = 0), act AS (SELECT DISTINCT user_id AS repo_id, 's' || k::VARCHAR AS after FROM ev WHERE event_type = 'view' AND k % 2 = 1)
-SELECT repo_id, ref, before, after, CASE WHEN updated_ms + 86400000 <= (SELECT max(epoch_ms(ts)) FROM ev) THEN 'expired' WHEN (repo_id, after) IN (SELECT (repo_id, after) FROM done) THEN 'done'
+SELECT repo_id, before, after, CASE WHEN updated_ms + 86400000 <= (SELECT max(epoch_ms(ts)) FROM ev) THEN 'expired' WHEN (repo_id, after) IN (SELECT (repo_id, after) FROM done) THEN 'done'
  WHEN (repo_id, after) IN (SELECT (repo_id, after) FROM act) THEN 'active' ELSE 'flush' END AS action FROM r""",
 )
 def flush_deferred(spark, sf_dir):
     """What becomes of every deferred range when the index is ready; ranges live for a day here."""
     e = events(spark, sf_dir)
     late = e.filter("event_type <> 'view'")
-    last = late.groupBy(F.col("user_id").alias("repo_id"), F.col("event_type").alias("ref")).agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("updated_ms"))
-    ranges = sync.coalesce_pushes(_pushes(late)).join(last, ["repo_id", "ref"])
+    last = late.groupBy(F.col("user_id").alias("repo_id")).agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("updated_ms"))
+    ranges = sync.coalesce_pushes(_pushes(late)).join(last, "repo_id")
     tips = e.filter("event_type = 'view'").select(F.col("user_id").alias("repo_id"), F.concat(F.lit("s"), F.col("k").cast("string")).alias("after"), F.when(F.col("k") % 2 == 0, "done").otherwise("active").alias("status"))
     now = e.agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("now")).first()["now"] or 0
-    return jobs.flush_plan(ranges, tips, tips.filter("status = 'active'"), now, 86_400_000).select("repo_id", "ref", "before", "after", "action")
+    return jobs.flush_plan(ranges, tips, tips.filter("status = 'active'"), now, 86_400_000).select("repo_id", "before", "after", "action")
 
 
 @query(
@@ -157,7 +157,7 @@ u AS (SELECT *, coalesce(last_value(told IGNORE NULLS) OVER (PARTITION BY provid
 SELECT provider, id, CASE WHEN til < 0 THEN 'closed' WHEN ms < til THEN 'open' ELSE 'half-open' END AS state FROM u""",
 )
 def breaker_states(spark, sf_dir):
-    """The breaker's state before every call of every user as provider."""
+    """The breaker's state before every call of every user as provider."""
     status = F.when(F.col("event_type") == "purchase", 200).when(F.col("event_type") == "signup", 500).otherwise(429)
     calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("provider"), F.col("event_id").alias("id"), (F.col("event_id") * 2000).alias("at_ms"), status.alias("status"))
     return jobs.breaker_states(calls).select("provider", "id", "state")

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from citeloom.functions import policy, text
+from citeloom.functions import ignore, policy, text
 from citeloom.operators import chunking, decisions as decide
 from citeloom.plans.base import DECISIONS, FILES, SOURCES, decisions, files, query, sources
 from citeloom.plans.search import SPACE_SQL
@@ -72,6 +72,19 @@ def paths(spark, sf_dir):
     return p.select("id", "path", text.basename(c).alias("base"), text.path_class(c).alias("class"), text.is_decision_doc(c).alias("decision_doc"), policy.is_secret_path(c).alias("secret"), policy.is_excluded(c).alias("excluded"), text.is_path_like(c).alias("path_like"), text.is_extension_only(c).alias("bare_extension"))
 
 
+# Rules of an ignore file for the paths of documents, and what they say of one path, written out.
+RULES = ("# sources", "*.dat", "!*7.dat", "/src2*/", "de/*.MD", "**/fr/*1.txt", "!src3/**/fr/*", "es/", "!es/12*")
+RULES_SQL = r"""CASE WHEN regexp_matches(file_path, '(?i)^src2[^/]*/') OR regexp_matches(file_path, '(^|/)es/') THEN true
+ WHEN regexp_matches(file_path, '^src3/(.*/)?fr/[^/]+$') THEN false WHEN regexp_matches(file_path, '(^|/)fr/[^/]*1\.txt$') THEN true
+ WHEN regexp_matches(file_path, '7\.dat$') THEN false ELSE regexp_matches(file_path, '\.dat$') END"""
+
+
+@query("fn_ignored", f"WITH {FILES} SELECT id, file_path, {RULES_SQL} AS ignored FROM files")
+def ignored(spark, sf_dir):
+    """Every file by ordered ignore rules."""
+    return files(spark, sf_dir).select("id", "file_path", ignore.is_ignored(F.col("file_path"), ignore.rules(RULES)).alias("ignored"))
+
+
 @query(
     "fn_citations",
     f"""WITH {DECISIONS} SELECT id, source_url, starts_with(source_url, 'https://') AS citation, topic || E'\\n\\n' || summary || CASE WHEN len(alternatives) > 0 THEN E'\\n\\nAlternatives considered: ' || array_to_string(alternatives, '; ') ELSE '' END AS embed_text,
@@ -108,7 +121,7 @@ def _any_sql(column: str, patterns) -> str:
 @query(
     "fn_trivial_sources",
     f"""WITH {SOURCES} SELECT id, title, NOT regexp_matches(title || E'\\n' || body, '{_sql(policy.RATIONALE)}') AND
- ((regexp_matches(title, '(?i)^merge(?:$|[^A-Za-z0-9_])') AND body = '') OR regexp_matches(title, '{_sql(policy.TRIVIAL_SUBJECT)}') OR {_any_sql('title', policy.TRIVIAL)}) AS trivial,
+ ((regexp_matches(title, '{policy.BARE_MERGE}') AND body = '') OR regexp_matches(title, '{_sql(policy.TRIVIAL_SUBJECT)}') OR {_any_sql('title', policy.TRIVIAL)}) AS trivial,
  {_any_sql('title', policy.CONTRAST)} AS contrast FROM sources""",
 )
 def trivial_sources(spark, sf_dir):
@@ -121,7 +134,7 @@ QUALITY = f"CASE WHEN len(alternatives) > 0 THEN 'filled' WHEN {_any_sql('summar
 
 @query("agg_alternatives_audit", f"WITH {DECISIONS}, b AS (SELECT {QUALITY} AS bucket FROM decisions) SELECT bucket, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM b), 1)::DOUBLE AS percent FROM b GROUP BY bucket")
 def alternatives_audit(spark, sf_dir):
-    """Quality of every decision's alternatives."""
+    """Quality of every decision's alternatives."""
     return decide.audit(decisions(spark, sf_dir).withColumns({"title": F.lit(""), "body": F.lit("")}))
 
 

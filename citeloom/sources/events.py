@@ -6,10 +6,12 @@ import hashlib
 import hmac
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.functions import policy
+from citeloom.config import SETTINGS
+from citeloom.functions import ignore, policy
+from citeloom.sources import files
 
 PUSH = "struct<ref:string,before:string,after:string,repository:struct<full_name:string>>"
 ZERO = "0" * 40
@@ -56,9 +58,17 @@ def parse_log(text: Column) -> Column:
     return F.filter(made, lambda r: r["sha"].rlike("^[0-9a-f]{40}$"))
 
 
-def list_files(spark, root: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Text files under ``root`` (file_path, content) that are not excluded, too large or binary."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter("length <= 512000")
-    path = F.regexp_replace(F.col("path"), "^(file:)?/*" + root.strip("/").replace(".", r"\.") + "/", "")
-    text = found.select(path.alias("file_path"), F.col("content").cast("string").alias("content"))
-    return text.filter(~policy.is_excluded(F.col("file_path"), extra) & (F.instr("content", "\0") == 0))
+def list_files(spark: SparkSession, root: str, extra: tuple[str, ...] = (), most_bytes: int = SETTINGS.max_file_bytes) -> DataFrame:
+    """Text files under ``root`` (file_path, content), sorted by path, that are not excluded, too large or binary.
+
+    Every ignore file under ``root`` counts for its own folder, the deeper one
+    after the one above it, and all after the fixed patterns, as in a walk.
+    """
+    files.register(spark)
+    listed = spark.read.format("repository_files").option("maxBytes", most_bytes).load(root)
+    named = listed.filter(F.element_at(F.split("file_path", "/"), -1) == ".gitignore").select("file_path", F.col("content").cast("string").alias("content"))
+    lines = sorted(((r["file_path"], r["content"]) for r in named.toLocalIterator()), key=lambda x: (x[0].count("/"), x[0]))
+    rules = [r for path, text in lines for r in ignore.rules(text, path.rpartition("/")[0])]
+    kept = listed.filter(~policy.is_excluded(F.col("file_path"), [*ignore.rules(extra), *rules]))
+    texts = kept.select("file_path", F.col("content").cast("string").alias("content"))
+    return texts.filter(F.instr("content", "\0") == 0).orderBy("file_path")

@@ -59,3 +59,132 @@ def test_finished_keeps_messages_of_errors_alone(spark):
     found = [tuple(r) for r in jobs.finished(work, told).orderBy("id").select("id", "status", "latency_ms", "tokens", "message").collect()]
     assert found == [(1, "done", 5, 0, None), (2, "error", 6, 7, "bad"), (3, "queued", 1, 2, "m")]
     assert jobs.pending(work.withColumn("status", F.lit(None).cast("string"))).count() == 3
+
+
+def feed(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def drained(spark, tmp_path, schema, made):
+    """What a stream over the files of a folder writes when it is started anew from its checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = made(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+    out = stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+    out.format("parquet").start(f"{tmp_path}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()
+
+
+def test_deferred_pushes_are_kept_over_a_restart_and_flushed_once(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from citeloom.streaming import pushes
+
+    schema = "repo_id long, ref string, kind string, before string, after string, ord long, at timestamp"
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    first = [(1, "main", "push", "A", "B", 1, at(0)), (1, "dev", "push", "B", "C", 2, at(1)), (2, "main", "push", "X", "Y", 3, at(0)), (3, "main", "ready", None, None, 4, at(1))]
+    second = [(1, "main", "push", "C", "D", 5, at(2)), (1, None, "ready", None, None, 6, at(3)), (1, None, "ready", None, None, 7, at(4)), (2, None, "ready", None, None, 8, at(200)), (1, "main", "push", "E", "F", 9, at(5))]
+    third = [(1, None, "ready", None, None, 10, at(201)), (3, "main", "push", "P", "Q", 11, at(202)), (3, None, "ready", None, None, 12, at(203))]
+    want = {(1, "A", "D", 3), (3, "P", "Q", 1)}  # of 2 and then of 1 the range lapsed after seven days
+    got = []
+    for part in (first, second, third):
+        feed(spark, f"{tmp_path}/in", part, schema)
+        got = [tuple(r)[:4] for r in drained(spark, tmp_path, schema, pushes.deferred)]
+    assert sorted(got) == sorted(want)
+    batch = pushes.deferred(spark.createDataFrame(first + second + third, schema)).collect()
+    assert sorted(tuple(r)[:4] for r in batch) == sorted(want)
+
+
+def test_rate_limit_as_stream_and_batch_equals_a_loop(spark, tmp_path):
+    import random
+
+    from citeloom.streaming import pushes
+
+    rng = random.Random(3)
+    rows = sorted(((rng.randint(1, 5), i, rng.randint(0, 400) * 1000) for i in range(300)), key=lambda r: (r[2], r[1]))
+    open_, want = {}, {}
+    for c, i, at in rows:
+        start, used = open_.get(c, (None, 0))
+        start, used = (at, 1) if start is None or at >= start + 60_000 else (start, used + 1)
+        open_[c] = (start, used)
+        want[i] = (c, used, used <= 4)
+    schema = "client long, id long, at_ms long"
+    told = lambda rs: {r["id"]: (r["client"], r["nth"], r["allowed"]) for r in rs}
+    assert told(pushes.rate_limited(spark.createDataFrame(rows, schema), 4, 60_000).collect()) == want
+    for part in (rows[:100], rows[100:101], rows[101:]):
+        feed(spark, f"{tmp_path}/in", part, schema)
+        got = drained(spark, tmp_path, schema, lambda s: pushes.rate_limited(s, 4, 60_000, "1 hour"))
+    assert told(got) == want and len(got) == len(want)
+    assert pushes.rate_limited(spark.createDataFrame([], schema), 4, 60_000).count() == 0
+
+
+def test_rate_limit_of_the_whole_table(spark):
+    from citeloom.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id", "event_id", "unix_millis(cast(ts as timestamp)) as at")
+    open_, want = {}, {}
+    for c, i, at in sorted((tuple(r) for r in e.collect()), key=lambda r: (r[0], r[2], r[1])):
+        start, used = open_.get(c, (None, 0))
+        open_[c] = (at, 1) if start is None or at >= start + 86_400_000 else (start, used + 1)
+        want[i] = (c, open_[c][1], open_[c][1] <= 10)
+    assert {r["id"]: (r["client"], r["nth"], r["allowed"]) for r in catalog.queries()["stream_rate_limit"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("lines, cases", [
+    (["generated/"], {"generated/output.ts": True, "generated": False, "a/generated/b": True}),
+    (["*.log", "!keep.log"], {"a.log": True, "x/keep.log": False, "KEEP.LOG": False, "x/b.LOG": True}),
+    (["/root.txt", "docs/*.md"], {"root.txt": True, "a/root.txt": False, "docs/a.md": True, "docs/b/a.md": False, "x/docs/a.md": False}),
+    (["**/tmp/**", "a/**/z"], {"tmp/x": True, "q/tmp/x/y": True, "a/z": True, "a/b/c/z": True, "a/b": False}),
+    (["out/", "!out/keep"], {"out/keep": True}),
+    (["out/*", "!out/keep"], {"out/keep": False, "out/other": True, "out/keep/x": False}),
+    (["# note", "", "\\#real", "sp\\ ", "f[0-9]?.[!c]"], {"# note": False, "#real": True, "sp ": True, "f1x.h": True, "f1x.c": False, "fax.h": False}),
+    (["a+b.(c)", "x*"], {"a+b.(c)": True, "aab.(c)": False, "xyz/k": True}),
+])
+def test_ignore_rules(spark, lines, cases):
+    from pyspark.sql import functions as F
+
+    from citeloom.functions import ignore
+
+    frame = spark.createDataFrame([(p,) for p in cases], "p string")
+    assert {r["p"]: r["x"] for r in frame.withColumn("x", ignore.is_ignored(F.col("p"), ignore.rules(lines))).collect()} == cases
+
+
+def test_listed_files(spark, tmp_path):
+    from citeloom.sources import events
+
+    files = {
+        ".gitignore": "*.tmp\nlocal/\n", "sub/.gitignore": "!b.tmp\n/own.txt\n", "a.tmp": "x", "sub/b.tmp": "x", "sub/own.txt": "x", "sub/deep/own.txt": "x", "local/c.txt": "x", "z.md": "é", "b in.ts": "x",
+        "node_modules/m.js": "x", ".env2": "x", "src/env.ts": "x", ".envrc": "x", "db/drizzle/meta/0_snapshot.json": "x", "db/drizzle/sql/1.sql": "x", "x.PNG": "x", "bin.dat": "a\0b", "big.txt": "x" * 512_001, "fit.txt": "x" * 512_000,
+    }
+    for path, text in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    got = [r["file_path"] for r in events.list_files(spark, str(tmp_path)).collect()]
+    assert got == sorted([".envrc", ".gitignore", "sub/.gitignore", "sub/b.tmp", "sub/deep/own.txt", "z.md", "b in.ts", "src/env.ts", "fit.txt"])
+    assert "z.md" not in [r["file_path"] for r in events.list_files(spark, str(tmp_path), ("*.md",)).collect()]
+
+
+def test_history_log_as_batch_and_stream(spark, tmp_path):
+    from citeloom.sources import files
+
+    files.register(spark)
+    sha = lambda c: c * 40
+    log = lambda *rows: "\0".join("\0".join(r) for r in rows)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r1").write_text(log((sha("a"), "1", "one", "body\nmore"), ("\nbad", "2", "two", ""), ("\n" + sha("b"), "3", "é", "")))
+    (tmp_path / "in" / "r2").write_text(log((sha("c"), "4", "x" * 3_000_000, "b"), (sha("d"), "5", "last")))
+    (tmp_path / "in" / "r0").write_text("")
+    want = [("r1", sha("a"), "one", "body\nmore"), ("r1", sha("b"), "é", ""), ("r2", sha("c"), "x" * 3_000_000, "b"), ("r2", sha("d"), "last", "")]
+    read = spark.read.format("history_log")
+    told = lambda rows: sorted((r["log"], r["sha"], r["subject"], r["body"]) for r in rows)
+    assert told(read.load(f"{tmp_path}/in").collect()) == want
+    assert told(read.option("limit", 1).load(f"{tmp_path}/in").collect()) == [want[0], want[2]]
+
+    def run():
+        out = spark.readStream.format("history_log").load(f"{tmp_path}/in").writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+        out.format("parquet").start(f"{tmp_path}/out").awaitTermination()
+        return told(spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run() == want
+    (tmp_path / "in" / "r3").write_text(log((sha("e"), "6", "new", "")))
+    assert run() == [*want, ("r3", sha("e"), "new", "")]
