@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.config import SETTINGS
 from citeloom.functions import policy, text
+from citeloom.operators import index as indexes
 from citeloom.operators import ranking
 
 
@@ -62,11 +63,8 @@ def _paired(rows: DataFrame, asked: DataFrame, scope: list[str]) -> DataFrame:
 def lexical_hits(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Best lexical matches of each query on symbol, path and content."""
     scope = _scope(chunks, queries)
-    pairs = _paired(chunks, queries.select("query_id", *scope, text.lexical_query(F.col("query")).alias("q")), scope)
-    found = pairs.filter(
-        (F.col("symbol") == F.col("q")) | (F.col("file_path") == F.col("q"))
-        | F.contains(F.lower("symbol"), F.lower("q")) | F.contains(F.lower("file_path"), F.lower("q"))
-    )
+    found = indexes.lexical_candidates(chunks, queries.select("query_id", *scope, text.lexical_query(F.col("query")).alias("q")), scope)
+    found = found.join(chunks.select("id", *scope, "content"), ["id", *scope])
     kind = text.lexical_match(F.col("q"), F.col("file_path"), F.col("symbol"), F.col("content"))
     scored = found.withColumn("kind", kind).filter("kind is not null").withColumns(
         {"score": text.lexical_score(F.col("kind")), "evidence": text.lexical_evidence(F.col("kind"))}
@@ -77,48 +75,58 @@ def lexical_hits(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> Data
     return top.select("query_id", "id", "kind", "score", "evidence", "nth")
 
 
-def search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, floor: float = SETTINGS.search_evidence_floor, lexical: bool = True, rerank=None) -> DataFrame:
+def hybrid(index: DataFrame, queries: DataFrame, prefetch: int, floor: float, limit: int, embed: indexes.Embed = indexes.bag, mode: str = "hybrid") -> DataFrame:
+    """Fused hits of a stored index (see ``operators.index``) after the staged cutoff.
+
+    ``mode`` ``dense`` reads the vectors alone: their order and scores stand.
+    """
+    channels = ("dense",) if mode == "dense" else ("dense", "sparse")
+    found = indexes.nearest(index, queries, prefetch, floor, embed, channels).withColumn("score", F.round("score", 6))
+    dense = ranking.ranked(found.filter(F.col("channel") == "dense").filter(F.col("score") >= floor), "dense", prefetch)
+    if mode == "dense":
+        return dense.filter(F.col("rank") < limit).select("query_id", "id", "score", F.col("score").alias("evidence"), (F.col("rank") + 1).alias("position"))
+    sparse = ranking.ranked(found.filter(F.col("channel") == "sparse"), "sparse", prefetch)
+    return ranking.hybrid_cutoff(ranking.fuse(dense.unionByName(sparse)), limit)
+
+
+def search(
+    chunks: DataFrame, queries: DataFrame, top_k: int = 10, floor: float = SETTINGS.search_evidence_floor, lexical: bool = True, rerank=None,
+    index: DataFrame | None = None, embed: indexes.Embed = indexes.bag, mode: str = "hybrid",
+) -> DataFrame:
     """Cited chunks for each (query_id, query): (query_id, position, id, file_path, score, evidence).
 
     ``chunks`` has id, file_path, symbol, content, and ``repo_id`` where there
     are several repositories: then queries name theirs and find nothing else.
+    ``index`` is what ``index.build(chunks, embed)`` wrote, or is built now.
     ``rerank``, if given, orders the head (see ``ranking.reranked``). Ranking runs on ids and
     scores alone; content joins only the few that are left.
     """
     fetch = max(2 * top_k, top_k + 5)
     prefetch = max(3 * fetch, 30)
-    size = SETTINGS.vector_size
-    scope = _scope(chunks, queries)
-    vectors = chunks.select("id", *scope, text.bag_vector(F.col("content")).alias("vector"))
-    asked = queries.withColumn("vector", text.bag_vector(F.col("query")))
-    dense = ranking.ranked(dense_hits(vectors, asked, size, floor), "dense", prefetch)
-    sparse = ranking.ranked(sparse_hits(postings(chunks), queries, chunks.count()), "sparse", prefetch)
-    hits = ranking.hybrid_cutoff(ranking.fuse(dense.unionByName(sparse)), fetch)
+    _scope(chunks, queries)
+    hits = hybrid(indexes.build(chunks, embed) if index is None else index, queries, prefetch, floor, fetch, embed, mode)
     if lexical:
         hits = ranking.merge_lexical(hits, lexical_hits(chunks, queries))
-    rows = chunks.join(F.broadcast(hits), "id")  # at most fetch + 50 rows a query
+    rows = chunks.join(hits, "id")
     rows = rows.filter((text.trimmed(F.col("file_path")) != "") & ~policy.must_refuse(F.col("file_path"), F.col("content")) & (F.col("evidence") >= floor))
     if rerank is not None:
         rows = ranking.reranked(rows, rerank)
     return ranking.diversify(rows, top_k).select("query_id", "position", "id", "file_path", "score", "evidence")
 
 
-
-def find_decisions(decisions: DataFrame, queries: DataFrame, limit: int = 3, history: bool = False, floor: float = SETTINGS.find_evidence_floor) -> DataFrame:
+def find_decisions(
+    decisions: DataFrame, queries: DataFrame, limit: int = 3, history: bool = False, floor: float = SETTINGS.find_evidence_floor, index: DataFrame | None = None, embed: indexes.Embed = indexes.bag
+) -> DataFrame:
     """Cited decisions for each query, best first, above list-level and relative floors of evidence."""
     fetch = max(2 * limit, 8)
     cut = max(2 * fetch, fetch + 5)
     prefetch = max(3 * cut, 24)
     body = text.decision_text(F.col("topic"), F.col("summary"), F.col("alternatives"))
     docs = decisions.withColumn("content", body)
-    scope = _scope(docs, queries)
-    vectors = docs.select("id", *scope, text.bag_vector(F.col("content")).alias("vector"))
-    asked = queries.withColumn("vector", text.bag_vector(F.col("query")))
-    dense = ranking.ranked(dense_hits(vectors, asked, SETTINGS.vector_size, SETTINGS.find_dense_floor), "dense", prefetch)
-    sparse = ranking.ranked(sparse_hits(postings(docs), queries, docs.count()), "sparse", prefetch)
-    hits = ranking.hybrid_cutoff(ranking.fuse(dense.unionByName(sparse)), cut).filter("evidence > 0")
+    _scope(docs, queries)
+    hits = hybrid(indexes.build(docs, embed) if index is None else index, queries, prefetch, SETTINGS.find_dense_floor, cut, embed).filter("evidence > 0")
     hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).filter(F.col("nth") <= fetch)
-    rows = decisions.join(F.broadcast(hits), "id").filter(text.is_citation(F.col("source_url")))
+    rows = decisions.join(hits, "id").filter(text.is_citation(F.col("source_url")))
     if not history:
         rows = rows.filter("superseded_by is null")
     rows = ranking.relative_floor(ranking.absolute_floor(rows, floor), SETTINGS.decision_relative_floor)

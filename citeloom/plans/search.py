@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import text
+from citeloom.operators import index as indexes
 from citeloom.operators import ranking, retrieval
 from citeloom.plans.base import DECISIONS, FILES, asked, decisions, files, query
 from citeloom.session import table
@@ -97,11 +98,7 @@ def scoped_search(spark, sf_dir):
 @query("rank_hybrid_cutoff", f"WITH {FILES}, {ASKED}, {_channels('files', 'content', 60, 0.35)}, {_cutoff(20)} SELECT * FROM cut")
 def hybrid(spark, sf_dir):
     """Fused ranks after the staged cutoff."""
-    chunks, queries = files(spark, sf_dir), asked(spark, sf_dir)
-    vectors = chunks.select("id", text.bag_vector(F.col("content")).alias("vector"))
-    dense = retrieval.dense_hits(vectors, queries.withColumn("vector", text.bag_vector(F.col("query"))), 32, 0.35)
-    sparse = retrieval.sparse_hits(retrieval.postings(chunks), queries, chunks.count())
-    return ranking.hybrid_cutoff(ranking.fuse(ranking.ranked(dense, "dense", 60).unionByName(ranking.ranked(sparse, "sparse", 60))), 20)
+    return retrieval.hybrid(indexes.build(files(spark, sf_dir)), asked(spark, sf_dir), 60, 0.35, 20)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +35,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``), or a temporary one on one machine."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    A session on one machine that names none gets a temporary folder, chosen once
+    and kept in the session's settings; any other session must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("citeloom.scratch.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-citeloom-")
         spark.conf.set("citeloom.scratch.dir", found)
     return found
+
+
+def keep(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the shared folder and read back, so that it is computed once and lost executors cost nothing of it."""
+    path = f"{shared_dir(frame.sparkSession)}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
