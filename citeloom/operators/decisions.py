@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.config import SETTINGS
-from citeloom.functions import policy
+from citeloom.functions import outputs, policy
 from citeloom.functions.text import trimmed
 from citeloom.session import shared_dir
 
@@ -76,8 +76,7 @@ def gated(decisions: DataFrame, least: float = SETTINGS.min_confidence) -> DataF
     """
     quality = policy.alternatives_quality(F.col("alternatives"), F.col("summary"), F.col("title"), F.col("body"))
     kept = decisions.filter((F.col("confidence") >= least) & (quality != "inconsistent"))
-    real = F.filter("touched_paths", lambda p: F.array_contains("git_paths", p))
-    return kept.withColumn("touched_paths", F.when(F.size(real) > 0, real).otherwise(F.slice("git_paths", 1, 40)))
+    return kept.withColumn("touched_paths", outputs.trusted_paths(F.col("touched_paths"), F.col("git_paths")))
 
 
 def audit(decisions: DataFrame) -> DataFrame:
@@ -154,17 +153,3 @@ def chain(decisions: DataFrame) -> DataFrame:
         now = spark.read.parquet(f"{place}/{k}")
     ended = F.col("depth") < total
     return now.select("id", F.when(ended, F.col("latest")).alias("latest"), F.when(ended, F.col("depth").cast("int")).alias("depth"))
-
-
-def extract(sources: DataFrame, complete, repair) -> DataFrame:
-    """Redact, ask, parse; ask once more where parsing failed; gate.
-
-    ``complete`` and ``repair`` map a frame with ``prompt`` to one with ``raw``:
-    injectable, so that no service is called here.
-    """
-    asked = sources.withColumn("prompt", F.concat_ws("\n", F.concat(F.lit("Title: "), policy.redacted(F.col("title"))), F.lit("Body:"), policy.redacted(F.coalesce("body", F.lit("")))))
-    first = parsed(complete(asked))
-    good, bad = first.filter("valid"), first.filter("not valid").drop("raw", "decisions", "valid")
-    both = good.unionByName(parsed(repair(bad)).filter("valid"))
-    flat = both.select(*sources.columns, F.explode("decisions").alias("d"))
-    return gated(flat.select(*sources.columns, "d.*"))

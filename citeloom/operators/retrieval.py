@@ -29,37 +29,6 @@ def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
     return tf.select(*keys, "term", text.bm25_tf(F.col("tf").cast("double"), F.col("length").cast("double")).alias("weight"))
 
 
-def idf(index: DataFrame, documents: int) -> DataFrame:
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    return df.select("term", F.log(1 + (F.lit(float(documents)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-
-
-def sparse_hits(index: DataFrame, queries: DataFrame, documents: int) -> DataFrame:
-    """Sum over shared terms of query frequency, document weight and idf; only asked terms are counted.
-
-    Terms are weighed over all repositories, hits are those of the query's own.
-    """
-    scope = _scope(index, queries)
-    asked = queries.select("query_id", *scope, F.explode(text.sparse_tokens(F.col("query"))).alias("term")).groupBy("query_id", *scope, "term").agg(F.count("*").alias("qtf"))
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = wanted.join(idf(wanted, documents), "term")
-    hits = weighed.join(asked, ["term", *scope]).groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("weight") * F.col("idf")).alias("score"))
-    return hits.select("query_id", "id", F.round("score", 6).alias("score"))
-
-
-def dense_hits(vectors: DataFrame, queries: DataFrame, size: int, floor: float) -> DataFrame:
-    """Cosine of unit vectors with each of the stated queries, at least ``floor``; queries are few and broadcast."""
-    scope = _scope(vectors, queries)
-    pairs = _paired(vectors.select("id", *scope, "vector"), queries.select("query_id", *scope, F.col("vector").alias("asked")), scope)
-    scored = pairs.select("query_id", "id", F.round(ranking.dot("vector", "asked", size), 6).alias("score"))
-    return scored.filter(F.col("score") >= floor)
-
-
-def _paired(rows: DataFrame, asked: DataFrame, scope: list[str]) -> DataFrame:
-    """Rows with the queries of their repository, by a join on it; all rows with the few stated queries otherwise."""
-    return rows.join(asked, scope) if scope else rows.join(F.broadcast(asked))
-
-
 def lexical_hits(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Best lexical matches of each query on symbol, path and content."""
     scope = _scope(chunks, queries)

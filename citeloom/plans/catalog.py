@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import code, history, jobs, outputs, search, streams, text  # noqa: F401  (importing registers queries)
+from citeloom.plans import code, extract, history, jobs, outputs, search, streams, text  # noqa: F401  (importing registers queries)
 from citeloom.plans.base import QUERIES, SQL
 
 
