@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.config import SETTINGS
 from citeloom.functions import outputs, policy
 from citeloom.functions.text import trimmed
-from citeloom.session import shared_dir
+from citeloom.session import keep, shared_dir
 
 ITEM = "struct<topic:string,summary:string,alternativesConsidered:array<string>,confidence:string,touchedPaths:array<string>>"
 
@@ -87,46 +90,83 @@ def audit(decisions: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("bucket", "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("percent"))
 
 
-def supersede(decisions: DataFrame, floor: float = SETTINGS.supersede_floor) -> DataFrame:
-    """Link each decision, in order of processing within its repository, to its nearest active neighbour.
+def neighbours(decisions: DataFrame, floor: float = SETTINGS.supersede_floor, block: int = 1024) -> DataFrame:
+    """Pairs of decisions of a repository whose similarity reaches ``floor``: the later one's ``id`` and ``place``, the earlier ``other``.
 
-    Expects repo_id, id, ord, decided_at, source_type and a unit ``vector``.
-    Earlier links change who is active, so a repository's decisions are folded in order.
+    Expects repo_id, id, ord, decided_at, source_type and a unit ``vector``;
+    documents take no part. Vectors are packed in blocks of a repository and
+    each two blocks are multiplied as matrices in some task, so a large
+    repository is spread, and only pairs above the floor become rows.
     """
+    able = decisions.filter("source_type <> 'doc'").select("repo_id", "id", "ord", "decided_at", "vector")
+    sizes = able.groupBy("repo_id").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = able.join(sizes, "repo_id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    member = F.struct(F.struct("ord", "id").alias("place"), "decided_at", "vector")
+    packed = dealt.groupBy("repo_id", "block").agg(F.collect_list(member).alias("members"))  # about ``block`` members
+    other = packed.select("repo_id", F.col("block").alias("other_block"), F.col("members").alias("others"))
+    met = packed.join(other, "repo_id").filter("other_block >= block")
+    slim = met.select("repo_id", F.transform("members", lambda m: m["vector"]).alias("a"), F.transform("others", lambda m: m["vector"]).alias("b"), "members", "others")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column("a"), batch.column("b")):
+                left, right = (np.array(v.as_py(), dtype=float) for v in (x, y))
+                scores = np.round(left @ right.T, 6)
+                i, j = np.nonzero(scores >= floor)
+                found.append([{"i": int(p), "j": int(q), "score": float(s)} for p, q, s in zip(i, j, scores[i, j])])
+            kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("score", pa.float64())]))
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("repo_id", "left", "right")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], names=["repo_id", "left", "right", "found"])
+
+    told = lambda k: F.transform(k, lambda m: F.struct(m["place"].alias("place"), m["decided_at"].alias("decided_at")))
+    slim = slim.select("repo_id", "a", "b", told(F.col("members")).alias("left"), told(F.col("others")).alias("right"))
+    kind = slim.schema["left"].dataType.simpleString()
+    repo = slim.schema["repo_id"].dataType.simpleString()
+    pairs = slim.mapInArrow(each, f"repo_id {repo}, left {kind}, right {kind}, found array<struct<i:int,j:int,score:double>>")
+    flat = pairs.select("repo_id", "left", "right", F.explode("found").alias("f"))
+    flat = flat.select("repo_id", F.col("left")[F.col("f.i")].alias("x"), F.col("right")[F.col("f.j")].alias("y"), F.col("f.score").alias("score")).filter("x.place <> y.place")
+    later = F.col("x.place") > F.col("y.place")
+    ends = flat.select("repo_id", "score", F.when(later, F.col("x")).otherwise(F.col("y")).alias("now"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("old")).dropDuplicates(["now", "old"])
+    return ends.select(
+        "repo_id", F.col("now.place.id").alias("id"), F.col("now.place").alias("place"), F.col("old.place.id").alias("other"), F.col("old.place").alias("other_place"),
+        "score", (F.col("now.decided_at") > F.col("old.decided_at")).alias("newer"),
+    )
+
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        frame = frame.sort_values(["ord", "id"])
-        ids, when = frame["id"].to_numpy(), frame["decided_at"].to_numpy()
-        v = np.array(frame["vector"].tolist(), dtype=float)
-        able = (frame["source_type"] != "doc").to_numpy()
-        by: list = [None] * len(ids)
-        for i in range(len(ids)):
-            if not able[i]:
-                continue
-            near = np.round(v[:i] @ v[i], 6)
-            best, score = None, floor
-            for j in range(i):
-                if able[j] and by[j] is None and (near[j] > score or near[j] == score and best is None):
-                    best, score = j, near[j]
-            if best is not None:
-                newer = when[i] > when[best]
-                by[best if newer else i] = ids[i] if newer else ids[best]
-        return pd.DataFrame({"repo_id": frame["repo_id"], "id": ids, "superseded_by": pd.array(by, dtype="Int64")})
-
-    return decisions.groupBy("repo_id").applyInPandas(fold, "repo_id long, id long, superseded_by long")
-
-
-def supersede_once(decisions: DataFrame, floor: float, dot: Column) -> DataFrame:
+def supersede(decisions: DataFrame, floor: float = SETTINGS.supersede_floor) -> DataFrame:
+    """Link each decision, in order of processing within its repository, to its nearest neighbour that is still active.
+
+    Expects what ``neighbours`` expects. An earlier link changes who is active,
+    so a decision is settled once its earlier neighbours are, and it is the first
+    that is not settled among the later neighbours of each. All that are ready
+    settle in one round, over all repositories; rounds are written to the shared
+    folder, and there are as many as decisions that wait for each other in a row.
+    """
+    edges = keep(neighbours(decisions, floor))
+    waiting = edges.select("id").distinct().withColumn("settled", F.lit(False))
+    nodes = edges.select("id").unionByName(edges.select(F.col("other").alias("id"))).distinct()
+    none = F.lit(None).cast(decisions.schema["id"].dataType)
+    state = keep(nodes.join(waiting, "id", "left").select("id", F.coalesce("settled", F.lit(True)).alias("settled"), none.alias("by")))
+    while not (left := state.filter("not settled")).isEmpty():
+        open_ = edges.join(left.select("id"), "id", "left_semi")
+        first = open_.groupBy("other").agg(F.min("place").alias("first"))
+        there = state.select(F.col("id").alias("other"), F.col("settled").alias("other_settled"), F.col("by").isNull().alias("active"))
+        seen = open_.join(there, "other").join(first, "other")
+        pick = F.min(F.when(F.col("active"), F.struct((-F.col("score")).alias("less"), "other_place", "newer")))
+        ready = seen.groupBy("id").agg(F.bool_and(F.col("other_settled") & (F.col("first") == F.col("place"))).alias("ready"), pick.alias("pick")).filter("ready")
+        own = ready.select("id", F.lit(True).alias("now"), F.when(~F.col("pick.newer"), F.col("pick.other_place.id")).alias("gives_way"))
+        others = ready.filter("pick.newer").select(F.col("pick.other_place.id").alias("id"), F.col("id").alias("taken"))
+        state = keep(state.join(own, "id", "left").join(others, "id", "left").select("id", (F.col("settled") | F.coalesce("now", F.lit(False))).alias("settled"), F.coalesce("by", "gives_way", "taken").alias("by")))
+    return decisions.select("repo_id", "id").join(state.select("id", F.col("by").alias("superseded_by")), "id", "left").select("repo_id", "id", "superseded_by")
+
+
+def supersede_once(decisions: DataFrame, floor: float) -> DataFrame:
     """Single pass: each decision's best earlier neighbour in its repository, and which one gives way."""
-    a = decisions.filter("source_type <> 'doc'")
-    b = a.select("repo_id", F.col("id").alias("other"), F.col("ord").alias("other_ord"), F.col("decided_at").alias("other_at"), F.col("vector").alias("other_vector"))
-    pairs = a.join(b, "repo_id").filter("other_ord < ord").withColumn("score", F.round(dot, 6)).filter(F.col("score") >= floor)
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    best = pairs.withColumn("nth", nth).filter("nth = 1")
-    newer = F.col("decided_at") > F.col("other_at")
-    return best.select("repo_id", F.when(newer, F.col("other")).otherwise(F.col("id")).alias("id"), F.when(newer, F.col("id")).otherwise(F.col("other")).alias("superseded_by"), "score")
+    best = F.min(F.struct((-F.col("score")).alias("less"), "other_place", "newer")).alias("best")
+    found = neighbours(decisions, floor).groupBy("repo_id", "id").agg(best)
+    newer, other = F.col("best.newer"), F.col("best.other_place.id")
+    return found.select("repo_id", F.when(newer, other).otherwise(F.col("id")).alias("id"), F.when(newer, F.col("id")).otherwise(other).alias("superseded_by"), (-F.col("best.less")).alias("score"))
 
 
 def chain(decisions: DataFrame) -> DataFrame:

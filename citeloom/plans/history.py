@@ -279,12 +279,12 @@ SELECT repo_id, CASE WHEN newer THEN other ELSE id END AS id, CASE WHEN newer TH
 )
 def supersede_once(spark, sf_dir):
     """Each vector's nearest earlier one in its group, in a single pass."""
-    return decide.supersede_once(_vectors(spark, sf_dir), 0.25, ranking.dot("vector", "other_vector", 64))
+    return decide.supersede_once(_vectors(spark, sf_dir), 0.25)
 
 
 @query("join_supersede_ordered")
 def supersede_ordered(spark, sf_dir):
-    """Links in order of processing, each seeing those before (sequential; tested against a plain loop)."""
+    """Links in order of processing, each seeing those before, settled in rounds (tested against a plain fold)."""
     return decide.supersede(_vectors(spark, sf_dir), 0.25)
 
 

@@ -188,3 +188,46 @@ def test_history_log_as_batch_and_stream(spark, tmp_path):
     assert run() == want
     (tmp_path / "in" / "r3").write_text(log((sha("e"), "6", "new", "")))
     assert run() == [*want, ("r3", sha("e"), "new", "")]
+
+
+def folded(rows, floor):
+    """Supersession in order: (repo, id, ord, decided_at, kind, vector) rows to id -> superseded_by."""
+    import numpy as np
+
+    by = {r[1]: None for r in rows}
+    for repo in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == repo), key=lambda r: (r[2], r[1]))
+        for i, r in enumerate(mine):
+            if r[4] == "doc":
+                continue
+            near = [(-round(float(np.dot(r[5], o[5])), 6), k, o) for k, o in enumerate(mine[:i]) if o[4] != "doc" and by[o[1]] is None]
+            near = [n for n in near if -n[0] >= floor]
+            if near:
+                other = min(near, key=lambda n: n[:2])[2]
+                by[other[1] if r[3] > other[3] else r[1]] = r[1] if r[3] > other[3] else other[1]
+    return by
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_supersession_in_rounds_equals_the_fold(spark, block, monkeypatch):
+    import random
+
+    rng = random.Random(block)
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    rows = [(i % 3, i, rng.randint(0, 20), rng.randint(0, 9), rng.choice(["pr", "pr", "commit", "doc"]), unit([rng.gauss(0, 1) for _ in range(3)])) for i in range(90)]
+    rows += [(7, 200 + i, i, i % 4, "pr", [1.0, 0.0, 0.0]) for i in range(6)]
+    frame = spark.createDataFrame(rows, "repo_id long, id long, ord long, decided_at long, source_type string, vector array<double>")
+    whole = decisions.neighbours
+    monkeypatch.setattr(decisions, "neighbours", lambda d, f: whole(d, f, block))
+    got = {r["id"]: r["superseded_by"] for r in decisions.supersede(frame, 0.9).collect()}
+    assert got == folded(rows, 0.9) and sum(v is not None for v in got.values()) > 10
+    assert decisions.supersede(frame.limit(0), 0.9).count() == 0
+
+
+def test_supersession_of_the_whole_table(spark):
+    from citeloom.plans import catalog, history
+
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in history._vectors(spark, sf).select("repo_id", "id", "ord", "decided_at", "source_type", "vector").collect()]
+    got = {r["id"]: r["superseded_by"] for r in catalog.queries()["join_supersede_ordered"](spark, sf).collect()}
+    assert got == folded(rows, 0.25) and any(got.values())
