@@ -202,12 +202,38 @@ def compile_rules(patterns: list[str]) -> Automaton:
     return Automaton(classes, renamed[step[first]].astype(np.uint16).ravel(), len(sample), accepts[first])
 
 
+FEW = 64  # wrong lanes up to which reading them one by one beats reading them side by side
+
+
+def _reread(auto: Automaton, columns: np.ndarray, states: np.ndarray, before: np.ndarray, wrong: list[int], true: np.ndarray) -> None:
+    """Read wrong lanes again, each from where the one before it ends, on to the first lane that was read rightly."""
+    step, width, last = auto.step.tolist(), auto.n_classes, -1
+    for k in wrong:
+        if k <= last:
+            continue
+        state = int(true[k])
+        while k < states.shape[1] and before[k] != state:
+            before[k] = state
+            old, fresh = states[:, k].tolist(), []
+            for symbol, was in zip(columns[:, k].tolist(), old):
+                state = step[state * width + symbol]
+                if state == was:
+                    state = old[-1]
+                    break
+                fresh.append(state)
+            states[: len(fresh), k] = fresh
+            last = k
+            k += 1
+
+
 def run(auto: Automaton, data: np.ndarray, lane: int = 1024) -> np.ndarray:
     """State after each byte of ``data``, read from state 0.
 
     The bytes are cut in lanes that advance together. A lane guesses that it
     begins in state 0; where the lane before it ended otherwise, it is read
-    again from that state until it meets the states it had found.
+    again from that state until it meets the states it had found. Where few
+    lanes are wrong, as within one long match, they are read one after the other
+    along the text, so a long match costs one plain reading more.
     """
     n = len(data)
     lanes = max(1, -(-n // lane))
@@ -227,6 +253,9 @@ def run(auto: Automaton, data: np.ndarray, lane: int = 1024) -> np.ndarray:
         wrong = np.flatnonzero(true != before)
         if not len(wrong):
             return states.T.reshape(-1)[:n]
+        if len(wrong) < FEW:
+            _reread(auto, columns, states, before, wrong.tolist(), true)
+            continue
         before[wrong] = true[wrong]
         now = true[wrong]
         for j in range(lane):

@@ -59,7 +59,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, model)
     return scored.select(
         "doc_id",
-        (fold == 1).alias("held_out"),
+        F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
         F.col("quality_score").alias("score"),
         (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -69,10 +69,30 @@ def test_secrets_in_hostile_texts_take_linear_time(spark):
         began = time.time()
         secrets.find([piece * ((1 << 20) // len(piece))])
         assert time.time() - began < 8
+    for head in (b"token=", b"eyJ", b"x AKIA"):
+        for body in (b"A" * (1 << 20), b"A1" * (1 << 19)):
+            began = time.time()
+            found = secrets.find([b"clean text ", head + body, b"tail"])
+            assert time.time() - began < 1.5 and set(found) <= {1}
+            if head == b"token=":
+                assert found == {1: [("assign", 0, 6 + len(body), True)]}
     assert secrets.find([b"secret=secret=abcdef"]) == {0: [("assign", 0, 20, True)]}
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_lanes_are_mended_alike(few, monkeypatch):
+    monkeypatch.setattr(automaton, "FEW", few)
+    auto = automaton.compile_rules(["ab+c", "b{2,3}x", "x[ab]+"])
+    rng = np.random.default_rng(few)
+    data = np.concatenate([rng.choice(np.frombuffer(b"abcx", dtype=np.uint8), 500), np.frombuffer(b"x" + b"ab" * 300 + b"c" + b"x" + b"b" * 90, dtype=np.uint8)])
+    plain, s = [], 0
+    for b in data:
+        s = int(auto.step[s * auto.n_classes + auto.classes[b]])
+        plain.append(s)
+    assert all(automaton.run(auto, data, lane=lane).tolist() == plain for lane in (3, 16, 1024))
+
+
 def test_automaton_minimal_and_lanes():
     auto = automaton.compile_rules(["ab+c", "b{2,3}x"])
     data = np.frombuffer(b"zabbbcbbx" * 400, dtype=np.uint8)
