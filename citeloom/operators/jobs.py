@@ -176,8 +176,13 @@ def doc_run(files: DataFrame, repositories: DataFrame, budget: int = SETTINGS.do
     """
     considered = doc_files(files, repositories, max_bytes).filter("outcome = 'considered'")
     drafts = chunking.doc_sections(considered).join(considered.select("id", "repo_id", "https_base"), "id")
-    nth = F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path", "id", "start_line"))
-    return drafts.withColumn("nth", nth).filter(F.col("nth") <= budget)
+    return within_budget(drafts, "repo_id", ("file_path", "id", "start_line"), budget)
+
+
+def within_budget(rows: DataFrame, run: str, order: tuple[str, ...], budget: int) -> DataFrame:
+    """The first ``budget`` rows of each run, numbered from 1 (``nth``)."""
+    nth = F.row_number().over(Window.partitionBy(run).orderBy(*order))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= budget)
 
 
 def replaced_by_run(decisions: DataFrame, run: DataFrame) -> DataFrame:

@@ -16,6 +16,12 @@ def token_budget(jobs: DataFrame, budget: int) -> DataFrame:
     return used.withColumn("admitted", (F.lit(budget) <= 0) | (F.col("used") < budget))
 
 
+def counts(rows: DataFrame, key: str, state: str, failed: str) -> DataFrame:
+    """Rows of each key, how many states they are in, how many failed, and whether any did."""
+    bad = F.col(state) == failed
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(state).alias("kinds"), F.count_if(bad).alias("failed"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("any_failed"))
+
+
 def progress(chunks: DataFrame) -> DataFrame:
     """State of each repository's index run from its chunks' states."""
     done, failed = F.count_if(F.col("status") == "embedded"), F.count_if(F.col("status") == "failed")

@@ -34,13 +34,14 @@ def fuse(ranks: DataFrame) -> DataFrame:
     )
 
 
-def hybrid_cutoff(fused: DataFrame, limit: int, floor: float = SETTINGS.relative_floor, backfill: bool = True) -> DataFrame:
+def hybrid_cutoff(fused: DataFrame, limit: int, floor: float = SETTINGS.relative_floor, backfill: bool = True, min_channels: int = 2) -> DataFrame:
     """Hits in both channels first, at most half of them; then single-channel hits of good rank.
 
     Stage 0: strong hits of both channels (at least ``floor`` times the best
     such) up to half the limit, and dense hits as good. Stage 1: other dense
     hits, weak hits of both channels, sparse hits; single ones must be near the
     top of their channel. Stage 2: strong hits of both channels beyond the half.
+    With ``min_channels`` 1 channels do not count: hits of at least ``floor`` times the best.
     """
     query = Window.partitionBy("query_id")
     dual = (F.col("in_dense") == 1) & (F.col("in_sparse") == 1)
@@ -53,7 +54,9 @@ def hybrid_cutoff(fused: DataFrame, limit: int, floor: float = SETTINGS.relative
     dual_order = Window.partitionBy("query_id", strong).orderBy(F.desc("score"), "id")
     best = best.withColumn("nth_strong", F.when(strong, F.row_number().over(dual_order)))
     no_dual = F.col("top_dual").isNull()
-    if not backfill:
+    if min_channels <= 1:
+        kept = best.filter(F.col("score") >= floor * F.col("top")).withColumns({"stage": F.lit(0), "sub": F.lit(0)})
+    elif not backfill:
         kept = best.filter(F.when(no_dual, F.col("score") >= floor * F.col("top")).otherwise(strong)).withColumns({"stage": F.lit(0), "sub": F.lit(0)})
     else:
         half = max(1, limit // 2)

@@ -76,7 +76,7 @@ def search(
     hits = hybrid(indexes.build(chunks, embed) if index is None else index, queries, prefetch, floor, fetch, embed, mode)
     if lexical:
         hits = ranking.merge_lexical(hits, lexical_hits(chunks, queries))
-    rows = chunks.join(hits, "id")
+    rows = hydrated(hits, chunks)
     rows = rows.filter((text.trimmed(F.col("file_path")) != "") & ~policy.must_refuse(F.col("file_path"), F.col("content")) & (F.col("evidence") >= floor))
     if rerank is not None:
         rows = ranking.reranked(rows, rerank)
@@ -95,7 +95,7 @@ def find_decisions(
     _scope(docs, queries)
     hits = hybrid(indexes.build(docs, embed) if index is None else index, queries, prefetch, SETTINGS.find_dense_floor, cut, embed).filter("evidence > 0")
     hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).filter(F.col("nth") <= fetch)
-    rows = decisions.join(hits, "id").filter(text.is_citation(F.col("source_url")))
+    rows = hydrated(hits, decisions).filter(text.is_citation(F.col("source_url")))
     if not history:
         rows = rows.filter("superseded_by is null")
     rows = ranking.relative_floor(ranking.absolute_floor(rows, floor), SETTINGS.decision_relative_floor)
@@ -104,6 +104,18 @@ def find_decisions(
     return rows.select("query_id", "position", "id", "topic", "source_url", "score", "evidence")
 
 
+def hydrated(hits: DataFrame, rows: DataFrame, missing: bool = False) -> DataFrame:
+    """Hits with their stored rows; hits whose row is gone are dropped, or kept with nulls if ``missing``."""
+    return hits.join(rows, "id", "left" if missing else "inner")
+
+
+def touching(decisions: DataFrame, paths: DataFrame) -> DataFrame:
+    """Document decisions that touch any of ``paths`` (repo_id where both have it, path)."""
+    scope = [c for c in ("repo_id",) if c in paths.columns]
+    touched = decisions.filter("source_type = 'doc'").select("id", "repo_id", F.explode("touched_paths").alias("path"))
+    return touched.join(paths.distinct(), [*scope, "path"], "left_semi").select("id", "repo_id").distinct()
+
+
 def explain_file(chunks: DataFrame, decisions: DataFrame, paths: DataFrame) -> DataFrame:
     """For each path: chunk summaries in order, then cited decisions that touch it, newest first."""
     asked = paths.filter(~policy.is_secret_path(F.col("path")))

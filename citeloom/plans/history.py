@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeloom.operators import decisions as decide
-from citeloom.operators import metrics, ranking, sync
+from citeloom.operators import metrics, retrieval, sync
 from citeloom.plans.base import EVENTS, SOURCES, events, query, sources
 from citeloom.session import table
 
@@ -36,6 +36,33 @@ SELECT id, repo_id, source_type, CASE WHEN o = 'selected' AND source_type <> 'pr
 from citeloom.plans.base import SQL  # noqa: E402
 
 SQL["sync_select_sources"] = _select_sql()
+_OUTCOMES = ("selected", "trivial", "covered", "unusable")
+
+
+@query("agg_skip_counts", f"SELECT repo_id, {', '.join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in _OUTCOMES)} FROM ({_select_sql()}) GROUP BY repo_id")
+def skip_counts(spark, sf_dir):
+    """A10: sources of every repository that were taken, and left out for each reason."""
+    return sync.skip_counts(sync.select_sources(sources(spark, sf_dir)))
+
+
+@query(
+    "sync_reuse",
+    """WITH h AS (SELECT o_custkey AS repo_id, o_orderkey AS id, CASE WHEN o_orderkey % 5 > 0 THEN 'k' || (o_orderkey % 3)::VARCHAR || o_orderpriority END AS dedupe_key, o_orderkey % 7 AS tokens, o_orderstatus FROM orders),
+old AS (SELECT * FROM h WHERE o_orderstatus <> 'O' QUALIFY dedupe_key IS NULL OR row_number() OVER (PARTITION BY repo_id, dedupe_key ORDER BY id) = 1),
+new AS (SELECT * FROM h WHERE o_orderstatus = 'O' QUALIFY dedupe_key IS NULL OR row_number() OVER (PARTITION BY repo_id, dedupe_key ORDER BY id) = 1)
+SELECT old.repo_id, old.id, CASE WHEN new.id IS NULL THEN 'done' ELSE 'running' END AS status, CASE WHEN new.id IS NULL THEN old.tokens ELSE 0 END AS tokens_used FROM old LEFT JOIN new ON new.repo_id = old.repo_id AND new.dedupe_key = old.dedupe_key
+UNION ALL SELECT repo_id, id, 'running', 0 FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.repo_id = new.repo_id AND old.dedupe_key = new.dedupe_key)""",
+)
+def reuse(spark, sf_dir):
+    """K5: orders as jobs; open ones start the known ones of their key again, counters at 0."""
+    o = table(spark, sf_dir, "orders")
+    key = F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("k"), (F.col("o_orderkey") % 3).cast("string"), "o_orderpriority"))
+    rows = o.select(
+        F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("id"), key.alias("dedupe_key"), F.lit("done").alias("status"), (F.col("o_orderkey") % 7).alias("tokens_used"),
+        F.lit(5).alias("latency_ms"), F.lit("e").alias("error_message"), (F.col("o_orderstatus") == "O").alias("open"),
+    )
+    history = sync.first_by_key(rows.filter("not open").drop("open"), ["repo_id"], "dedupe_key", "id")
+    return sync.reuse(history, rows.filter("open").drop("open"), ["repo_id"]).select("repo_id", "id", "status", "tokens_used")
 
 
 @query(
@@ -247,7 +274,8 @@ def endpoints(spark, sf_dir):
 def decision_sources(spark, sf_dir):
     """Orders with their returned lines, those without any kept."""
     o, returned = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
-    return o.join(returned, returned["l_orderkey"] == o["o_orderkey"], "left").select(F.col("o_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("o_totalprice").alias("price"))
+    hits = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    return retrieval.hydrated(hits, returned.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")), missing=True).select("id", "line", "price")
 
 
 @query("join_supersede_chain", """WITH RECURSIVE d AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import outputs, text
-from citeloom.operators import jobs
+from citeloom.operators import jobs, metrics, retrieval
 from citeloom.plans.base import DECISIONS, EVENTS, SOURCES, decisions, events, files, query, sources
 from citeloom.plans.base import FILES
 from citeloom.plans.search import SPACE_SQL
@@ -86,8 +85,7 @@ def touched(spark, sf_dir):
     """Document decisions that touch any of a set of paths, as a semi-join."""
     c = table(spark, sf_dir, "customer").filter("c_nationkey = 3")
     wanted = c.select(F.concat(F.lit("src"), (F.col("c_custkey") % 20).cast("string"), F.lit("/none")).alias("p")).distinct()
-    d = decisions(spark, sf_dir).filter("source_type = 'doc'").select("id", "repo_id", F.explode("touched_paths").alias("p"))
-    return d.join(wanted, "p", "left_semi").select("id", "repo_id").distinct()
+    return retrieval.touching(decisions(spark, sf_dir), wanted.withColumnRenamed("p", "path"))
 
 
 @query(
@@ -99,18 +97,16 @@ def run_budget(spark, sf_dir):
     """The budget rule of C12 alone, over lines as sections (the whole run: sync_doc_run)."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     rows = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("run"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("section"))
-    nth = F.row_number().over(Window.partitionBy("run").orderBy("file", "section"))
-    return rows.withColumn("nth", nth).filter("nth <= 10")
+    return jobs.within_budget(rows, "run", ("file", "section"), 10)
 
 
 @query(
     "agg_counts",
-    """SELECT user_id AS repo_id, count(*) AS n, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'error') AS failed, count(*) > 0 AS some FROM events GROUP BY user_id""",
+    """SELECT user_id AS repo_id, count(*) AS n, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error') > 0 AS any_failed FROM events GROUP BY user_id""",
 )
 def counts(spark, sf_dir):
-    """A1: counts of every user's jobs by state."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("user_id").alias("repo_id")).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"), F.count_if(F.col("event_type") == "error").alias("failed"), (F.count("*") > 0).alias("some"))
+    """Counts of every user's jobs by state, and whether any failed."""
+    return metrics.counts(table(spark, sf_dir, "events").withColumnRenamed("user_id", "repo_id"), "repo_id", "event_type", "error")
 
 
 @query("rank_newest", """SELECT * FROM (SELECT o_custkey AS repo_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders) WHERE nth <= 5""")
@@ -119,3 +115,47 @@ def newest(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     rows = o.select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("id"), "o_orderdate")
     return jobs.newest(rows, "o_orderdate", 5).drop("o_orderdate")
+
+
+@query(
+    "fn_diff_summary",
+    f"""WITH {FILES}, p AS (SELECT id, list_transform(range(0, id % 60), lambda i: 'src/' || i::VARCHAR || '.ts') AS paths, regexp_replace(content, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g') AS t FROM files),
+s AS (SELECT id, paths, CASE WHEN length(t) > 4096 THEN substring(t, 1, 4096) || E'\\n…(stat truncated)' WHEN t <> '' THEN t END AS stat FROM p),
+b AS (SELECT id, CASE WHEN len(paths) > 0 THEN 'Changed files (from git — use these for touchedPaths; do not invent paths):' || E'\\n' || array_to_string(list_transform(paths[1:40], lambda x: '- ' || x), E'\\n')
+ || CASE WHEN len(paths) > 40 THEN E'\\n- …and ' || (len(paths) - 40)::VARCHAR || ' more' ELSE '' END END AS head, 'Diff stat:' || E'\\n' || stat AS tail FROM s)
+SELECT id, sha256(concat_ws(E'\\n\\n', head, tail)) AS digest FROM b""",
+)
+def diff_summaries(spark, sf_dir):
+    """changed paths and statistic of every file, the statistic cut."""
+    paths = F.transform(F.when(F.col("id") % 60 > 0, F.sequence(F.lit(0), (F.col("id") % 60 - 1).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("src/"), i.cast("string"), F.lit(".ts")))
+    return files(spark, sf_dir).select("id", F.sha2(outputs.diff_summary(paths, outputs.stat_summary(F.col("content"))), 256).alias("digest"))
+
+
+@query(
+    "fn_decision_lines",
+    f"""WITH {DECISIONS} SELECT id, '3. ' || topic || CASE WHEN id % 2 = 0 THEN ' [superseded]' ELSE ' [active]' END || ' (confidence=' || printf('%.2f', (id % 7) / 7.0) || ', retrievalScore=' || printf('%.4f', (id % 16) / 16.0) || E')\\n' || summary
+ || E'\\nAlternatives: ' || CASE WHEN len(alternatives) > 0 THEN array_to_string(alternatives, '; ') ELSE '(none recorded)' END || E'\\nSource: ' || source_url AS line FROM decisions""",
+)
+def decision_lines(spark, sf_dir):
+    """every decision as it is shown when found."""
+    line = outputs.decision_lines(F.lit(3), F.col("topic"), F.col("summary"), F.col("alternatives"), F.col("source_url"), (F.col("id") % 7) / F.lit(7.0), (F.col("id") % 16) / F.lit(16.0), F.col("id") % 2 == 0)
+    return decisions(spark, sf_dir).select("id", line.alias("line"))
+
+
+@query(
+    "fn_explained_text",
+    f"""WITH {DECISIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY id) AS nth FROM decisions),
+d AS (SELECT repo_id, string_agg(nth::VARCHAR || '. ' || topic || CASE WHEN id % 2 = 0 THEN ' [superseded] (' ELSE ' [active] (' END || strftime(decided_at, '%Y-%m-%d') || E')\\n' || summary || E'\\nSource: ' || source_url, E'\\n\\n' ORDER BY nth) AS related,
+ string_agg(nth::VARCHAR || '. ' || topic, E'\\n' ORDER BY nth) AS chunks FROM n GROUP BY repo_id)
+SELECT c_custkey AS repo_id, sha256('File: f' || c_custkey::VARCHAR || E'\\n\\nChunks:\\n' || coalesce(chunks, 'No indexed chunks for this path.') || E'\\n\\nRelated decisions:\\n' || coalesce(related, 'No related decisions.')) AS digest
+ FROM customer LEFT JOIN d ON repo_id = c_custkey""",
+)
+def explained_texts(spark, sf_dir):
+    """what is told of every customer as a file, with orders as its decisions."""
+    d = decisions(spark, sf_dir)
+    one = F.struct("id", "topic", (F.col("id") % 2 == 0).alias("superseded"), F.date_format("decided_at", "yyyy-MM-dd").alias("decided_at"), "summary", "source_url")
+    lists = d.groupBy("repo_id").agg(F.array_sort(F.collect_list(one)).alias("related"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo_id")).join(lists, "repo_id", "left")
+    related = F.coalesce("related", F.array().cast(lists.schema["related"].dataType))
+    text_ = outputs.explained_text(F.concat(F.lit("f"), F.col("repo_id").cast("string")), F.transform(related, lambda x: x["topic"]), related)
+    return c.select("repo_id", F.sha2(text_, 256).alias("digest"))

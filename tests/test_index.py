@@ -209,3 +209,36 @@ def test_search_by_a_gateway_and_a_reranker_that_fails(spark):
 def test_open_breakers_from_a_log(spark):
     log = [("a", 1, 0, 429), ("a", 2, 10, 429), ("b", 3, 0, 429), ("b", 4, 5, 429), ("b", 5, 9, 200), ("c", 6, 1, 429), ("d", 7, 0, 200), ("d", 8, 1, 429), ("d", 9, 2, 500), ("d", 10, 3, 429)]
     assert providers.still_open(spark.createDataFrame(log, "provider string, id long, at_ms long, status int"), 10_000) == {"a": 290.01, "d": 290.003}
+
+
+def test_suites_are_read_and_checked(spark, tmp_path):
+    import json
+
+    from citeloom.operators import metrics
+    from citeloom.sources import suites
+
+    cases = [
+        {"id": "a", "tool": "search_codebase", "query": "q", "expect": {"anyOfPathIncludes": ["src/x"]}},
+        {"id": "b", "tool": "search_codebase", "query": "q", "gate": "soft", "expect": {"expectEmpty": True}},
+        {"id": "c", "tool": "find_decision", "query": "q", "expect": {"topicOrSummaryIncludesAny": ["why"], "maxCount": 2}},
+    ]
+
+    def read(suite):
+        (tmp_path / "s.json").write_text(json.dumps(suite, indent=1))
+        return suites.replay(spark, f"{tmp_path}/s.json")
+
+    got = read({"version": 1, "description": "d", "cases": cases})
+    assert [(r["id"], r["gate"], r["hit_at"], r["citation"]) for r in got.orderBy("nth").collect()] == [("a", "hard", 3, True), ("b", "soft", 3, True), ("c", "hard", 3, True)]
+    hits = spark.createDataFrame([("a", 4, "src/x.ts", None), ("b", 1, "y", None)], "id string, position int, file_path string, symbol string")
+    passed = suites.searched(got, hits)
+    assert {r["id"]: r["passed"] for r in passed.collect()} == {"a": False, "b": False}
+    assert tuple(metrics.replay(passed).first()) == (1, 1, False)
+    assert {r["id"] for r in suites.searched(got, hits.withColumn("position", F.col("position") - 1).filter("id = 'a'")).filter("passed").collect()} == {"a", "b"}
+    for bad in ({"version": 2, "cases": cases}, {"version": 1, "cases": []}, {"version": 1, "cases": [cases[0] | {"tool": "other"}]}, {"version": 1, "cases": [cases[0] | {"expect": {}}]}, {"version": 1, "cases": [cases[2] | {"expect": {"topicOrSummaryIncludesAny": ["x"], "maxCount": 99}}]}):
+        with pytest.raises(Exception, match="suite refused"):
+            read(bad).collect()
+
+
+def test_one_channel_is_enough_where_asked(spark):
+    fused = spark.createDataFrame([(1, 1, 0.5, 0.1, 1, 0), (1, 2, 0.3, 0.0, 0, 1), (1, 3, 0.2, 0.1, 1, 1)], "query_id int, id int, score double, evidence double, in_dense int, in_sparse int")
+    assert [r["id"] for r in ranking.hybrid_cutoff(fused, 5, min_channels=1).orderBy("position").collect()] == [1, 2]
