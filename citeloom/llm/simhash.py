@@ -336,8 +336,8 @@ def crossing(buckets: DataFrame, roots: DataFrame, texts_of, told, shingle: int,
     ))
     told = packed.select("block", F.struct("block", "least", "most", "only").alias("told"))
     where = materialize(blocked.select("g", "block").join(told, "block").select("g", "told"))
-    met = mixed.select("k", "g", (F.col("count") > FEW).alias("large")).join(where, "g").groupBy("k", "large").agg(F.array_sort(F.collect_set("told")).alias("m"))
-    met = met.select(F.explode("m").alias("a"), "m", "large").select("a", "large", F.explode(F.filter("m", lambda b: b["block"] >= F.col("a.block"))).alias("b"))
+    met = mixed.select("k", "g", (F.col("count") > FEW).alias("large")).join(where, "g").select("k", "large", F.col("told").alias("a")).distinct()
+    met = met.join(met.select("k", F.col("a").alias("b")), "k").filter(F.col("b.block") >= F.col("a.block")).select("a", "b", "large")
     alone = F.coalesce(F.col("a.only") == F.col("b.only"), F.lit(False))
     apart = (u * F.col("a.most") < t * F.col("b.least")) | (u * F.col("b.most") < t * F.col("a.least"))
     need = _least_common(F.least("a.least", "b.least"), F.greatest("a.most", "b.most"), similarity) - 2  # rounding may lift sizes between these by less
@@ -437,10 +437,13 @@ def group_similar(docs: DataFrame, shingle: int = 5, similarity: Fraction = Frac
 def first_of_each(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the least id."""
     found = group_similar(docs, shingle, similarity, id_col, text_col)
+    of = "__of"
+    while of in docs.columns:  # a caller's column of that name stays
+        of += "_"
     keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("h").alias("__h")).distinct()
-    hashed = docs.withColumn("__of", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = hashed.join(keep, hashed[id_col].eqNullSafe(keep["__id"]) & (hashed["__of"] == keep["__h"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__of"]).drop("__of")
+    hashed = docs.withColumn(of, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = hashed.join(keep, hashed[id_col].eqNullSafe(keep["__id"]) & (hashed[of] == keep["__h"]), "left_semi")
+    return kept.dropDuplicates([id_col, of]).drop(of)
 
 
 def hexadecimal(fp: str = "fp"):
