@@ -219,3 +219,79 @@ def test_catalog_names():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def plain_windows(s, e):
+    out = []
+    for o in range(s, e, 1800):
+        out.append((o, min(o + 2000, e)))
+        if o + 2000 >= e:
+            break
+    return out
+
+
+def plain_markdown(source):
+    """(symbol, parent, start, end) of sections by a loop over lines with a stack of headings."""
+    import re
+
+    found, stack, offset, fenced = [], [], 0, False
+    for line in source.split("\n"):
+        if re.match(r"(`{3,}|~{3,})", line.lstrip()):
+            fenced = not fenced
+        elif not fenced and (m := re.fullmatch(r"(#{1,6})[ \t]+([^\n]+?)[ \t]*", line)) and (title := re.sub(r"[ \t]+#+[ \t]*$", "", m[2]).strip()):
+            while stack and stack[-1][0] >= len(m[1]):
+                stack.pop()
+            found.append((title, stack[-1][1] if stack else None, offset))
+            stack.append((len(m[1]), title))
+        offset += len(line) + 1
+    ends = [f[2] for f in found[1:]] + [len(source)]
+    lead = [(None, None, 0, found[0][2] if found else len(source))]
+    return [(t, p, a, b) for t, p, s, e in lead + [(t, p, s, e) for (t, p, s), e in zip(found, ends)] for a, b in plain_windows(s, e)]
+
+
+def test_files_of_the_whole_table_against_loops(spark):
+    from citeloom.plans import base, catalog
+
+    sf = "/root/testdata/sf0.01"
+    want = set()
+    for r in base.files(spark, sf).collect():
+        ext, text = r["file_path"].rsplit(".", 1)[-1], r["content"]
+        if text is None or "\0" in text:
+            continue
+        if ext == "md":
+            want |= {(r["id"], *c, "markdown") for c in plain_markdown(text)}
+        elif ext in ("txt", "rst"):
+            want |= {(r["id"], None, None, a, b, "text") for a, b in literal_paragraphs(text)}
+        else:
+            want |= {(r["id"], None, None, a, b, f"unknown(.{ext})") for a, b in plain_windows(0, len(text))}
+    rows = catalog.queries()["chunk_files"](spark, sf).collect()
+    assert {(r["id"], r["symbol"], r["parent"], r["byte_start"], r["byte_end"], r["language"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_doc_sections_of_the_whole_table_against_a_loop(spark):
+    import re
+
+    from citeloom.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        lines = re.split(r"\r?\n", re.sub(r"\. ([A-Z])", ".\n## \\1", r["text"] or ""))
+        parts, title, start = [], None, 0
+        held = []
+        for n, line in enumerate(lines):
+            m = re.fullmatch(r"##[ \t]+([^\n]+?)[ \t]*", line)
+            name = re.sub(r"[ \t]+#+[ \t]*$", "", m[1]).strip() if m else ""
+            if name:
+                parts.append((title, start, held))
+                title, start, held = name, n, []
+            held.append(line)
+        parts.append((title, start, held))
+        if len(parts) > 1:
+            parts = parts[1:]
+        kept = [(t, s, "\n".join(h).strip()) for t, s, h in parts]
+        kept = [k for k in kept if k[2]][:20]
+        want |= {(r["doc_id"], (t or str(r["doc_id"]))[:500], s + 1) for t, s, _ in kept}
+    rows = catalog.queries()["chunk_doc_sections"](spark, sf).collect()
+    got = {(r["id"], r["topic"], r["start_line"]) for r in rows}
+    assert got == want and len(rows) == len(want)
