@@ -7,6 +7,7 @@ with what a log of earlier calls says (``jobs.breaker_states``).
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -109,15 +110,19 @@ class Gateway:
         self.usage.append({"provider": p.id, "model": p.model, "latency_ms": ms, "success": error is None, "error": error})
 
 
+_OWN = threading.local()  # one waiting thread for each calling one; a late call keeps its thread, and the next call gets another
+
+
 def timely(call: Callable, seconds: float, *request, **more):
     """What ``call`` returns, unless it takes longer."""
-    pool = ThreadPoolExecutor(1)
+    if getattr(_OWN, "pool", None) is None:
+        _OWN.pool = ThreadPoolExecutor(1)
     try:
-        return pool.submit(call, *request, **more).result(seconds)
+        return _OWN.pool.submit(call, *request, **more).result(seconds)
     except Late:
+        _OWN.pool.shutdown(wait=False, cancel_futures=True)
+        _OWN.pool = None
         raise TimeoutError(f"no answer in {seconds:g} seconds") from None
-    finally:
-        pool.shutdown(wait=False, cancel_futures=True)
 
 
 ANSWER = "raw string, provider string, model string, tokens long, latency_ms long, failure string"
@@ -127,7 +132,9 @@ def completed(prompts: DataFrame, gateway: Callable[[], Gateway], system: str =
     """Rows with a chat answer each: raw, provider, model, tokens, latency_ms, and ``failure`` where no provider answered.
 
     ``gateway`` makes a task's gateway; its providers take (system, user) and return (text, tokens).
+    Rows are dealt evenly first: an answer costs far more than sending a row.
     """
+    prompts = prompts.repartition(int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = gateway()
