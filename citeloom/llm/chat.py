@@ -28,14 +28,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import materialize
+from citeloom.llm.common import discard, materialize
+
+FIELDS = ("conv_id", "turn", "role", "kind", "link_id", "name", "arguments", "content")
 
 # Fields that a call's arguments must hold, by function.
 SCHEMAS = {"ask": {"text": "string", "turn": "bigint"}}
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
-    """Tool messages of plain conversations: a user's turn calls ``ask``, the assistant's next turn is its result."""
+    """Tool messages of plain conversations: a user's turn calls ``ask``, the assistant's next turn is its result.
+
+    A call needs the result of the call two turns before it, where there is one:
+    that is the exchange which it follows.
+    """
     call, result = F.col("role") == "user", F.col("role") == "assistant"
     name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     return conversations.select(
@@ -45,6 +51,7 @@ def from_turns(conversations: DataFrame) -> DataFrame:
         F.when(call, "ask").alias("name"),
         F.when(call, F.to_json(F.struct(F.col("text").alias("text"), F.col("turn").alias("turn")))).alias("arguments"),
         F.when(~F.coalesce(call, F.lit(False)), F.col("text")).alias("content"),
+        F.when(call, F.array(name(F.col("turn") - 2))).alias("needs"),
     )
 
 
@@ -66,33 +73,61 @@ def _valid(schemas: dict[str, dict[str, str]]) -> Column:
     return out
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, link_id, call_level) for calls (conv_id, link_id, needs): two more than the highest level they need.
+def _along(calls: DataFrame, single: DataFrame) -> DataFrame:
+    """(conv_id, link_id, to, steps): where the chain of single needs from each call ends, and how far that is.
 
-    Each round settles the calls whose needs are settled, so there are as many
-    rounds as the longest chain has calls; a call of a circle stays out.
+    Pointers are doubled, so a chain of n calls takes about log2(n) rounds. Each
+    round that settles nothing is the last: what is open then ends in a circle.
+    """
+    key = ["conv_id", "link_id"]
+    ends = calls.join(single.select(*key), key, "left_anti").select(*key, F.col("link_id").alias("to"), F.lit(0).alias("steps"), F.lit(True).alias("done"))
+    state = materialize(ends.unionByName(single.select(*key, F.col("need").alias("to"), F.lit(1).alias("steps"), F.lit(False).alias("done"))))
+    before, left = None, state.filter("not done").count()
+    while left and left != before:
+        there = state.select("conv_id", F.col("link_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("done").alias("ended"))
+        hop = state.filter("not done").join(there, ["conv_id", "to"])
+        hop = hop.select(*key, F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ended").alias("done"))
+        old, state = state, materialize(state.filter("done").unionByName(hop))
+        discard(old)
+        before, left = left, state.filter("not done").count()
+    return state.filter("done").select(*key, "to", "steps")
+
+
+def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """(conv_id, link_id, call_level) of ``calls`` (conv_id, link_id): two more than the highest level they need.
+
+    ``needs`` holds a row (conv_id, link_id, need) for each need; repeated rows and
+    needs without a call change nothing. Chains of calls that need one other are
+    followed by doubling; a call that needs several is settled once all of these
+    are, so rounds grow with the number of such calls in a row, not with the
+    length of chains. A call of a circle, or behind one, stays out.
     """
     key = ["conv_id", "link_id"]
-    edges = calls.select(*key, F.explode("needs").alias("need")).distinct()
-    known = calls.select("conv_id", F.col("link_id").alias("need")).distinct()
-    edges = materialize(edges.join(known, ["conv_id", "need"], "left_semi"))
-    waiting = edges.select(*key).distinct()
-    settled = materialize(calls.select(*key).distinct().join(waiting, key, "left_anti").withColumn("call_level", F.lit(0)))
-    found = settled
-    while not edges.isEmpty():
-        given = edges.join(found.select("conv_id", F.col("link_id").alias("need"), "call_level"), ["conv_id", "need"], "left")
-        ready = given.groupBy(*key).agg(F.count_if(F.col("call_level").isNull()).alias("open"), (F.max("call_level") + 2).alias("call_level")).filter("open = 0")
-        ready = materialize(ready.select(*key, "call_level"))
+    calls = materialize(calls.select(*key).distinct())
+    known = calls.select("conv_id", F.col("link_id").alias("need"))
+    edges = materialize(needs.select(*key, "need").distinct().join(known, ["conv_id", "need"], "left_semi"))
+    counted = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    chains = materialize(_along(calls, counted.filter("n = 1").select(*key, "need")))
+    several = counted.filter("n > 1").select(*key)
+    found = materialize(calls.join(edges.select(*key).distinct(), key, "left_anti").select("conv_id", F.col("link_id").alias("to"), F.lit(0).alias("base")))
+    ends = chains.select("conv_id", F.col("link_id").alias("need"), "to", "steps")
+    waiting = materialize(edges.join(several, key, "left_semi").join(ends, ["conv_id", "need"], "left").select(*key, "to", "steps"))
+    while not waiting.isEmpty():
+        given = waiting.join(found, ["conv_id", "to"], "left")
+        ready = given.groupBy(*key).agg(F.count_if(F.col("base").isNull()).alias("open"), F.max(F.col("base") + 2 * F.col("steps") + 2).alias("base"))
+        ready = materialize(ready.filter("open = 0").select("conv_id", F.col("link_id").alias("to"), "base"))
         if ready.isEmpty():
             break
         found = materialize(found.unionByName(ready))
-        edges = materialize(edges.join(ready.select(*key), key, "left_anti"))
-    return found
+        waiting = materialize(waiting.join(ready.select("conv_id", F.col("to").alias("link_id")), key, "left_anti"))
+    discard(calls, edges, waiting)
+    return chains.join(found, ["conv_id", "to"]).select(*key, (F.col("base") + 2 * F.col("steps")).alias("call_level"))
 
 
 def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> DataFrame:
     """Each message with ``linked``, ``valid``, its ``level``, ``position`` and canonical ``json``; a column ``needs`` (array of identifiers) is optional."""
     is_call, key = F.col("kind") == "call", ["conv_id", "link_id"]
+    messages = messages.select(*FIELDS, *[c for c in ("needs",) if c in messages.columns])
     named = messages.filter("link_id is not null and conv_id is not null")
     summary = named.groupBy(*key).agg(
         F.count_if(is_call).alias("calls"),
@@ -100,10 +135,11 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
         F.min(F.when(is_call, F.col("turn"))).alias("call_turn"),
     )
     if "needs" in messages.columns:
-        needing = named.filter(is_call).groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set("needs"))).alias("needs"))
-        summary = summary.join(levels(needing), key, "left")
+        called = named.filter(is_call)
+        summary = summary.join(levels(called, called.select(*key, F.explode("needs").alias("need"))), key, "left")
     else:
         summary = summary.withColumn("call_level", F.lit(0))
+    named, messages = named.select(*FIELDS), messages.select(*FIELDS)
     joined = named.join(summary.hint("shuffle_hash"), key)
     apart = messages.filter("link_id is null or conv_id is null").withColumns({"calls": F.lit(0), "results": F.lit(0), "call_turn": F.lit(None).cast("long"), "call_level": F.lit(0)})
     every = joined.unionByName(apart)
@@ -112,7 +148,7 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     every = every.withColumn("given", F.try_parse_json("arguments")).withColumns({
         "linked": linked,
         "valid": F.when(is_call, _valid(schemas)),
-        "level": F.when(after, F.col("call_level") + 1).when(is_call, F.col("call_level")).otherwise(0),
+        "level": F.when(after, F.col("call_level") + 1).when(is_call, F.col("call_level")).otherwise(0).cast("int"),
         "position": F.when(after, 2 * F.greatest("turn", "call_turn") + 1).otherwise(2 * F.col("turn")),
         "arguments": F.coalesce(F.to_json("given"), F.col("arguments")),
     })
@@ -134,12 +170,19 @@ s AS (
   SELECT link_id, count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind <> 'call') AS results,
     min(turn) FILTER (kind = 'call') AS call_turn
   FROM m WHERE link_id IS NOT NULL GROUP BY link_id),
+d AS (
+  SELECT conv_id, turn, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island
+  FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user')),
+l AS (
+  SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS link_id,
+    (2 * row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 2)::INTEGER AS call_level
+  FROM d),
 j AS (
-  SELECT m.*, coalesce(calls > 0 AND results > 0, false) AS linked, call_turn
-  FROM m LEFT JOIN s USING (link_id)),
+  SELECT m.*, coalesce(calls > 0 AND results > 0, false) AS linked, call_turn, call_level
+  FROM m LEFT JOIN s USING (link_id) LEFT JOIN l USING (link_id)),
 k AS (
   SELECT *, CASE WHEN kind = 'call' THEN coalesce(length(text) > 0 AND turn >= 0, false) END AS valid,
-    CASE WHEN kind = 'result' AND linked THEN 1 ELSE 0 END AS level,
+    CASE WHEN kind = 'result' AND linked THEN call_level + 1 WHEN kind = 'call' THEN coalesce(call_level, 0) ELSE 0 END AS level,
     CASE WHEN kind = 'result' AND linked THEN 2 * greatest(turn, call_turn) + 1 ELSE 2 * turn END AS position
   FROM j)
 SELECT conv_id, turn, role, kind, link_id, linked, valid, level, position,

@@ -8,13 +8,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from citeloom.llm import ann, automaton, bpe, chat, components, egojoin, lm, packing, quality, registry, secrets, simhash, suffix, vectors
+from citeloom.llm import ann, automaton, bpe, chat, common, components, egojoin, lm, packing, quality, registry, secrets, simhash, suffix, vectors
 
 DOCS = "doc_id long, text string, lang string, spans string"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -136,6 +137,47 @@ def test_vectors(spark):
     assert egojoin.group(empty).count() == 0 and ann.search(empty, F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["chains", "dense"])
+def test_grid_join_of_several_blocks_against_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(egojoin, "BLOCK", 64)
+    monkeypatch.setattr(egojoin, "FINE", 16)
+    rng = np.random.default_rng(11)
+    if kind == "chains":  # neighbours of a circle link, so groups reach over many blocks; some links are missing
+        turn = np.delete(np.arange(700), rng.choice(700, 60, replace=False)) * (2 * np.pi / 700)
+        v = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+        least = math.cos(1.5 * 2 * np.pi / 700)
+    else:  # a third of all rows are near one vector, and some are copies
+        v = rng.normal(size=(600, 8))
+        v[:200] = v[0] + rng.normal(size=(200, 8)) * 0.05
+        v[200:230] = v[0]
+        least = 0.9
+    v = v.astype(np.float32)
+    ids = rng.permutation(len(v))
+    table = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<float>")
+    u = vectors.unit(v.astype(float))
+    near = u @ u.T >= least
+    np.fill_diagonal(near, False)
+    label = ids.copy()
+    while True:
+        grown = np.minimum(label, np.where(near, label[None], len(v)).min(axis=1))
+        if np.array_equal(grown, label):
+            break
+        label = grown
+    got = {r["vec_id"]: r for r in egojoin.group(table, least).collect()}
+    assert len(got) == len(v)
+    for i, links, own in zip(ids.tolist(), near.sum(axis=1), label):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links, own, own == i)
+
+
+def test_grid_join_keeps_the_links_of_the_given_vectors_in_several_blocks(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = lambda: sorted(map(tuple, egojoin.group(table, 0.3).collect()))
+    whole = rows()
+    monkeypatch.setattr(egojoin, "BLOCK", 32)
+    monkeypatch.setattr(egojoin, "FINE", 8)
+    assert rows() == whole and any(r[1] for r in whole)
+
+
 def test_search_in_several_parts_and_blocks_with_ties(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART", 256)
     monkeypatch.setattr(ann, "BLOCK", 64)
@@ -211,6 +253,67 @@ def test_packing_plan_uses_every_length_once():
 
 
 # op5
+def settled(needs):
+    """Levels by plain recursion: None for a circle or behind one; needs: call -> calls that exist."""
+    known = {}
+
+    def level(c, above):
+        if c in above:
+            return None
+        if c not in known:
+            below = [level(n, above | {c}) for n in needs[c]]
+            found = None if None in below else max((b + 2 for b in below), default=0)
+            if found is None and above:
+                return None  # may hold on this way only
+            known[c] = found
+        return known[c]
+
+    return {c: level(c, frozenset()) for c in needs}
+
+
+def test_levels_equal_recursion(spark):
+    rng = random.Random(5)
+    for most, calls in ((1, 60), (3, 40), (2, 12)):
+        needs = {c: sorted({rng.randrange(max(0, c - 6), c) for _ in range(rng.randint(0, most))} if c else set()) for c in range(calls)}
+        if most == 2:
+            needs[3], needs[5] = [5], [3, 1]
+        rows = [(1, str(c), str(n)) for c in needs for n in needs[c]] * 2 + [(1, "0", "nowhere"), (2, "1", "0")]
+        known = spark.createDataFrame([(1, str(c)) for c in needs] * 2 + [(2, "1")], "conv_id long, link_id string")
+        got = chat.levels(known, spark.createDataFrame(rows, "conv_id long, link_id string, need string")).collect()
+        told = {(r["conv_id"], r["link_id"]): r["call_level"] for r in got}
+        assert len(told) == len(got) and told.pop((2, "1")) == 0
+        assert told == {(1, str(c)): v for c, v in settled(needs).items() if v is not None}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(chat, "materialize", lambda df: written.append(1) or common.materialize(df))
+    known = spark.createDataFrame([(1, str(c)) for c in range(2000)], "conv_id long, link_id string")
+    got = chat.levels(known, spark.createDataFrame([(1, str(c), str(c - 1)) for c in range(1, 2000)], "conv_id long, link_id string, need string"))
+    assert sorted(r["call_level"] for r in got.collect()) == list(range(0, 4000, 2)) and len(written) <= 20
+
+
+def test_chat_query_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    mine = registry.op5_chat_format(spark, sf)
+    theirs = con.sql(chat.ORACLE)
+    found = sorted(map(repr, (tuple(r) for r in mine.select(*theirs.columns).collect())))
+    assert found == sorted(map(repr, theirs.fetchall())) and mine.agg(F.max("level")).first()[0] > 3
+
+
+def test_tool_messages_of_long_texts_and_clashing_columns(spark):
+    table = spark.createDataFrame(
+        [(1, 0, "user", "x" * 3_000_000, "g", 1), (1, 1, "assistant", None, "g", 2), (1, 2, "user", "", "g", 3), (1, 2, "user", "", "g", 3), (None, 4, "user", "y", "g", 4), (1, None, None, "z", "g", 5)],
+        "conv_id long, turn long, role string, text string, given string, calls int",
+    )
+    got = chat.link(chat.from_turns(table)).collect()
+    assert len(got) == 6 and sorted((r["level"], r["valid"]) for r in got if r["kind"] == "call") == [(0, True), (0, True), (2, False), (2, False)]
+    own = chat.from_turns(table).withColumns({"given": F.lit("own"), "calls": F.lit("own"), "results": F.lit(1), "linked": F.lit(1)})
+    assert sorted(map(repr, chat.link(own).collect())) == sorted(map(repr, got))
+
+
 def test_tool_calls(spark):
     rows = [
         (1, 0, "user", "call", "a", "ask", '{"text":"hi","turn":0}', None), (1, 1, "assistant", "result", "a", None, None, "ok"), (1, 1, "assistant", "result", "a", None, None, "ok"),
