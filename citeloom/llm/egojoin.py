@@ -107,6 +107,18 @@ def block_pairs(boxes: DataFrame, blocks: int, dims: int, epsilon: float) -> Dat
     return pairs
 
 
+def _chained(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least of n numbers that each reaches by the links (x, y)."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        label = label[label]
+        if np.array_equal(before, label):
+            return label
+
+
 def _join_pair(a: dict, b: dict, same: bool, least: float, epsilon: float, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors, links counted with copies, and the least row that links within the pair reach."""
     rows = unit(a["v"]) if same else np.concatenate([unit(a["v"]), unit(b["v"])])
@@ -139,17 +151,13 @@ def _join_pair(a: dict, b: dict, same: bool, least: float, epsilon: float, axes:
             links[s:e] += hit @ copies[t:f]
             if i != j:
                 links[t:f] += hit.T @ copies[s:e]
-            # Each row keeps its first partner; columns keep theirs: rows that share one are chained through it.
+            # A tile's links are chained at once: it leaves a pair a row it touches, not a pair a link.
             x, y = np.nonzero(hit)
-            found.append((x + s, y + t))
-    while found:
-        before = label.copy()
-        for x, y in found:
-            np.minimum.at(label, x, label[y])
-            np.minimum.at(label, y, label[x])
-        label = label[label]
-        if np.array_equal(before, label):
-            break
+            least_of = _chained(n, x + s, y + t)
+            touched = np.flatnonzero(least_of != np.arange(n))
+            found.append((touched, least_of[touched]))
+    if found:
+        label = _chained(n, *(np.concatenate(side) for side in zip(*found)))
     return vid, links.astype(np.int64), vid[label]
 
 
