@@ -611,4 +611,4 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_registry_names():
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 14)}
