@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import column_texts, sliced
+from citeloom.llm.common import column_texts, keep_for_stage, sliced
 
 BITS = 18
 RECENT = 6  # a word that equals one of so many before it is marked
@@ -145,6 +145,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, usable: Co
     joined = slim.join(F.broadcast(chosen), "id").select("id", "y", "body")  # at most max_rows small rows
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_for_stage(_WORDS)
         for batch in sliced(batches, "body"):
             rows = [features(t).tobytes() for t in column_texts(batch, "body")]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(rows, pa.binary())], names=["id", "y", "f"])
@@ -165,6 +166,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        keep_for_stage(_WORDS)
         for batch in sliced(batches, text_col):
             scores = [m.score(t) for t in column_texts(batch, text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "quality_score"])

@@ -595,6 +595,23 @@ def test_repeats_against_brute_force(spark):
     assert suffix.strip(frame(spark, []), 400).count() == 0
 
 
+def test_steps_pass_small_batches_and_let_caches_go(spark):
+    def each(batches):
+        for b in batches:
+            yield b.select([0]).slice(0, 1).set_column(0, "n", [b.nbytes])
+
+    texts = spark.range(0, 3000, 1, 1).select(F.lit("x" * 10_000).alias("body"))
+    most = common.materialize(texts.mapInArrow(each, "n long")).agg(F.max("n")).first()[0]
+    assert most < 8 << 20  # 3000 rows are 30 MB
+    cache = {"a": 1}
+    common.keep_for_stage(cache)
+    list(common.sliced(iter([]), "body"))
+    assert cache  # the same stage
+    common._KEPT[id(cache)] = 7, cache
+    list(common.sliced(iter([]), "body"))
+    assert not cache and not common._KEPT
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
