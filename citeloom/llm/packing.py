@@ -14,7 +14,9 @@ gives no pieces. Only the named columns are read, so others may have any name.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,6 +36,7 @@ from citeloom.llm.units import UnitCache, pieces
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _PRINTABLE = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
 _SPACE = chr(_PRINTABLE[ord(" ")])
+_PLAIN = re.compile(r" \S{1,64}")  # units that no match of the pattern leaves, short enough for any merging
 GROUP = 500  # remainders of one length numbered together
 
 
@@ -62,6 +65,37 @@ class _Encoder:
         return out
 
 
+def ranked(path: str):
+    """The tokenizer's merges by rank, and which ids begin with a space; nothing, if its merges are not in order of their ids."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, bytes_of = model["vocab"], {chr(b): b for b in _OWN} | {chr(c): b for b, c in _PRINTABLE.items()}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ranks = {bytes([b]): vocab.get(c, -1) for c, b in bytes_of.items()}
+    ranks |= {bytes(map(bytes_of.__getitem__, a + b)): vocab.get(a + b, -1) for a, b in merges}
+    in_order = [ranks[bytes(map(bytes_of.__getitem__, a + b))] for a, b in merges]
+    least = max(ranks[bytes([b])] for b in range(256))
+    if in_order != sorted(set(in_order)) or -1 in ranks.values() or in_order and in_order[0] <= least or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        return None
+    opens = np.zeros(max(ranks.values()) + 1, dtype=bool)
+    opens[[i for text, i in ranks.items() if text[:1] == b" "]] = True
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), opens
+
+
+def together(units: list[str], encoding, opens: np.ndarray) -> list[bytes] | None:
+    """Ids of plain units laid end to end: each begins with the one id that begins with a space."""
+    if not units:
+        return []
+    ids = encoding.encode_to_numpy("".join(units), disallowed_special=()).astype("<u4")
+    starts = (4 * np.flatnonzero(opens[ids])).tolist()
+    if len(starts) != len(units):
+        return None
+    raw = ids.tobytes()
+    return [raw[s:e] for s, e in zip(starts, [*starts[1:], len(raw)])]
+
+
 @lru_cache(maxsize=2)
 def _worker(path: str) -> _Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,10 +112,15 @@ def _worker(path: str) -> _Encoder:
             printable = piece.encode().decode("latin-1").translate(_PRINTABLE)
         return array("I", [t.id for t in model.tokenize(printable)]).tobytes()
 
+    by_rank = ranked(path)
+
     def encode(fresh: list[str]) -> list[bytes]:
-        cut = [pieces(u, split) for u in fresh]
-        known = {p: ids(p) for p in {p for c in cut for p in c}}
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        """Plain units together by rank, all others by the tokenizer's model, piece by piece."""
+        plain = [u for u in fresh if _PLAIN.fullmatch(u)] if by_rank else []
+        told = dict(zip(plain, together(plain, *by_rank) or ())) if by_rank else {}
+        cut = {u: pieces(u, split) for u in fresh if u not in told}
+        known = {p: ids(p) for p in {p for c in cut.values() for p in c}}
+        return [told[u] if u in told else b"".join(map(known.__getitem__, cut[u])) for u in fresh]
 
     return _Encoder(UnitCache(encode), {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
 

@@ -54,7 +54,7 @@ class UnitCache:
         if len(self.known) > self.limit:
             self.known = {}
         cut = [units(t) for t in texts]
-        fresh = list({u for c in cut for u in c}.difference(self.known))
+        fresh = list(set().union(*cut).difference(self.known))
         if fresh:
             written = [u[1:] if u[:1] == "\t" else " " + u for u in fresh]
             self.known.update(zip(fresh, self.encode(written)))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -240,6 +241,30 @@ def test_tokenizers(spark, corpus):
     assert set(placed.doc_id) == set(ids) and packing.pack_documents(frame(spark, []), path).count() == 0
 
 
+def test_plain_units_by_rank_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    encoding, opens = packing.ranked(path)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "aeiou'stmdlvre", "ABCabc'.,!0123", "\u00e9\u00e0\u00fc\u00df\u00f1A\u0301a", "\u65e5\u672c\u8a9e\u304b\u306a", "0123456789abcdef-_/"]
+    units = [" " + "".join(rng.choices(rng.choice(kinds), k=rng.randint(1, 30))) for _ in range(3000)]
+    tokenizer = Tokenizer.from_file(path)
+    want = [np.array(tokenizer.encode(u, add_special_tokens=False).ids, dtype="<u4").tobytes() for u in units]
+    assert packing.together(units, encoding, opens) == want
+    assert packing.together([" a", "b"], encoding, opens) is None  # told apart no more
+    texts = ["".join(units), " a\nb " + "x" * 200 + "  c", "\u00a0 d\u2003e f"]
+    got = packing._worker(path).texts(texts)
+    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+def test_merges_out_of_order_are_left_to_the_tokenizer(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = json.load(f)
+    found["model"]["merges"][5], found["model"]["merges"][6] = found["model"]["merges"][6], found["model"]["merges"][5]
+    (tmp_path / "odd.json").write_text(json.dumps(found), encoding="utf-8")
+    assert packing.ranked(str(tmp_path / "odd.json")) is None
+
+
 def test_packing_plan_uses_every_length_once():
     rng = np.random.default_rng(0)
     counts = np.bincount(rng.integers(1, 256, 20_000), minlength=256)
