@@ -4,10 +4,12 @@ Word counts come from every training text. Frequent words (at most ``TOP``, a
 table of fixed size) are looked up in the tasks; counts of all others are joined
 by word, so nothing that grows with the vocabulary is sent to a task whole.
 
-A word is its subword ids: a head and the ids that continue it. The attention
-model reads the heads and gives the next head in two factors: its class (the most
-frequent heads alone, the others by rank) from the heads before it, and the head
-within its class by counts. The ids that continue it follow from the counts of
+A word is its subword ids: a head and the ids that continue it. With ``every_id``
+the attention model reads all of them, one place each, and gives the next id in
+two factors: its class (the most frequent ids alone, the others by rank) from the
+ids before it, and the id within its class by counts; the probabilities of all
+ids sum to one at each place. Without it, the model reads and gives the heads
+alone in this way. The ids that continue one then follow from the counts of
 whole words with that head, smoothed by a spelling of its ids one by one, so the
 probabilities of all words, seen or not, sum to one. The attention model is
 trained in numpy on every word of every training text, in windows laid end to
@@ -103,6 +105,7 @@ class Subwords:
     emission: np.ndarray  # log10 probability of a head within its class, less that of its words' weight
     spelt: np.ndarray  # log10 probability of an id that continues a word
     stop: float  # log10 probability that a word goes no further
+    every_id: bool = False  # whether the attention model reads and gives every id: codes and emissions are then of all ids
 
     def words(self, frequent: dict[bytes, int]) -> "_Words":
         return _Words(_speller(self.path, self.pattern), self, frequent)
@@ -126,20 +129,22 @@ class _Words:
     the class), ``seen`` and ``spelt`` (its log10 probability by ids).
 
     Frequent words come first and stay; the others lack what their count tells
-    and start again empty when there are many.
+    and start again empty when there are many. ``pool`` holds the codes of all
+    ids of a word, from ``begin`` on; with every id read, ``beside`` is the sum
+    of their emissions.
     """
 
-    NAMES = ("code", "base", "beside", "seen", "spelt")
+    NAMES = ("code", "base", "beside", "seen", "spelt", "pool", "begin", "size")
 
     def __init__(self, speller: Speller, model: Subwords, frequent: dict[bytes, int]) -> None:
         self.speller, self.model = speller, model
         self.top = [w for w in frequent if w]
         self.first = dict(zip(self.top, range(len(self.top))))
-        code, own, spelt = self._spell(self.top)
+        code, own, spelt, pool, size = self._spell(self.top)
         c = np.array([frequent[w] for w in self.top], dtype=np.float64)
         with np.errstate(divide="ignore"):
-            beside = own + np.where(c > 0, np.log10(c + ALPHA * 10**spelt), spelt + np.log10(ALPHA))
-        self.of_top = code, np.log10(c + 0.5), beside, c > 0, spelt
+            beside = own if model.every_id else own + np.where(c > 0, np.log10(c + ALPHA * 10**spelt), spelt + np.log10(ALPHA))
+        self.of_top = code, np.log10(c + 0.5), beside, c > 0, spelt, pool, np.cumsum(size) - size, size
         self._clear()
 
     def _clear(self) -> None:
@@ -147,14 +152,16 @@ class _Words:
         for name, found in zip(self.NAMES, self.of_top):
             setattr(self, name, found)
 
-    def _spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code, log10 of the emission, and log10 probability of the ids that follow the head, of each word."""
+    def _spell(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Code, log10 of the emission, and log10 probability of the ids that follow the head, of each word; the codes of all ids and how many each has."""
         ids, starts = self.speller.many(words)
         heads = ids[starts]
         later = self.model.spelt[ids]
         later[starts] = 0.0
-        spelt = np.add.reduceat(later, starts) + self.model.stop if len(starts) else np.zeros(0)
-        return self.model.code[heads].astype("<u2"), self.model.emission[heads], spelt
+        total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
+        codes = self.model.code[ids].astype("<u2")
+        emission = total(self.model.emission[ids]) if self.model.every_id else self.model.emission[heads]
+        return codes[starts], emission, total(later) + self.model.stop, codes, np.diff(np.append(starts, len(ids)))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.number) > len(self.top) + 400_000:
@@ -162,14 +169,25 @@ class _Words:
         found = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
         fresh, self.number.fresh = self.number.fresh, []
         if fresh:
-            code, own, spelt = self._spell(fresh)
+            code, own, spelt, pool, size = self._spell(fresh)
             nothing = np.zeros(len(fresh))
-            for name, more in zip(self.NAMES, (code, nothing, own, nothing > 0, spelt)):
+            for name, more in zip(self.NAMES, (code, nothing, own, nothing > 0, spelt, pool, np.cumsum(size) - size + len(self.pool), size)):
                 setattr(self, name, np.concatenate([getattr(self, name), more]))
             self.names += fresh
         return found
 
 
+    def lines(self, at: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """The codes of each text, of all ids or of heads alone, for the words ``at`` of all texts laid end to end."""
+        if not self.model.every_id:
+            return coded_lines(self.code[at], lengths)
+        size = self.size[at]
+        ends = np.cumsum(size)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - (ends - size), size)
+        until = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+        return coded_lines(self.pool[places], np.diff(until))
+
+
 def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The words of all texts laid end to end, and how many each text has."""
     cut = [t.lower().split() for t in texts]
@@ -229,17 +247,19 @@ def classes_of_codes(n: int = CLASSES + KNOWN) -> np.ndarray:
     return np.concatenate([np.arange(CLASSES), np.where(rank < ALONE, rank, ALONE + 1 + far)])
 
 
-def subwords(heads: np.ndarray, later: np.ndarray, path: str, pattern: str) -> Subwords:
+def subwords(heads: np.ndarray, later: np.ndarray, path: str, pattern: str, every_id: bool = False) -> Subwords:
+    n, words = later.sum(), heads.sum()
+    spelt = np.log10((later + 0.5) / (n + 0.5 * len(later))) + np.log10((n + 0.5) / (n + words + 1))
+    if every_id:
+        heads = heads + later
     order = np.lexsort((np.arange(len(heads)), -heads))
     rank = np.empty(len(heads), dtype=np.int64)
     rank[order] = np.arange(len(heads))
     of = classes_of_codes(CLASSES + len(heads))[CLASSES + rank]
     code = np.where(rank < KNOWN, CLASSES + rank, of)
     mass = np.bincount(of, weights=heads + 0.5, minlength=CLASSES)
-    emission = np.log10((heads + 0.5) / mass[of]) - np.log10(heads + ALPHA)
-    n, words = later.sum(), heads.sum()
-    spelt = np.log10((later + 0.5) / (n + 0.5 * len(later))) + np.log10((n + 0.5) / (n + words + 1))
-    return Subwords(path, pattern, code, emission, spelt, float(np.log10((words + 0.5) / (n + words + 1))))
+    emission = np.log10((heads + 0.5) / mass[of]) - (0.0 if every_id else np.log10(heads + ALPHA))
+    return Subwords(path, pattern, code, emission, spelt, float(np.log10((words + 0.5) / (n + words + 1))), every_id)
 
 
 def start_parameters(heads: np.ndarray, closings: int) -> list[np.ndarray]:
@@ -352,14 +372,14 @@ def coded(texts: DataFrame, known: dict[bytes, int], model: Subwords) -> DataFra
             words, lengths = split_words(column_bytes(batch, "body"))
             at, n = own.numbers(words), len(lengths)
             doc = np.repeat(np.arange(n), lengths)
-            per_text = lambda x: np.bincount(doc, weights=x[at], minlength=n)
+            per_text = lambda x: np.bincount(doc, weights=x[at], minlength=n).astype(np.float64)  # noqa: E731 (whole numbers where no text has words)
             others = at >= len(own.top)
             pairs, times = np.unique(doc[others] * len(own.names) + at[others], return_counts=True)
             of, which = np.divmod(pairs, len(own.names))
             names = pa.array(list(map(own.names.__getitem__, which.tolist())), pa.binary())
             rare = pa.StructArray.from_arrays([names, pa.array(times, pa.int64()), pa.array(own.spelt[which], pa.float64())], names=["word", "times", "spelt"])
             sums = [lengths + 1, (per_text(own.seen) + (closings > 0)).astype(np.int64), per_text(own.base) + float(np.log10(closings + 0.5)), per_text(own.beside)]
-            lines = pa.array([x.tobytes() for x in coded_lines(own.code[at], lengths)], pa.binary())
+            lines = pa.array([x.tobytes() for x in own.lines(at, lengths)], pa.binary())
             starts = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
             columns = [*batch.columns[:3], lines, *map(pa.array, sums), pa.ListArray.from_arrays(starts, rare)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "usable", "line", "n_tokens", "n_known", "base", "score", "rare"])
@@ -475,8 +495,12 @@ def score_sequences(w: list[np.ndarray], lines: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, path: str, pattern: str, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for every row; learns from rows that are ``usable``."""
+def score(docs: DataFrame, path: str, pattern: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", every_id: bool = False) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) for every row; learns from rows that are ``usable``.
+
+    With ``every_id`` the attention model reads and gives all ids of a word, else
+    its head alone, and counts of words the rest.
+    """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), usable.alias("usable"))
     counts = materialize(word_counts(slim.filter("usable").select("body")))
@@ -487,10 +511,11 @@ def score(docs: DataFrame, path: str, pattern: str, usable: Column, id_col: str
     closings = counts.filter(F.octet_length("word") == 0).first()
     frequent[b""] = closings["c"] if closings else 0
     heads, later = subword_counts(counts, path, pattern)
-    model = subwords(heads, later, path, pattern)
-    weights = start_parameters(heads, frequent[b""])
+    model = subwords(heads, later, path, pattern, every_id)
+    told_ids = heads + later if every_id else heads
+    weights = start_parameters(told_ids, frequent[b""])
     texts = materialize(coded(slim, frequent, model))
-    lines = training_lines(texts, max(1, -(-total // SHARD)))
+    lines = training_lines(texts, max(1, -(-(int(told_ids.sum()) + frequent[b""]) // SHARD)))
     weights = averaged(lines.filter("shard = 0"), weights)
     weights = averaged(lines.filter("shard > 0"), weights)
     shared = spark.sparkContext.broadcast(weights)  # a small model
@@ -510,7 +535,7 @@ def score(docs: DataFrame, path: str, pattern: str, usable: Column, id_col: str
         F.lit(0).cast("long").alias("n_tokens"),
         F.when(c > 0, F.col("times")).otherwise(0).alias("n_known"),
         (F.col("times") * F.log10(c + 0.5)).alias("base"),
-        (F.col("times") * F.when(c > 0, F.log10(c + ALPHA * F.pow(F.lit(10.0), F.col("spelt")))).otherwise(F.col("spelt") + F.log10(F.lit(ALPHA)))).alias("score"),
+        F.lit(0.0).alias("score") if every_id else (F.col("times") * F.when(c > 0, F.log10(c + ALPHA * F.pow(F.lit(10.0), F.col("spelt")))).otherwise(F.col("spelt") + F.log10(F.lit(ALPHA)))).alias("score"),
         F.lit(0).alias("one"),
     )
     sums = whole.unionByName(rare).groupBy("id", "row").agg(F.sum("one").alias("m"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])

@@ -70,7 +70,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = quality.fold("doc_id", 5) == 1
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = lm.score(docs, path, public_tokenizers.PATTERN, ~F.coalesce(held_out, F.lit(False)))
+    found = lm.score(docs, path, public_tokenizers.PATTERN, ~F.coalesce(held_out, F.lit(False)), every_id=True)
     return found.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 

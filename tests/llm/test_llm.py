@@ -586,6 +586,30 @@ def test_score_is_a_distribution_and_equals_a_plain_loop(spark, monkeypatch):
     assert lm.score(spark.createDataFrame([], DOCS), RANKS, public_tokenizers.PATTERN, usable).count() == 0
 
 
+def test_attention_reads_and_gives_every_id(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOP", 20)
+    rng = random.Random(9)
+    texts = [words(rng, n) + " Unbelievably" for n in (3, 40, 150)] + ["zzqx zzqx unseen", "", None]
+    kept = {}
+    real = lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda windows, w: kept.setdefault(len(kept), real(windows, w)))
+    found = lm.score(frame(spark, texts), RANKS, public_tokenizers.PATTERN, F.col("doc_id") < 3, every_id=True).collect()
+    assert len(found) == len(texts)
+    speller = lm.Speller(RANKS, public_tokenizers.PATTERN)
+    ids = [[i for w in (t or "").encode().lower().split() for i in speller.ids(w)] for t in texts]
+    counts = np.bincount([i for own in ids[:3] for i in own], minlength=50_257)
+    rank = np.empty(50_257, dtype=int)
+    rank[np.lexsort((np.arange(50_257), -counts))] = np.arange(50_257)
+    of = lm.classes_of_codes(lm.CLASSES + 50_257)[lm.CLASSES + rank]
+    mass = np.bincount(of, weights=counts + 0.5, minlength=lm.CLASSES)
+    for r in found:
+        own = ids[r["doc_id"]]
+        line = [lm.CLOSE, *(lm.CLASSES + rank[i] if rank[i] < lm.KNOWN else of[i] for i in own), lm.CLOSE]
+        want = sum(math.log10((counts[i] + 0.5) / mass[of[i]]) for i in own) + plain_chain(kept[1], line) / math.log(10)
+        assert math.isclose(r["score"], want, rel_tol=1e-5)
+        assert r["n_tokens"] == len((texts[r["doc_id"]] or "").split()) + 1
+
+
 # op10
 def test_difference_cover():
     for q in (3, 5, 13):
