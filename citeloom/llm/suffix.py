@@ -19,6 +19,9 @@ sqrt(v). The construction goes block by block:
    for its starts. The short strings from one break point to the next are dealt
    too: a start whose string holds one that occurs once is no repeated start.
 
+The same holds for strings of words (``words``): a word's hash then stands where a
+byte stands, and white space between words tells nothing.
+
 Texts are numbered once, in units of about ``UNIT`` bytes, and written; a place
 is a unit and an offset in it, which no two bytes share. Python holds one slice
 of text of ``SLICE`` bytes (or one longer text), ``DEAL`` names, or one bucket.
@@ -49,6 +52,7 @@ DEALT = "bucket int, kind int, sids binary, counts binary, at binary, h binary,
 SETTLED = "sid long, at binary, first binary, runs binary"
 NAMES, PLACES, RUNS = 0, 1, 2  # kinds of dealt rows: to be sorted; settled places; settled runs
 EDGE = 16  # bytes that tell whether a break point is before them
+SPACE = np.isin(np.arange(256), [*range(9, 14), 32])  # bytes between words
 SHORT = 1 << 31  # added to the place of a string between break points, to tell it from a run's
 
 
@@ -83,7 +87,7 @@ def difference_cover(q: int) -> tuple[int, np.ndarray]:
 
 
 class Roller:
-    """Hashes of all windows of a byte array: sums of byte values times powers of an odd number."""
+    """Hashes of all windows of an array of bytes, or of hashes of words: sums of their values times powers of an odd number."""
 
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
@@ -102,7 +106,7 @@ class Roller:
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, dtype=np.uint64)
-        terms = self.values[data]
+        terms = self.values[data] if data.dtype == np.uint8 else data * self.values[0]
         terms *= self.up[: len(data)]
         np.cumsum(terms, out=out[1:])
         return out
@@ -279,7 +283,7 @@ def _settle(dealt: DataFrame) -> DataFrame:
 
 def _beside(texts: DataFrame, settled: DataFrame, each: Callable, schema: str) -> DataFrame:
     """``each`` over texts in order of unit and offset, every unit's settled rows before its texts (with offset -1)."""
-    told = settled.select(F.col("sid").alias("__sid"), F.lit(-1).cast("long").alias("__off"), F.col("at").alias("__at"), F.col("first").alias("__first"), F.col("runs").alias("__runs"))
+    told = settled.select(F.col("sid").alias("__sid"), F.lit(-1).cast("long").alias("__off"), *[F.col(c).alias(f"__{c}") for c in settled.columns if c != "sid"])
     both = texts.unionByName(told, allowMissingColumns=True)
     return both.repartition("__sid").sortWithinPartitions("__sid", "__off").mapInArrow(each, schema)
 
@@ -287,8 +291,8 @@ def _beside(texts: DataFrame, settled: DataFrame, each: Callable, schema: str) -
 class _Told:
     """What the rows of offset -1 have told of the unit at hand."""
 
-    def __init__(self) -> None:
-        self.sid, self.cells, self.read = None, {}, {}
+    def __init__(self, columns: tuple[str, ...] = ("__at", "__first", "__runs")) -> None:
+        self.sid, self.columns, self.cells, self.read = None, columns, {}, {}
 
     def texts(self, batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, int]]:
         """Slices of texts of one unit; ``places`` then tells of that unit."""
@@ -296,7 +300,7 @@ class _Told:
             sids, offs = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("__sid", "__off"))
             for s, e in _runs(sids):
                 if sids[s] != self.sid:
-                    self.sid, self.cells, self.read = int(sids[s]), {c: [] for c in ("__at", "__first", "__runs")}, {}
+                    self.sid, self.cells, self.read = int(sids[s]), {c: [] for c in self.columns}, {}
                 heads = int((offs[s:e] < 0).sum())
                 if heads:
                     for c in self.cells:
@@ -307,7 +311,7 @@ class _Told:
     def places(self, column: str) -> np.ndarray:
         if column not in self.read:
             self.read[column] = np.frombuffer(b"".join(self.cells[column]), dtype="<u4").astype(np.int64)
-            if column != "__runs":
+            if not column.endswith("runs"):
                 self.read[column] = np.unique(self.read[column])
         return self.read[column]
 
@@ -317,19 +321,33 @@ class _Told:
         return found[np.searchsorted(found, low) : np.searchsorted(found, high)] - low
 
 
-def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of a batch's texts in one array, where each begins there, and what to add for its place in the unit."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts laid end to end with a space around each; first byte and end of every word; where a text begins, in bytes and in words."""
+    data = np.frombuffer(b"".join([b" ", *[t + b" " for t in texts]]), dtype=np.uint8)
+    space = SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, end = edges[::2], edges[1::2]
+    at = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return data, first, end, at, np.searchsorted(first, at)
+
+
+def _joined(batch: pa.RecordBatch, words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a batch's texts, or the hashes of their words, in one array, where each text begins there, and what to add for its place in the unit."""
     texts = column_bytes(batch, "__body")
-    begins = np.cumsum([0] + [len(t) for t in texts])
+    if words:
+        data, first, end, _, begins = _words(texts)
+        data = _roller(3).windows(_roller(3).prefix(data), first, end - first)
+    else:
+        data, begins = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0] + [len(t) for t in texts])
     offs = batch.column(batch.schema.get_field_index("__off")).to_numpy()
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), begins, offs - begins[:-1]
+    return data, begins, offs - begins[:-1]
 
 
-def _samples(batches: Iterator[pa.RecordBatch], length: int, q: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _samples(batches: Iterator[pa.RecordBatch], length: int, q: int, buckets: int, words: bool) -> Iterator[pa.RecordBatch]:
     period, cover = difference_cover(q)
     width, roll, dealer = length - period + 1, _roller(1), Dealer(buckets)
     for batch in sliced(batches, "__body", SLICE):
-        data, begins, shift = _joined(batch)
+        data, begins, shift = _joined(batch, words)
         sids = batch.column(batch.schema.get_field_index("__sid")).to_numpy()
         at, doc = [], []
         for i, n in enumerate(np.diff(begins).tolist()):
@@ -344,14 +362,15 @@ def _samples(batches: Iterator[pa.RecordBatch], length: int, q: int, buckets: in
     yield from dealer.deal()
 
 
-def _regions(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch], length: int, q: int, words: bool) -> Iterator[pa.RecordBatch]:
     """Texts with a repeated sample, and the runs of starts (first, last) that it leaves open."""
     period, _ = difference_cover(q)
     told = _Told()
     for batch, sid in told.texts(batches):
         texts, offs, rows = column_bytes(batch, "__body"), _cells(batch, "__off"), []
-        for i, (text, off) in enumerate(zip(texts, offs)):
-            a, last = told.within("__at", off, off + len(text)), len(text) - length
+        sizes = np.diff(_words(texts)[-1]).tolist() if words else map(len, texts)
+        for text, off, n in zip(texts, offs, sizes):
+            a, last = told.within("__at", off, off + n), n - length
             low, high = np.maximum(a - period + 1, 0), np.minimum(a, last)
             low, high = low[low <= high], high[low <= high]
             if len(low):
@@ -409,10 +428,10 @@ def _names(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, width) -> t
     return _roller(1).windows(prefix, starts, width), g.astype("<u4")
 
 
-def _block_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _block_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int, words: bool) -> Iterator[pa.RecordBatch]:
     dealer = Dealer(buckets)
     for batch in sliced(batches, "__body", SLICE):
-        data, begins, shift = _joined(batch)
+        data, begins, shift = _joined(batch, words)
         prefix, doc, first, last, start, _ = _blocks(batch, data, begins)
         sids = batch.column(batch.schema.get_field_index("__sid")).to_numpy()
         yield from dealer.add(*_names(data, prefix, first, last - first + length), sids[doc], first + shift[doc])
@@ -428,11 +447,11 @@ def _known(places: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return places[np.minimum(np.searchsorted(places, asked), len(places) - 1)] == asked
 
 
-def _start_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _start_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int, words: bool) -> Iterator[pa.RecordBatch]:
     """Names of the starts that are still open, and of one block of each kind that repeats; runs that blocks settle."""
     dealer, told = Dealer(buckets), _Told()
     for batch, sid in told.texts(batches):
-        data, begins, shift = _joined(batch)
+        data, begins, shift = _joined(batch, words)
         prefix, doc, first, last, start, owner = _blocks(batch, data, begins)
         place, marks = first + shift[doc], {}
         for column in ("__at", "__first"):
@@ -456,19 +475,20 @@ def _start_names(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
     yield from dealer.deal()
 
 
-def repeats(texts: DataFrame, length: int = 400, q: int = 13, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """Where strings of ``length`` bytes occur again, for rows (__sid, __off, __body).
+def repeats(texts: DataFrame, length: int = 400, q: int = 13, bucket_bytes: int = 8 << 20, words: bool = False) -> DataFrame:
+    """Where strings of ``length`` bytes, or ``words``, occur again, for rows (__sid, __off, __body).
 
     Returns (sid, at, first, runs): packed starts, and packed (first, last) runs
-    of starts; several rows a unit, none for units without any.
+    of starts; several rows a unit, none for units without any. The place of a
+    word is its number in its text, added to that text's offset.
     """
     size = texts.agg(F.sum(F.octet_length("__body")).alias("n")).first()["n"] or 0
     buckets = max(32, -(-size // bucket_bytes))
-    sampled = materialize(_settle(texts.mapInArrow(lambda it: _samples(it, length, q, buckets), DEALT)))
-    opened = materialize(_beside(texts, sampled, lambda it: _regions(it, length, q), "__sid long, __off long, __body binary, __regions binary"))
+    sampled = materialize(_settle(texts.mapInArrow(lambda it: _samples(it, length, q, buckets, words), DEALT)))
+    opened = materialize(_beside(texts, sampled, lambda it: _regions(it, length, q, words), "__sid long, __off long, __body binary, __regions binary"))
     discard(sampled)
-    blocks = materialize(_settle(opened.mapInArrow(lambda it: _block_names(it, length, buckets), DEALT)))
-    starts = materialize(_settle(_beside(opened, blocks, lambda it: _start_names(it, length, buckets), DEALT)))
+    blocks = materialize(_settle(opened.mapInArrow(lambda it: _block_names(it, length, buckets, words), DEALT)))
+    starts = materialize(_settle(_beside(opened, blocks, lambda it: _start_names(it, length, buckets, words), DEALT)))
     discard(opened, blocks)
     return starts
 
@@ -494,33 +514,51 @@ def _whole(text: bytes, pairs: list[list[int]]) -> None:
             p[1] -= 1
 
 
-def strip(docs: DataFrame, length: int = 400, text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+def _merged(pairs: list[list[int]]) -> list[list[int]]:
+    """Maximal runs of what the spans cover."""
+    out: list[list[int]] = []
+    for s, e in sorted(pairs):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def strip(docs: DataFrame, length: int = 400, text_col: str = "text", whole_characters: bool = False, words: int = 0) -> DataFrame:
     """``docs`` with ``spans`` (start and end bytes of what repeats) and ``kept`` (the bytes left).
 
-    With ``whole_characters`` spans are narrowed to whole UTF-8 characters. Columns
-    of these names that ``docs`` had are replaced.
+    With ``whole_characters`` spans are narrowed to whole UTF-8 characters. With
+    ``words`` what repeated strings of so many words (32 or more) cover is added, from the first
+    byte of a first word to the end of a last one. Columns of these names that
+    ``docs`` had are replaced.
     """
     docs = docs.drop("spans", "kept")
     columns, body = docs.columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     numbered = materialize(_numbered(docs.withColumn("__body", body)))
     texts = numbered.withColumn("__body", body)
     found = repeats(texts.select("__sid", "__off", "__body"), length)
+    if words:
+        also = repeats(texts.select("__sid", "__off", "__body"), words, 5, words=True)
+        found = found.unionByName(also.select("sid", F.col("at").alias("word_at"), F.col("runs").alias("word_runs")), allowMissingColumns=True)
+
+    def spans_of(told: _Told, at: str, runs: str, off: int, n: int, size: int) -> list[list[int]]:
+        starts, pairs = told.within(at, off, off + n), told.places(runs).reshape(-1, 2) - off
+        pairs = pairs[(pairs[:, 0] >= 0) & (pairs[:, 0] < n)]
+        return covered(n, starts, pairs, size).tolist() if len(starts) or len(pairs) else []
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        told = _Told()
+        told = _Told(("__at", "__runs", "__word_at", "__word_runs") if words else ("__at", "__runs"))
         for batch, _ in told.texts(batches):
             spans, kept = [], []
             for text, off in zip(column_bytes(batch, "__body"), _cells(batch, "__off")):
-                at, runs = told.within("__at", off, off + len(text)), told.places("__runs").reshape(-1, 2) - off
-                runs = runs[(runs[:, 0] >= 0) & (runs[:, 0] < len(text))]
-                if not len(at) and not len(runs):
-                    spans.append([])
-                    kept.append(text)
-                    continue
-                pairs = covered(len(text), at, runs, length).tolist()
+                pairs = spans_of(told, "__at", "__runs", off, len(text), length)
                 if whole_characters:
                     _whole(text, pairs)
+                if words and len(found := spans_of(told, "__word_at", "__word_runs", off, len(text), words)):
+                    _, first, end, at, _ = _words([text])
+                    pairs = _merged(pairs + [[int(first[s] - at[0]), int(end[e - 1] - at[0])] for s, e in found])
                 spans.append([{"start": s, "end": e} for s, e in pairs])
                 ends = [0] + [e for _, e in pairs]
                 kept.append(b"".join(text[a:b] for a, b in zip(ends, [s for s, _ in pairs] + [len(text)])))

@@ -3,7 +3,7 @@
 1. documents that the quality classifier rejects go;
 2. of each group of near-duplicates (five-word shingles with a Jaccard similarity
    of 0.8 or more, found by SimHash and shared heads) one document stays;
-3. what strings of 400 bytes that occur again cover is cut out of the texts;
+3. what strings of 400 bytes, or of 50 words, that occur again cover is cut out of the texts;
 4. secrets are replaced by the names of their kinds;
 5. what is left is packed in windows of 1024 ids.
 """
@@ -32,9 +32,9 @@ def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that also occur elsewhere, cut at whole characters."""
+    """Texts without the passages of 400 bytes or 50 words that also occur elsewhere, cut at whole characters."""
     columns = docs.columns
-    found = suffix.strip(docs, 400, whole_characters=True).withColumn("text", F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8")))
+    found = suffix.strip(docs, 400, whole_characters=True, words=50).withColumn("text", F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8")))
     return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*columns)
 
 

@@ -644,6 +644,45 @@ def test_repeats_against_brute_force(spark):
     assert suffix.strip(frame(spark, []), 400).count() == 0
 
 
+def test_repeated_words_against_brute_force(spark):
+    rng = random.Random(10)
+    shared = [words(rng, n) for n in (50, 51, 64, 49, 200)]
+    texts = [None, "", " \t", "ab", "of " * 70, words(rng, 300)]
+    texts += [f"{words(rng, rng.randint(1, 80))} {rng.choice(shared)} {words(rng, 30)}" for _ in range(30)]
+    texts += [" " + shared[2].replace(" ", "\n\t ") + "\n", "é" + shared[1] + "é ü", shared[0], "x" * 900, "x" * 900]
+    texts.append(words(rng, 170_000) + " " + shared[2])
+    assert len(texts[-1]) > suffix.SLICE and len(shared[1]) < 400
+    raw = [(t or "").encode() for t in texts]
+    cut = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in raw]
+    windows = [[tuple(t[a:b] for a, b in c[p : p + 50]) for p in range(len(c) - 49)] for t, c in zip(raw, cut)]
+    seen = Counter(w for ws in windows for w in ws)
+    strings = Counter(t[p : p + 400] for t in raw for p in range(len(t) - 399))
+    got = {r["doc_id"]: r for r in suffix.strip(frame(spark, texts), 400, words=50).collect()}
+    for i, (t, c, ws) in enumerate(zip(raw, cut, windows)):
+        gone = np.zeros(len(t), dtype=bool)
+        for p, w in enumerate(ws):
+            if seen[w] > 1:
+                gone[c[p][0] : c[p + 49][1]] = True
+        for p in range(len(t) - 399):
+            if strings[t[p : p + 400]] > 1:
+                gone[p : p + 400] = True
+        assert bytes(got[i]["kept"]) == bytes(np.frombuffer(t, np.uint8)[~gone]), i
+        assert len(got[i]["spans"]) == (np.diff(np.concatenate([[0], gone, [0]]).astype(int)) == 1).sum()
+    assert suffix.strip(frame(spark, []), 400, words=50).count() == 0
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    passage, once = words(rng, 51), [words(rng, 40) for _ in range(4)]
+    assert len(passage) < 400
+    docs = frame(spark, [once[0] + " " + passage, passage + "\n" + once[1], once[2], once[3] + " " + passage[: len(passage) // 2]]).withColumn("n_chars", F.lit(0).cast("long"))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()}
+    assert passage not in got[0] + got[1] and once[0] in got[0] and once[1] in got[1]
+    assert got[2] == once[2] and got[3] == once[3] + " " + passage[: len(passage) // 2]
+
+
 def test_steps_pass_small_batches_and_let_caches_go(spark):
     def each(batches):
         for b in batches:
