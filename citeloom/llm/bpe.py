@@ -21,6 +21,8 @@ from citeloom.llm.common import column_texts, sliced
 from citeloom.llm.units import UnitCache, pieces
 
 NONE = np.int32(1 << 30)  # rank of a pair that does not merge
+CELLS = 256 << 10  # of a matrix
+SLICE = 1 << 20  # bytes of text, or of ids, treated at once
 
 
 class Ranks:
@@ -83,7 +85,7 @@ class Ranks:
                 width = n if n <= 24 else 1 << (n - 1).bit_length()
                 buckets.setdefault(width, []).append(i)
         for width, members in buckets.items():
-            step = max(1, (4 << 20) // width)
+            step = max(1, CELLS // width)
             for s in range(0, len(members), step):
                 part = members[s : s + step]
                 for i, ids in zip(part, self._matrix([pieces[i] for i in part], width)):
@@ -141,33 +143,47 @@ def _worker(path: str, pattern: str) -> tuple[Ranks, UnitCache]:
     return ranks, UnitCache(encode)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id column and ``ids``: each text's ids as little-endian unsigned 32-bit integers."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(id, ids) of batches of (id, body)."""
+    cache = _worker(path, pattern)[1]
+    for batch in sliced(batches, "body", SLICE):
+        ids = cache.texts(column_texts(batch, "body"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Batches with ``decoded``."""
+    token = _worker(path, pattern)[0].tokens.__getitem__
+    for batch in sliced(batches, "ids", 2 * SLICE):
+        ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+        out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """(id, body) and the type of the id."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+    return slim, slim.schema["id"].dataType.simpleString()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _worker(path, pattern)[1]
-        for batch in sliced(batches, "body"):
-            ids = cache.texts(column_texts(batch, "body"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
-    id_type = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(each, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id column and ``ids``: each text's ids as little-endian unsigned 32-bit integers."""
+    slim, kind = _slim(docs, id_col, text_col)
+    return slim.mapInArrow(lambda it: _encoded(it, path, pattern), f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``encoded`` with ``decoded``: the bytes that ``ids`` stand for (null for null ids); such a column is replaced."""
     encoded = encoded.drop("decoded")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(lambda it: _decoded(it, path, pattern), f"{schema}, decoded binary")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _worker(path, pattern)[0].tokens.__getitem__
-        for batch in sliced(batches, "ids", 16 << 20):
-            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(each, f"{schema}, decoded binary")
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode``, slice by slice in one worker a task."""
+    slim, kind = _slim(docs, id_col, text_col)
+    found = slim.mapInArrow(lambda it: _decoded(_encoded(it, path, pattern), path, pattern), f"id {kind}, ids binary, decoded binary")
+    return found.withColumnRenamed("id", id_col)
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

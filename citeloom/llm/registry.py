@@ -41,8 +41,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` to ids and back, by the ranks of a public vocabulary."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, path, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

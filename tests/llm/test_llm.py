@@ -610,6 +610,17 @@ def test_attention_reads_and_gives_every_id(spark, monkeypatch):
         assert r["n_tokens"] == len((texts[r["doc_id"]] or "").split()) + 1
 
 
+def test_round_trip_in_one_worker_a_task(spark, corpus, monkeypatch):
+    docs = frame(spark, corpus)
+    apart = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    together = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, apart.collect()))
+    assert bpe.round_trip(frame(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+    monkeypatch.setattr(registry, "table", lambda *_: docs)
+    plan = registry.op6_byte_bpe(spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan.split("== Initial Plan ==")[0])) == 1
+
+
 # op10
 def test_difference_cover():
     for q in (3, 5, 13):
