@@ -27,18 +27,17 @@ from __future__ import annotations
 
 import base64
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import column_bytes, materialize, sliced
+from citeloom.llm.common import materialize, sliced
 
 TOP = 1 << 16  # most frequent words, sent to the tasks
 ALONE, BINS = 55, 8  # frequent heads with a class of their own; bins of rank
@@ -111,46 +110,27 @@ class Subwords:
         return _Words(_speller(self.path, self.pattern), self, frequent)
 
 
-class _Numbers(dict):
-    """Numbers words as they come; ``fresh`` lists those without arrays yet."""
-
-    def __init__(self, *args) -> None:
-        super().__init__(*args)
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(word)
-        found = self[word] = len(self)
-        return found
-
-
 class _Words:
     """Arrays by a word's number: ``code``, ``base`` (log10 weight of its count), ``beside`` (log10 of its score beside
     the class), ``seen`` and ``spelt`` (its log10 probability by ids).
 
-    Frequent words come first and stay; the others lack what their count tells
-    and start again empty when there are many. ``pool`` holds the codes of all
-    ids of a word, from ``begin`` on; with every id read, ``beside`` is the sum
-    of their emissions.
+    Frequent words come first and stay; the others, ``names``, lack what their
+    count tells and are those of the last slice of texts. ``pool`` holds the codes
+    of all ids of a word, from ``begin`` on; with every id read, ``beside`` is the
+    sum of their emissions.
     """
 
     NAMES = ("code", "base", "beside", "seen", "spelt", "pool", "begin", "size")
 
     def __init__(self, speller: Speller, model: Subwords, frequent: dict[bytes, int]) -> None:
         self.speller, self.model = speller, model
-        self.top = [w for w in frequent if w]
-        self.first = dict(zip(self.top, range(len(self.top))))
-        code, own, spelt, pool, size = self._spell(self.top)
-        c = np.array([frequent[w] for w in self.top], dtype=np.float64)
+        top = [w for w in frequent if w]
+        self.top = pa.array(top, pa.binary())
+        code, own, spelt, pool, size = self._spell(top)
+        c = np.array([frequent[w] for w in top], dtype=np.float64)
         with np.errstate(divide="ignore"):
             beside = own if model.every_id else own + np.where(c > 0, np.log10(c + ALPHA * 10**spelt), spelt + np.log10(ALPHA))
         self.of_top = code, np.log10(c + 0.5), beside, c > 0, spelt, pool, np.cumsum(size) - size, size
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number, self.names = _Numbers(self.first), list(self.top)
-        for name, found in zip(self.NAMES, self.of_top):
-            setattr(self, name, found)
 
     def _spell(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         """Code, log10 of the emission, and log10 probability of the ids that follow the head, of each word; the codes of all ids and how many each has."""
@@ -163,19 +143,20 @@ class _Words:
         emission = total(self.model.emission[ids]) if self.model.every_id else self.model.emission[heads]
         return codes[starts], emission, total(later) + self.model.stop, codes, np.diff(np.append(starts, len(ids)))
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > len(self.top) + 400_000:
-            self._clear()
-        found = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-        fresh, self.number.fresh = self.number.fresh, []
-        if fresh:
-            code, own, spelt, pool, size = self._spell(fresh)
-            nothing = np.zeros(len(fresh))
-            for name, more in zip(self.NAMES, (code, nothing, own, nothing > 0, spelt, pool, np.cumsum(size) - size + len(self.pool), size)):
-                setattr(self, name, np.concatenate([getattr(self, name), more]))
-            self.names += fresh
-        return found
-
+    def numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The numbers of distinct words, which the arrays then hold."""
+        found = pc.index_in(distinct, value_set=self.top)
+        other = found.is_null()
+        self.names = distinct.filter(other)
+        fresh = bytes_of(self.names)
+        code, own, spelt, pool, size = self._spell(fresh)
+        nothing = np.zeros(len(fresh))
+        more = code, nothing, own, nothing > 0, spelt, pool, np.cumsum(size) - size + len(self.of_top[5]), size
+        for name, known, new in zip(self.NAMES, self.of_top, more):
+            setattr(self, name, np.concatenate([known, new]))
+        number = found.fill_null(0).to_numpy().astype(np.int64)
+        number[other.to_numpy(zero_copy_only=False)] = len(self.top) + np.arange(len(fresh))
+        return number
 
     def lines(self, at: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         """The codes of each text, of all ids or of heads alone, for the words ``at`` of all texts laid end to end."""
@@ -188,10 +169,24 @@ class _Words:
         return coded_lines(self.pool[places], np.diff(until))
 
 
-def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The words of all texts laid end to end, and how many each text has."""
-    cut = [t.lower().split() for t in texts]
-    return list(chain.from_iterable(cut)), np.array([len(c) for c in cut], dtype=np.int64)
+def bytes_of(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of all texts, which of them each word is, all texts laid end to end, and how many words each text has."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = cut.flatten().dictionary_encode()
+    distinct, at = found.dictionary.cast(pa.binary()), found.indices.to_numpy().astype(np.int64)
+    lengths = pc.list_value_length(cut).to_numpy().astype(np.int64)
+    empty = pc.index(distinct, pa.scalar(b"", pa.binary())).as_py()
+    if empty >= 0:  # what stands before a first space and behind a last one
+        there = at != empty
+        lengths = np.diff(np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(lengths)])])
+        at = at[there]
+        at -= at > empty
+        distinct = pa.concat_arrays([distinct[:empty], distinct[empty + 1 :]])
+    return distinct, at, lengths
 
 
 def coded_lines(codes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -207,11 +202,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "body", 16 << 20):
-            seen: Counter = Counter()
-            for text in column_bytes(batch, "body"):
-                seen.update(text.lower().split())
-            seen[b""] += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+            distinct, at, _ = split_words(batch.column(batch.schema.get_field_index("body")))
+            words = pa.concat_arrays([distinct, pa.array([b""], pa.binary())])
+            times = np.append(np.bincount(at, minlength=len(distinct)), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([words, pa.array(times, pa.int64())], names=["word", "c"])
 
     return texts.mapInArrow(each, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -224,7 +218,7 @@ def subword_counts(counts: DataFrame, path: str, pattern: str) -> tuple[np.ndarr
         speller = _speller(path, pattern)
         total = np.zeros(2 * size, dtype=np.int64)
         for batch in batches:
-            words, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            words, times = bytes_of(batch.column(0)), batch.column(1).to_numpy()
             there = np.array([bool(w) for w in words], dtype=bool)
             ids, starts = speller.many([w for w in words if w])
             ends = np.append(starts[1:], len(ids))
@@ -274,63 +268,123 @@ def start_parameters(heads: np.ndarray, closings: int) -> list[np.ndarray]:
 
 
 _MASK = np.triu(np.full((WIDTH, WIDTH), -1e9, dtype=np.float32), 1)
+_SEEN = np.tril(np.ones((WIDTH, WIDTH), dtype=np.float32))
+
+
+def _plain(total: np.ndarray) -> bool:
+    """Whether exponentials that have these sums were neither too large nor all too small to tell."""
+    return total.min() > 1e-20 and total.max() < 1e30
+
+
+def joint(w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the weights: what turns a place into its query times the keys' weights beside its value times the
+    output's, and the classes' weights with their offsets as last column."""
+    e, p, wq, wk, wv, wo, u, b = w
+    return np.concatenate([wq @ wk.T * wq.dtype.type(SIZE**-0.5), wv @ wo], axis=1), np.concatenate([u.T, b[:, None]], axis=1)
+
+
+def attended(h: np.ndarray, turned: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the places from ``first`` on: weights of the places seen, one over their sum, and the weighted mean of values."""
+    query, key, one = turned[:, first:, :SIZE], h.transpose(0, 2, 1), np.ones(WIDTH, dtype=h.dtype)
+    a = query @ key
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(a, out=a)
+        a *= _SEEN[first:]
+        total = a.reshape(-1, WIDTH) @ one
+    if not _plain(total):
+        a = query @ key + _MASK[first:]
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        total = a.reshape(-1, WIDTH) @ one
+    share = 1 / total
+    mean = (a @ turned[:, :, SIZE:]).reshape(-1, SIZE)
+    mean *= share[:, None]
+    return a, share, mean
+
+
+def powers(classes: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of what the classes give for each place, a column a place, their sums, and what was taken from each column before."""
+    one, shift = np.ones(len(classes), dtype=classes.dtype), 0.0
+    z = classes @ out.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(z, out=z)
+        total = one @ z
+    if not _plain(total):
+        z = classes @ out.T
+        shift = z.max(axis=0)
+        z -= shift
+        np.exp(z, out=z)
+        total = one @ z
+    return z, total, shift
+
+
+def placed(w: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    h = w[0].take(x, axis=0)
+    h += w[1]
+    return h
+
+
+def beside_one(rows: np.ndarray) -> np.ndarray:
+    """The rows with a last column of ones, which offsets are multiplied with."""
+    out = np.empty((len(rows), SIZE + 1), dtype=rows.dtype)
+    out[:, :SIZE], out[:, SIZE] = rows, 1
+    return out
 
 
 def forward(w: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Log-probabilities (natural) of the class after each place of each window."""
-    e, p, wq, wk, wv, wo, u, b = w
-    h = e[x] + p
-    flat = h.reshape(-1, SIZE)
-    q, k, v = (flat @ m for m in (wq * np.float32(SIZE**-0.5), wk, wv))
-    q, k, v = (t.reshape(h.shape) for t in (q, k, v))
-    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    a += _MASK
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    av = a @ v
-    out = flat + av.reshape(-1, SIZE) @ wo
-    z = out @ u
-    z += b
+    turn, classes = joint(w)
+    h = placed(w, x)
+    out = h.reshape(-1, SIZE) + attended(h, (h.reshape(-1, SIZE) @ turn).reshape(*x.shape, -1))[2]
+    z = (classes @ beside_one(out).T).T
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z, (h, q, k, v, a, av, out)
+    return z, (h, out)
 
 
 def gradients(w: list[np.ndarray], x: np.ndarray, y: np.ndarray, used: np.ndarray) -> list[np.ndarray]:
     """Of the mean negative log-probability of classes ``y`` at the places ``used``."""
     e, p, wq, wk, wv, wo, u, b = w
-    z, (h, q, k, v, a, av, out) = forward(w, x)
-    d = np.exp(z)
-    d[np.arange(len(d)), y.ravel()] -= 1
-    d *= (used.ravel() / max(1, used.sum()))[:, None].astype(np.float32)
-    du, db, dout = out.T @ d, d.sum(axis=0), d @ u.T
-    dav = (dout @ wo.T).reshape(h.shape)
-    dwo = av.reshape(-1, SIZE).T @ dout
-    da = dav @ np.ascontiguousarray(v.transpose(0, 2, 1))
-    dv = a.transpose(0, 2, 1) @ dav
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    root = np.float32(SIZE**-0.5)
-    dq, dk = ds @ k * root, ds.transpose(0, 2, 1) @ (q / root) * root
-    flat = h.reshape(-1, SIZE)
-    dh = dout.copy()
-    parts = []
-    for g, m in ((dq, wq), (dk, wk), (dv, wv)):
-        g = g.reshape(-1, SIZE)
-        parts.append(flat.T @ g)
-        dh += g @ m.T
+    turn, classes = joint(w)
+    h = placed(w, x)
+    flat, shape = h.reshape(-1, SIZE), h.shape
+    turned = (flat @ turn).reshape(*x.shape, -1)
+    a, share, mean = attended(h, turned)
+    out = beside_one(flat + mean)
+    d, total, _ = powers(classes, out)
+    weight = (used.ravel() / max(1, used.sum())).astype(d.dtype)
+    d *= weight / total
+    d[y.ravel(), np.arange(d.shape[1])] -= weight
+    dclasses, dout = d @ out, d.T @ classes[:, :SIZE]
+    # The weights ``a`` stay without their sum; what comes back is divided instead.
+    dmean = dout * share[:, None]
+    ds = dmean.reshape(shape) @ turned[:, :, SIZE:].transpose(0, 2, 1)
+    ds -= np.einsum("ij,ij->i", dmean, mean).reshape(*x.shape, 1)
+    ds *= a
+    dturned = np.empty_like(turned)
+    dturned[:, :, :SIZE] = ds @ h
+    dturned[:, :, SIZE:] = a.transpose(0, 2, 1) @ dmean.reshape(shape)
+    dturned = dturned.reshape(len(flat), -1)
+    dh = dturned @ turn.T
+    dh += dout
+    dh += (ds.transpose(0, 2, 1) @ turned[:, :, :SIZE]).reshape(-1, SIZE)
+    dturn = flat.T @ dturned
+    dqk, dvo = dturn[:, :SIZE] * e.dtype.type(SIZE**-0.5), dturn[:, SIZE:]
     order = np.argsort(x.ravel(), kind="stable")
     rows = x.ravel()[order]
     starts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
     de = np.zeros_like(e)
-    de[rows[starts]] = np.add.reduceat(dh[order], starts, axis=0)
-    return [de, dh.reshape(h.shape).sum(axis=0), *parts, dwo, du, db]
+    de[rows[starts]] = np.add.reduceat(dh.take(order, axis=0), starts, axis=0)
+    return [de, dh.reshape(shape).sum(axis=0), dqk @ wk, dqk.T @ wq, dvo @ wo.T, wv.T @ dvo, dclasses[:, :SIZE].T, dclasses[:, SIZE]]
 
 
 def train(w: list[np.ndarray], windows: np.ndarray, seed: int) -> list[np.ndarray]:
     """Adam over windows of WIDTH + 1 codes (NOTHING: none there), in random order; the rate falls to a tenth."""
-    w, of = [m.copy() for m in w], classes_of_codes()
-    first, second = [np.zeros_like(m) for m in w], [np.zeros_like(m) for m in w]
+    shapes, of = [m.shape for m in w], classes_of_codes()
+    flat = np.concatenate([m.ravel() for m in w])
+    first, second, now, root = (np.zeros_like(flat) for _ in range(4))
+    cut = lambda x: [m.reshape(s) for m, s in zip(np.split(x, np.cumsum([np.prod(s) for s in shapes])[:-1]), shapes)]
+    w, into = cut(flat), cut(now)  # views
     rng, step, steps = np.random.default_rng(seed), 0, max(LEAST_STEPS, -(-len(windows) // BATCH)) if len(windows) else 0
     while step < steps:
         order = rng.permutation(len(windows))
@@ -340,10 +394,20 @@ def train(w: list[np.ndarray], windows: np.ndarray, seed: int) -> list[np.ndarra
             x, y = np.where(rows[:, :-1] == NOTHING, CLOSE, rows[:, :-1]), of[np.where(used, rows[:, 1:], 0)]
             step += 1
             rate = 0.015 * max(0.1, 1 - step / steps) * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
-            for m, f, v, g in zip(w, first, second, gradients(w, x, y, used)):
-                f += 0.1 * (g - f)
-                v += 0.01 * (g * g - v)
-                m -= np.float32(rate) * f / (np.sqrt(v) + np.float32(1e-8))
+            for m, g in zip(into, gradients(w, x, y, used)):
+                m[...] = g
+            np.multiply(now, now, out=root)
+            first *= 0.9
+            now *= 0.1
+            first += now
+            second *= 0.99
+            root *= 0.01
+            second += root
+            np.sqrt(second, out=root)
+            root += 1e-8
+            np.divide(first, root, out=root)
+            root *= rate
+            flat -= root
     return w
 
 
@@ -359,7 +423,7 @@ def coded(texts: DataFrame, known: dict[bytes, int], model: Subwords) -> DataFra
     """What scoring and training need of each text of (id, body, usable), read word by word once.
 
     ``row`` tells the row; ``line`` holds its codes; the sums leave out words that
-    are not ``known``, which ``rare`` lists.
+    are not ``known``, which ``rare`` lists (spelt out where the ids are not read one by one).
     """
     id_type = texts.schema["id"].dataType.simpleString()
     spark = texts.sparkSession
@@ -369,15 +433,15 @@ def coded(texts: DataFrame, known: dict[bytes, int], model: Subwords) -> DataFra
         known, model = shared.value
         own, closings = model.words(known), known.get(b"", 0)
         for batch in sliced(batches, "body", 2 << 20):
-            words, lengths = split_words(column_bytes(batch, "body"))
-            at, n = own.numbers(words), len(lengths)
+            distinct, at, lengths = split_words(batch.column(batch.schema.get_field_index("body")))
+            at, n = own.numbers(distinct)[at], len(lengths)
             doc = np.repeat(np.arange(n), lengths)
             per_text = lambda x: np.bincount(doc, weights=x[at], minlength=n).astype(np.float64)  # noqa: E731 (whole numbers where no text has words)
             others = at >= len(own.top)
-            pairs, times = np.unique(doc[others] * len(own.names) + at[others], return_counts=True)
-            of, which = np.divmod(pairs, len(own.names))
-            names = pa.array(list(map(own.names.__getitem__, which.tolist())), pa.binary())
-            rare = pa.StructArray.from_arrays([names, pa.array(times, pa.int64()), pa.array(own.spelt[which], pa.float64())], names=["word", "times", "spelt"])
+            pairs, times = np.unique(doc[others] * len(own.size) + at[others], return_counts=True)
+            of, which = np.divmod(pairs, max(1, len(own.size)))
+            kept = {"word": own.names.take(pa.array(which - len(own.top))), "times": pa.array(times, pa.int64())} | ({} if model.every_id else {"spelt": pa.array(own.spelt[which], pa.float64())})
+            rare = pa.StructArray.from_arrays(list(kept.values()), names=list(kept))
             sums = [lengths + 1, (per_text(own.seen) + (closings > 0)).astype(np.int64), per_text(own.base) + float(np.log10(closings + 0.5)), per_text(own.beside)]
             lines = pa.array([x.tobytes() for x in own.lines(at, lengths)], pa.binary())
             starts = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
@@ -385,7 +449,8 @@ def coded(texts: DataFrame, known: dict[bytes, int], model: Subwords) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "usable", "line", "n_tokens", "n_known", "base", "score", "rare"])
 
     told_of = texts.select("id", F.xxhash64("id", "body").alias("row"), "usable", "body")
-    kinds = "usable boolean, line binary, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, times: bigint, spelt: double>>"
+    each_rare = "word: binary, times: bigint" + ("" if model.every_id else ", spelt: double")
+    kinds = f"usable boolean, line binary, n_tokens long, n_known long, base double, score double, rare array<struct<{each_rare}>>"
     return told_of.mapInArrow(each, f"id {id_type}, row long, {kinds}")
 
 
@@ -440,37 +505,16 @@ def averaged(lines: DataFrame, w: list[np.ndarray]) -> list[np.ndarray]:
     return [m.reshape(s) for m, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes)]
 
 
-def bounded(w: list[np.ndarray]) -> bool:
-    """Whether no input can give a logit beyond 60: then exponentials need no shift by their maximum."""
-    e, p, wq, wk, wv, wo, u, b = w
-    norm = lambda m: float(np.linalg.norm(m, axis=1).max())
-    size, spread = norm(e) + norm(p), lambda m: float(np.linalg.norm(m, 2))
-    return size**2 * spread(wq) * spread(wk) * SIZE**-0.5 < 60 and size * (1 + spread(wv) * spread(wo)) * norm(u.T) + float(np.abs(b).max()) < 60
-
-
-def target_logs(w: list[np.ndarray], x: np.ndarray, y: np.ndarray, first: int, shift: bool) -> np.ndarray:
-    """Log-probabilities (natural) of classes ``y`` after the places of windows ``x`` from ``first`` on."""
-    e, p, wq, wk, wv, wo, u, b = w
-    h = e[x] + p
-    flat = h.reshape(-1, SIZE)
-    late = np.ascontiguousarray(h[:, first:]).reshape(-1, SIZE)
-    k, v = (flat @ wk).reshape(h.shape), (flat @ wv).reshape(h.shape)
-    q = (late @ (wq * np.float32(SIZE**-0.5))).reshape(len(x), -1, SIZE)
-    a = q @ k.transpose(0, 2, 1)
-    a += _MASK[first:]
-    if shift:
-        a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    total = a.sum(axis=2, keepdims=True)
-    av = a @ v
-    av /= total
-    z = (late + av.reshape(-1, SIZE) @ wo) @ u
-    z += b
-    if shift:
-        z -= z.max(axis=1, keepdims=True)
-    hit = z[np.arange(len(z)), y[:, first:].ravel()]
-    np.exp(z, out=z)
-    return (hit - np.log(z.sum(axis=1))).reshape(len(x), -1)
+def target_logs(w: list[np.ndarray], products: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
+    """Log-probabilities (natural) of classes ``y`` after the places of windows ``x`` from ``first`` on; ``products``: of ``joint``."""
+    turn, classes = products
+    h = placed(w, x)
+    late = attended(h, (h.reshape(-1, SIZE) @ turn).reshape(*x.shape, -1), first)[2]
+    late += h[:, first:].reshape(-1, SIZE)
+    late = beside_one(late)
+    z, total, shift = powers(classes, late)
+    hit = np.einsum("ij,ij->i", classes.take(y[:, first:].ravel(), axis=0), late)
+    return (hit - shift - np.log(total)).reshape(len(x), -1)
 
 
 def score_sequences(w: list[np.ndarray], lines: list[np.ndarray]) -> np.ndarray:
@@ -482,7 +526,7 @@ def score_sequences(w: list[np.ndarray], lines: list[np.ndarray]) -> np.ndarray:
     number = np.maximum(1, -(-(lengths - CONTEXT) // step))
     doc = np.repeat(np.arange(len(lines)), number)
     nth = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-    out, places, shift = np.zeros(len(lines)), np.arange(WIDTH), not bounded(w)
+    out, places, products = np.zeros(len(lines)), np.arange(WIDTH), joint(w)
     # A text's first window scores all its places; later ones those after their context.
     for which, first in ((np.flatnonzero(nth == 0), 0), (np.flatnonzero(nth > 0), CONTEXT)):
         for s in range(0, len(which), BATCH):
@@ -490,7 +534,7 @@ def score_sequences(w: list[np.ndarray], lines: list[np.ndarray]) -> np.ndarray:
             at = (begin[d] + n * step)[:, None] + places
             x, y = data[at], of[data[at + 1]]
             used = n[:, None] * step + places[first:] < lengths[d][:, None]
-            got = target_logs(w, x, y, first, shift)
+            got = target_logs(w, products, x, y, first)
             out += np.bincount(d, weights=(got * used).sum(axis=1, dtype=np.float64), minlength=len(lines))
     return out
 

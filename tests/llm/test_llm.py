@@ -6,12 +6,14 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -518,6 +520,71 @@ def plain_chain(w, line):
     return total
 
 
+def plain_logs(w, x):
+    """Log-probabilities of the classes after each place of each window, place by place, in double precision."""
+    e, p, wq, wk, wv, wo, u, b = (m.astype(np.float64) for m in w)
+    out = np.zeros((*x.shape, len(b)))
+    for n, row in enumerate(x):
+        h = e[row] + p
+        for i in range(len(row)):
+            a = (h[: i + 1] @ wk) @ (h[i] @ wq) / lm.SIZE**0.5
+            a = np.exp(a - a.max())
+            z = (h[i] + (a / a.sum()) @ (h[: i + 1] @ wv) @ wo) @ u + b
+            out[n, i] = z - z.max() - np.log(np.exp(z - z.max()).sum())
+    return out
+
+
+@pytest.mark.parametrize("wide", [1, 40, 4000])
+def test_attention_equals_a_plain_loop_however_far_its_numbers_are(wide):
+    rng = np.random.default_rng(3)
+    w = lm.start_parameters(np.ones(50_257, dtype=np.int64), 5)
+    w = [m * np.float32(wide**0.5) if i in (2, 3) else m * np.float32(wide) if i == 6 else m for i, m in enumerate(w)]
+    codes = lm.CLASSES + lm.KNOWN
+    x, y = rng.integers(0, codes, (4, lm.WIDTH)), rng.integers(0, lm.CLASSES, (4, lm.WIDTH))
+    want = plain_logs(w, x)
+    assert np.allclose(lm.forward(w, x)[0].reshape(want.shape), want, rtol=1e-3, atol=1e-4 * wide)
+    for first in (0, lm.CONTEXT):
+        own = np.take_along_axis(want, y[:, :, None], axis=2)[:, first:, 0]
+        assert np.allclose(lm.target_logs(w, lm.joint(w), x, y, first), own, rtol=1e-3, atol=1e-4 * wide)
+    doubles = [m.astype(np.float64) for m in w]
+    used, least = np.ones(x.shape, dtype=bool), 1e-6
+    g, i = lm.gradients(doubles, x, y, used), (3, 5)
+    loss = lambda: -np.take_along_axis(plain_logs(doubles, x), y[:, :, None], axis=2).mean()
+    for k in (2, 3, 4, 5, 6):
+        old, doubles[k][i] = doubles[k][i], doubles[k][i] + least
+        up, doubles[k][i] = loss(), old - least
+        down, doubles[k][i] = loss(), old
+        assert math.isclose((up - down) / (2 * least), g[k][i], rel_tol=1e-2, abs_tol=1e-4 * wide)
+
+
+def test_training_costs_little_beside_its_exponentials():
+    rng = np.random.default_rng(4)
+    w = lm.start_parameters(np.ones(50_257, dtype=np.int64), 5)
+    windows = np.minimum(rng.zipf(1.3, (20 * lm.BATCH, lm.WIDTH + 1)), lm.CLASSES + lm.KNOWN - 1).astype("<u2")
+    steps = max(lm.LEAST_STEPS, len(windows) // lm.BATCH)
+    steps = -(-steps // (len(windows) // lm.BATCH)) * (len(windows) // lm.BATCH)
+    numbers = rng.normal(size=lm.BATCH * lm.WIDTH * (lm.WIDTH + lm.CLASSES)).astype(np.float32)
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.thread_time()
+            f()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    powers = least(lambda: [np.exp(numbers, out=np.empty_like(numbers)) for _ in range(steps)])
+    assert least(lambda: lm.train(w, windows, 0)) < 6 * powers  # 8 and more when each factor was multiplied alone
+
+
+def test_words_are_split_as_bytes_are():
+    for texts in (["", "  ", " a  b ", None, "A\x0bB\x0cc\x1cd\x1de\x85f\xa0g\u2003h\x00i\x1fj\r\nK\t\u00c9", "b B"], ["", " "], [None], ["x"], []):
+        distinct, at, lengths = lm.split_words(pa.array(texts, pa.string()))
+        want = [(t or "").encode().lower().split() for t in texts]
+        assert [distinct[int(i)].as_py() for i in at] == [w for t in want for w in t]
+        assert lengths.tolist() == [len(t) for t in want] and len(distinct) == len({w for t in want for w in t})
+
+
 def test_words_are_spelt_together_as_alone():
     speller = lm.Speller(RANKS, public_tokenizers.PATTERN)
     odd = ["a\u00a0b", "\u00a0", "\u3000x", "x\u2003"]
