@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import materialize, sliced
+from citeloom.llm.common import _let_go, keep_for_stage, materialize, sliced
 
 TOP = 1 << 16  # most frequent words, sent to the tasks
 ALONE, BINS = 55, 8  # frequent heads with a class of their own; bins of rank
@@ -173,6 +173,9 @@ def bytes_of(words: pa.Array) -> list[bytes]:
     return words.to_numpy(zero_copy_only=False).tolist()
 
 
+_READY: dict[int, _Words] = {}  # kept for a stage
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of all texts, which of them each word is, all texts laid end to end, and how many words each text has."""
     cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -302,20 +305,22 @@ def attended(h: np.ndarray, turned: np.ndarray, first: int = 0) -> tuple[np.ndar
     return a, share, mean
 
 
-def powers(classes: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """Exponentials of what the classes give for each place, a column a place, their sums, and what was taken from each column before."""
-    one, shift = np.ones(len(classes), dtype=classes.dtype), 0.0
+def powers(classes: np.ndarray, out: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of what the classes give for each place, a column a place, and their sums; what the class ``told`` of
+    each place gave. Where exponentials would be too far from 1, a column's largest is taken from it before."""
+    one, at = np.ones(len(classes), dtype=classes.dtype), (told, np.arange(len(out)))
     z = classes @ out.T
+    hit = z[at]
     with np.errstate(over="ignore", invalid="ignore"):
         np.exp(z, out=z)
         total = one @ z
     if not _plain(total):
         z = classes @ out.T
-        shift = z.max(axis=0)
-        z -= shift
+        z -= z.max(axis=0)
+        hit = z[at]
         np.exp(z, out=z)
         total = one @ z
-    return z, total, shift
+    return z, total, hit
 
 
 def placed(w: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -351,7 +356,7 @@ def gradients(w: list[np.ndarray], x: np.ndarray, y: np.ndarray, used: np.ndarra
     turned = (flat @ turn).reshape(*x.shape, -1)
     a, share, mean = attended(h, turned)
     out = beside_one(flat + mean)
-    d, total, _ = powers(classes, out)
+    d, total, _ = powers(classes, out, y.ravel())
     weight = (used.ravel() / max(1, used.sum())).astype(d.dtype)
     d *= weight / total
     d[y.ravel(), np.arange(d.shape[1])] -= weight
@@ -416,7 +421,7 @@ def cut_windows(line: np.ndarray) -> np.ndarray:
     number = -(-(len(line) - 1) // WIDTH)
     padded = np.full(number * WIDTH + 1, NOTHING, dtype="<u2")
     padded[: len(line)] = line
-    return np.lib.stride_tricks.sliding_window_view(padded, WIDTH + 1)[::WIDTH]
+    return np.concatenate([padded[:-1].reshape(number, WIDTH), padded[WIDTH::WIDTH, None]], axis=1)
 
 
 def coded(texts: DataFrame, known: dict[bytes, int], model: Subwords) -> DataFrame:
@@ -431,7 +436,13 @@ def coded(texts: DataFrame, known: dict[bytes, int], model: Subwords) -> DataFra
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = shared.value
-        own, closings = model.words(known), known.get(b"", 0)
+        closings = known.get(b"", 0)
+        _let_go()
+        if id(model) not in _READY:  # one object for the tasks of a worker, which what is kept holds on to
+            _READY.clear()
+            _READY[id(model)] = model.words(known)
+        keep_for_stage(_READY)
+        own = _READY[id(model)]
         for batch in sliced(batches, "body", 2 << 20):
             distinct, at, lengths = split_words(batch.column(batch.schema.get_field_index("body")))
             at, n = own.numbers(distinct)[at], len(lengths)
@@ -511,16 +522,15 @@ def target_logs(w: list[np.ndarray], products: tuple[np.ndarray, np.ndarray], x:
     h = placed(w, x)
     late = attended(h, (h.reshape(-1, SIZE) @ turn).reshape(*x.shape, -1), first)[2]
     late += h[:, first:].reshape(-1, SIZE)
-    late = beside_one(late)
-    z, total, shift = powers(classes, late)
-    hit = np.einsum("ij,ij->i", classes.take(y[:, first:].ravel(), axis=0), late)
-    return (hit - shift - np.log(total)).reshape(len(x), -1)
+    _, total, hit = powers(classes, beside_one(late), y[:, first:].ravel())
+    return (hit - np.log(total)).reshape(len(x), -1)
 
 
 def score_sequences(w: list[np.ndarray], lines: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of the classes of each sequence of codes (its first stands before the text)."""
     lengths = np.array([len(x) for x in lines]) - 1  # codes to score
     data = np.concatenate([*lines, np.zeros(WIDTH + 1, dtype=np.uint16)])
+    windows = np.lib.stride_tricks.sliding_window_view(data, WIDTH + 1)
     begin, of = np.cumsum([0] + [len(x) for x in lines])[:-1], classes_of_codes()
     step = WIDTH - CONTEXT
     number = np.maximum(1, -(-(lengths - CONTEXT) // step))
@@ -531,10 +541,9 @@ def score_sequences(w: list[np.ndarray], lines: list[np.ndarray]) -> np.ndarray:
     for which, first in ((np.flatnonzero(nth == 0), 0), (np.flatnonzero(nth > 0), CONTEXT)):
         for s in range(0, len(which), BATCH):
             d, n = doc[which[s : s + BATCH]], nth[which[s : s + BATCH]]
-            at = (begin[d] + n * step)[:, None] + places
-            x, y = data[at], of[data[at + 1]]
+            rows = windows[begin[d] + n * step]
             used = n[:, None] * step + places[first:] < lengths[d][:, None]
-            got = target_logs(w, products, x, y, first)
+            got = target_logs(w, products, rows[:, :-1], of[rows[:, 1:]], first)
             out += np.bincount(d, weights=(got * used).sum(axis=1, dtype=np.float64), minlength=len(lines))
     return out
 
@@ -573,7 +582,7 @@ def score(docs: DataFrame, path: str, pattern: str, usable: Column, id_col: str
     whole = texts.select("id", "row", "n_tokens", "n_known", "base", "score", "line")
     whole = whole.mapInArrow(each, f"id {id_type}, row long, n_tokens long, n_known long, base double, score double").withColumn("one", F.lit(1))
     c = F.coalesce("c", F.lit(0))
-    rare = texts.select("id", "row", F.explode("rare").alias("r")).select("id", "row", "r.*").join(counts, "word", "left").select(
+    rare = texts.select("id", "row", F.explode("rare").alias("r")).select("id", "row", "r.*").join(counts.hint("shuffle_hash"), "word", "left").select(
         "id",
         "row",
         F.lit(0).cast("long").alias("n_tokens"),
