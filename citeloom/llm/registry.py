@@ -74,9 +74,9 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What strings of 400 bytes that occur again leave of every text of ``documents``."""
+    """What strings of 400 bytes that occur again leave of every text of ``documents``, and what repeated strings of 50 words cover there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = suffix.strip(docs, 400)
+    found = suffix.strip(docs, 400, words=50, apart=True)
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return found.select(
         "doc_id",
@@ -84,6 +84,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_passage_bytes"),
     )
 
 

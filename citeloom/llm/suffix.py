@@ -525,15 +525,18 @@ def _merged(pairs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def strip(docs: DataFrame, length: int = 400, text_col: str = "text", whole_characters: bool = False, words: int = 0) -> DataFrame:
+def strip(docs: DataFrame, length: int = 400, text_col: str = "text", whole_characters: bool = False, words: int = 0, apart: bool = False) -> DataFrame:
     """``docs`` with ``spans`` (start and end bytes of what repeats) and ``kept`` (the bytes left).
 
     With ``whole_characters`` spans are narrowed to whole UTF-8 characters. With
     ``words`` what repeated strings of so many words (32 or more) cover is added, from the first
-    byte of a first word to the end of a last one. Columns of these names that
-    ``docs`` had are replaced.
+    byte of a first word to the end of a last one; with ``apart`` it is not cut, but
+    told in ``passages`` (start and end bytes). Columns of these names that ``docs``
+    had are replaced.
     """
-    docs = docs.drop("spans", "kept")
+    apart = apart and words > 0
+    more = ["passages"] if apart else []
+    docs = docs.drop("spans", "kept", *more)
     columns, body = docs.columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     numbered = materialize(_numbered(docs.withColumn("__body", body)))
     texts = numbered.withColumn("__body", body)
@@ -551,19 +554,24 @@ def strip(docs: DataFrame, length: int = 400, text_col: str = "text", whole_char
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         told = _Told(("__at", "__runs", "__word_at", "__word_runs") if words else ("__at", "__runs"))
         for batch, _ in told.texts(batches):
-            spans, kept = [], []
+            spans, kept, passages = [], [], []
             for text, off in zip(column_bytes(batch, "__body"), _cells(batch, "__off")):
                 pairs = spans_of(told, "__at", "__runs", off, len(text), length)
                 if whole_characters:
                     _whole(text, pairs)
-                if words and len(found := spans_of(told, "__word_at", "__word_runs", off, len(text), words)):
+                of_words = spans_of(told, "__word_at", "__word_runs", off, len(text), words) if words else []
+                if of_words:
                     _, first, end, at, _ = _words([text])
-                    pairs = _merged(pairs + [[int(first[s] - at[0]), int(end[e - 1] - at[0])] for s, e in found])
+                    of_words = [[int(first[s] - at[0]), int(end[e - 1] - at[0])] for s, e in of_words]
+                    pairs = pairs if apart else _merged(pairs + of_words)
+                passages.append([{"start": s, "end": e} for s, e in of_words])
                 spans.append([{"start": s, "end": e} for s, e in pairs])
                 ends = [0] + [e for _, e in pairs]
                 kept.append(b"".join(text[a:b] for a, b in zip(ends, [s for s, _ in pairs] + [len(text)])))
             own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*columns, "spans", "kept"])
+            told_apart = [pa.array(passages, kind)] if apart else []
+            yield pa.RecordBatch.from_arrays([*own, pa.array(spans, kind), pa.array(kept, pa.binary()), *told_apart], names=[*columns, "spans", "kept", *more])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _beside(texts, found, each, f"{schema}, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    schema += ", spans array<struct<start:bigint,end:bigint>>, kept binary" + ", passages array<struct<start:bigint,end:bigint>>" * apart
+    return _beside(texts, found, each, schema)

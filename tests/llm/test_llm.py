@@ -741,6 +741,24 @@ def test_repeated_words_against_brute_force(spark):
     assert suffix.strip(frame(spark, []), 400, words=50).count() == 0
 
 
+def test_passages_of_over_50_words_are_told_beside_strings_of_400_bytes(spark, monkeypatch):
+    rng = random.Random(12)
+    short, long, once = words(rng, 51), words(rng, 120), [words(rng, 40) for _ in range(6)]
+    assert len(short) < 400 < len(long)
+    texts = [f"{once[0]} {short}", f"{short}\n{once[1]}", once[2], f"{once[3]} {short[: len(short) // 2]}", f"{once[4]} {long} é", f"é {long} {short} {once[5]}", None, ""]
+    monkeypatch.setattr(registry, "table", lambda *_: frame(spark, texts))
+    got = {r["doc_id"]: r for r in registry.op10_suffix_dedup(spark, "").collect()}
+    passages = [(1, len(short))] * 2 + [(0, 0)] * 2 + [(1, len(long)), (1, len(long) + 1 + len(short))] + [(0, 0)] * 2
+    assert [(got[i]["n_passages"], got[i]["n_passage_bytes"]) for i in range(8)] == passages
+    alone = {r["doc_id"]: r for r in suffix.strip(frame(spark, texts), 400).collect()}
+    for i, t in enumerate(texts):  # the contract's columns count strings of 400 bytes alone
+        n = len((t or "").encode())
+        assert list(got[i])[:5] == [i, n, n - len(alone[i]["kept"]), len(alone[i]["spans"]), hashlib.sha256(alone[i]["kept"]).hexdigest()]
+    assert got[0]["n_removed"] == 0 < got[4]["n_removed"]
+    empty = suffix.strip(frame(spark, []).withColumn("passages", F.lit(1)), 400, words=50, apart=True)
+    assert empty.columns[-3:] == ["spans", "kept", "passages"] and empty.count() == 0
+
+
 def test_pipeline_cuts_passages_of_over_50_words(spark):
     import corpus_pipeline
 
