@@ -13,6 +13,9 @@ Words of more than ``LONG`` code points travel as their digests, and the words
 themselves are only fetched for the pairs found, so that a neighbourhood takes
 eight bytes an edit and a digest whatever a word's length is.
 
+Every join is merged: Spark would size a neighbourhood by the words' files and
+send hundreds of times as much through the driver.
+
 Defined results: a null text has no words; a null id is written as the empty
 string; texts of any length are read whole; ties go to the smaller word in
 code-point order; repeated rows count again; an empty table gives an empty result.
@@ -154,7 +157,7 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS, long: int = LONG) -> Da
     def joined(left: DataFrame, right: DataFrame, name) -> DataFrame:
         asked = _keyed(left, letters, symbols, True).select(name.alias("ref"), F.explode("keys").alias("key"))
         known = _keyed(right, letters, symbols, False).select(name.alias("near_ref"), F.col("n").alias("near_n"), F.col("keys")[0].alias("key"))
-        return asked.join(known, "key").filter("ref != near_ref").drop("key")
+        return asked.join(known.hint("merge"), "key").filter("ref != near_ref").drop("key")
 
     short = joined(sized.filter(F.col("size") <= long), sized.filter(F.col("size") <= long + 1), F.col("word"))
     short = short.toDF("word", "near", "near_n").filter(one_edit)
@@ -162,7 +165,7 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS, long: int = LONG) -> Da
     large = sized.filter(F.col("size") >= long)
     pairs = joined(sized.filter(F.col("size") > long), large, digest)
     spelt = large.select(digest.alias("ref"), "word")
-    pairs = pairs.join(spelt, "ref").join(spelt.toDF("near_ref", "near"), "near_ref")
+    pairs = pairs.join(spelt.hint("merge"), "ref").join(spelt.toDF("near_ref", "near").hint("merge"), "near_ref")
     return short.unionByName(pairs.select("word", "near", "near_n").filter(one_edit))
 
 
@@ -171,7 +174,7 @@ def roots(forms: DataFrame) -> DataFrame:
     done, step = forms.select("word", F.col("form").alias("root")), None
     while True:
         step = done.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        next_ = materialize(done.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        next_ = materialize(done.join(step.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         done, moved = next_.drop("moved"), next_.filter("moved")
         if moved.isEmpty():
             return done
@@ -187,10 +190,10 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near")))
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     strong = -F.col("best")["less"] >= ratio * F.col("n")
-    found = words.join(near, "word", "left").select(
+    found = words.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(strong, F.col("best")["near"]).alias("form"), F.when(strong, -F.col("best")["less"]).alias("form_n"),
     )
     found = materialize(found)
     ends = roots(found.filter("form is not null").select("word", "form"))
-    return found.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

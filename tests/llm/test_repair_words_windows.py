@@ -189,6 +189,17 @@ def test_variants_equal_brute_force(spark):
     assert spelling.group(frame.limit(0)).count() == 0
 
 
+def test_variants_broadcast_nothing(spark, monkeypatch):
+    """Spark sizes a neighbourhood by the words' files, so a join that may be broadcast sends it through the driver."""
+    plans, kept = [], spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda frame: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or kept(frame))
+    docs = [(i, " ".join(["zebras", "zebra", "z" * 50, "z" * 49] * 5 + ["zebrass"] * 200)) for i in range(9)]
+    found = spelling.group(spark.createDataFrame(docs, "doc_id long, text string"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert grouped(found)["zebras"][0] == "zebrass" and sum("Join" in p for p in plans) >= 3
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_neighbourhood_is_whole_and_each_once():
     import numpy as np
 
