@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.config import SETTINGS
@@ -134,31 +134,170 @@ def neighbours(decisions: DataFrame, floor: float = SETTINGS.supersede_floor, bl
     )
 
 
-def supersede(decisions: DataFrame, floor: float = SETTINGS.supersede_floor) -> DataFrame:
+def _packed(decisions: DataFrame, block: int) -> DataFrame:
+    """Decisions of each repository in order of processing, in packs of at most ``block``: ids, decided, the matrix, and ``nth`` of how many packs.
+
+    A large repository is dealt over many tasks. A decision that comes again with the same place is taken once.
+    """
+    able = decisions.filter("source_type <> 'doc' and vector is not null and repo_id is not null").select("repo_id", "ord", "id", "decided_at", F.col("vector").cast("array<double>").alias("vector"))
+    dealt = able.repartitionByRange("repo_id", "ord", "id").sortWithinPartitions("repo_id", "ord", "id")
+    repo, key, when = (able.schema[c].dataType.simpleString() for c in ("repo_id", "id", "decided_at"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last, seq, kinds = None, 0, None
+
+        def emit() -> pa.RecordBatch:
+            matrix = np.array([r[3] for r in held], dtype=np.float64)
+            made = [pa.array([held[0][0]], kinds["repo_id"]), pa.array([seq], pa.int64()), pa.array([[r[1] for r in held]], pa.list_(kinds["id"])), pa.array([[r[2] for r in held]], pa.list_(kinds["decided_at"]))]
+            return pa.RecordBatch.from_arrays([*made, pa.array([matrix.tobytes()], pa.binary())], names=["repo_id", "seq", "ids", "decided", "matrix"])
+
+        for batch in batches:
+            kinds = kinds or {f.name: f.type for f in batch.schema}
+            for repo_id, ord_, id_, decided, vector in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "ord", "id", "decided_at", "vector"))):
+                if (repo_id, ord_, id_) == last:
+                    continue
+                if held and (held[0][0] != repo_id or len(held) >= block):
+                    yield emit()
+                    held, seq = [], seq + 1
+                last = (repo_id, ord_, id_)
+                held.append((repo_id, id_, decided, vector))
+        if held:
+            yield emit()
+
+    packs = dealt.mapInArrow(each, f"repo_id {repo}, seq long, ids array<{key}>, decided array<{when}>, matrix binary")
+    return packs.withColumn("part", F.spark_partition_id())
+
+
+def _codes(*lists: list) -> list[np.ndarray]:
+    """Values as numbers in their order, -1 for null."""
+    code = {v: k for k, v in enumerate(sorted({v for values in lists for v in values if v is not None}))}
+    return [np.array([-1 if v is None else code[v] for v in values], dtype=np.int64) for values in lists]
+
+
+def _edges(met: DataFrame, floor: float) -> DataFrame:
+    """Of each pack and some active decisions, or itself: the similar pairs, as arrays side by side."""
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                ids, others, decided, other_decided, places, x, y = (row.column(c)[0].as_py() for c in ("ids", "other_ids", "decided", "other_decided", "places", "matrix", "other_matrix"))
+                left, right = np.frombuffer(x).reshape(len(ids), -1), np.frombuffer(y).reshape(len(others), -1)
+                scores = np.round(left @ right.T, 6)
+                good = scores >= floor
+                if places is None:  # the pack itself: only what comes before
+                    good = np.tril(good, -1)
+                i, j = np.nonzero(good)
+                met_, j = np.unique(j, return_inverse=True)
+                mine, theirs = _codes(decided, other_decided)
+                newer = np.where((mine[i] < 0) | (theirs[met_][j] < 0), -1, mine[i] > theirs[met_][j]).astype(np.int8)
+                at = met_ if places is None else np.frombuffer(places, dtype=np.int64)[met_]
+                made = [pa.array([v.tobytes()], pa.binary()) for v in (i.astype(np.int32), j.astype(np.int32), scores[good], newer, at.astype(np.int64))]
+                names = pa.array([[others[m] for m in met_.tolist()]], row.schema.field("other_ids").type)
+                mine = row.column("ids") if places is None else pa.array([None], names.type)
+                yield pa.RecordBatch.from_arrays([row.column("repo_id"), pa.array([places is None]), mine, names, *made], names=["repo_id", "own", "ids", "other_ids", "i", "j", "scores", "newer", "places"])
+
+    return met.mapInArrow(each, f"repo_id {kinds['repo_id']}, own boolean, ids {kinds['ids']}, other_ids {kinds['ids']}, i binary, j binary, scores binary, newer binary, places binary")
+
+
+def _folded(edges: DataFrame) -> DataFrame:
+    """(repo_id, id, by) of one pack of each repository, decided in order: each is linked with its nearest neighbour that is then active."""
+    repo, key = edges.schema["repo_id"].dataType.simpleString(), edges.schema["ids"].dataType.elementType.simpleString()
+
+    def each(table: pa.Table) -> pa.Table:
+        repo_type, id_type = table.schema.field("repo_id").type, table.schema.field("ids").type.value_type
+        ids, names, parts, met = [], [], [], 0
+        for own, mine, others, *arrays in zip(*(table.column(c).to_pylist() for c in ("own", "ids", "other_ids", "i", "j", "scores", "newer", "places"))):
+            i, j, scores, newer, places = (np.frombuffer(a, dtype=t) for a, t in zip(arrays, (np.int32, np.int32, np.float64, np.int8, np.int64)))
+            # Others of the pack itself are told by their position, earlier ones by where they stand behind it.
+            parts.append((i, places[j] if own else -1 - met - j, scores, newer, places[j] + (1 << 60) * own))
+            if own:
+                ids = mine
+            else:
+                names += others
+                met += len(others)
+        i, ref, scores, newer, places = (np.concatenate(c) for c in zip(*parts))
+        ref = np.where(ref < 0, len(ids) - 1 - ref, ref)
+        order = np.lexsort((places, -scores, i))
+        i, ref, newer = i[order], ref[order], newer[order]
+        starts = np.searchsorted(i, np.arange(len(ids) + 1))
+        active = np.ones(len(ids) + met, dtype=bool)
+        every, links = ids + names, []
+        for k in range(len(ids)):
+            near = ref[starts[k] : starts[k + 1]]
+            open_ = active[near]
+            if not len(near) or not open_[first := int(open_.argmax())] or newer[starts[k] + first] < 0:
+                continue
+            other = int(near[first])
+            gone, by = (other, k) if newer[starts[k] + first] else (k, other)
+            active[gone] = False
+            links.append((every[gone], every[by]))
+        owner = [table.column("repo_id")[0].as_py()] * len(links)
+        return pa.table([pa.array(owner, repo_type), pa.array([x for x, _ in links], id_type), pa.array([y for _, y in links], id_type)], names=["repo_id", "id", "by"])
+
+    return edges.groupBy("repo_id").applyInArrow(each, f"repo_id {repo}, id {key}, by {key}")
+
+
+def _still(parts: DataFrame, linked: DataFrame, begin: int) -> DataFrame:
+    """Parts of the active decisions without those that a round made inactive; a pack of that round is placed from ``begin``."""
+    gone = linked.groupBy("repo_id").agg(F.collect_list("id").alias("gone"))  # at most a link for each decision of a pack
+    met, names = parts.join(gone.hint("merge"), "repo_id", "left"), parts.columns
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                ids, decided, matrix, places, gone = (row.column(c)[0].as_py() for c in ("other_ids", "other_decided", "other_matrix", "places", "gone"))
+                out = set(gone or ())
+                at = np.array([x for x, id_ in enumerate(ids) if id_ not in out], dtype=np.int64)
+                if not len(at):
+                    continue
+                where = begin + at if places is None else np.frombuffer(places, dtype=np.int64)[at]
+                left = [pa.array([[values[x] for x in at.tolist()]], row.schema.field(c).type) for c, values in (("other_ids", ids), ("other_decided", decided))]
+                kept = [np.frombuffer(matrix).reshape(len(ids), -1)[at].tobytes(), where.tobytes()]
+                yield pa.RecordBatch.from_arrays([row.column("repo_id"), row.column("last"), *left, *(pa.array([v], pa.binary()) for v in kept)], names=names)
+
+    return met.mapInArrow(each, parts.schema)
+
+
+def supersede(decisions: DataFrame, floor: float = SETTINGS.supersede_floor, block: int = 2048) -> DataFrame:
     """Link each decision, in order of processing within its repository, to its nearest neighbour that is still active.
 
     Expects what ``neighbours`` expects. An earlier link changes who is active,
-    so a decision is settled once its earlier neighbours are, and it is the first
-    that is not settled among the later neighbours of each. All that are ready
-    settle in one round, over all repositories; rounds are written to the shared
-    folder, and there are as many as decisions that wait for each other in a row.
+    so each repository is gone through in packs of ``block`` decisions, a pack of
+    every repository a round: the pack is multiplied with those still active, a
+    part of them in some task, and the pairs that reach ``floor`` are folded. A
+    link makes one of two inactive, so few stay active where many are alike.
+    Rounds are written to the shared folder; there are about as many as the
+    largest repository has packs.
     """
-    edges = keep(neighbours(decisions, floor))
-    waiting = edges.select("id").distinct().withColumn("settled", F.lit(False))
-    nodes = edges.select("id").unionByName(edges.select(F.col("other").alias("id"))).distinct()
-    none = F.lit(None).cast(decisions.schema["id"].dataType)
-    state = keep(nodes.join(waiting, "id", "left").select("id", F.coalesce("settled", F.lit(True)).alias("settled"), none.alias("by")))
-    while not (left := state.filter("not settled")).isEmpty():
-        open_ = edges.join(left.select("id"), "id", "left_semi")
-        first = open_.groupBy("other").agg(F.min("place").alias("first"))
-        there = state.select(F.col("id").alias("other"), F.col("settled").alias("other_settled"), F.col("by").isNull().alias("active"))
-        seen = open_.join(there, "other").join(first, "other")
-        pick = F.min(F.when(F.col("active"), F.struct((-F.col("score")).alias("less"), "other_place", "newer")))
-        ready = seen.groupBy("id").agg(F.bool_and(F.col("other_settled") & (F.col("first") == F.col("place"))).alias("ready"), pick.alias("pick")).filter("ready")
-        own = ready.select("id", F.lit(True).alias("now"), F.when(~F.col("pick.newer"), F.col("pick.other_place.id")).alias("gives_way"))
-        others = ready.filter("pick.newer").select(F.col("pick.other_place.id").alias("id"), F.col("id").alias("taken"))
-        state = keep(state.join(own, "id", "left").join(others, "id", "left").select("id", (F.col("settled") | F.coalesce("now", F.lit(False))).alias("settled"), F.coalesce("by", "gives_way", "taken").alias("by")))
-    return decisions.select("repo_id", "id").join(state.select("id", F.col("by").alias("superseded_by")), "id", "left").select("repo_id", "id", "superseded_by")
+    spark = decisions.sparkSession
+    place = f"{shared_dir(spark)}/supersede-{uuid.uuid4().hex}"
+    cut = keep(_packed(decisions, block))
+    own = Window.partitionBy("repo_id")
+    slim = cut.select("repo_id", "part", "seq").withColumns({"nth": F.row_number().over(own.orderBy("part", "seq")), "last": F.count("*").over(own)})
+    cut.join(slim.hint("merge"), ["repo_id", "part", "seq"]).select("repo_id", "last", "ids", "decided", "matrix", "nth").write.partitionBy("nth").parquet(f"{place}/packs")
+    kind = {f.name: f.dataType.simpleString() for f in cut.schema}
+    said = ", ".join(f"{c} {kind[c]}" for c in ("ids", "decided", "matrix"))
+    packs = spark.read.schema(f"repo_id {kind['repo_id']}, last long, {said}, nth int").parquet(f"{place}/packs")
+    links = spark.createDataFrame([], f"repo_id {kind['repo_id']}, id {decisions.schema['id'].dataType.simpleString()}, by {decisions.schema['id'].dataType.simpleString()}")
+    active, rounds = None, slim.agg(F.max("nth")).first()[0] or 0
+    for k in range(1, rounds + 1):
+        pack = packs.filter(F.col("nth") == k).drop("nth")
+        itself = pack.select("repo_id", "last", F.col("ids").alias("other_ids"), F.col("decided").alias("other_decided"), F.col("matrix").alias("other_matrix"), F.lit(None).cast("binary").alias("places"))
+        met = pack.select("*", *(F.col(c).alias(f"other_{c}") for c in ("ids", "decided", "matrix")), F.lit(None).cast("binary").alias("places"))
+        if active is not None:
+            met = met.unionByName(pack.join(active.drop("last").hint("merge"), "repo_id"))
+        _folded(_edges(met, floor)).write.parquet(f"{place}/links/round={k}")
+        if k < rounds:
+            linked = spark.read.schema(links.schema).parquet(f"{place}/links/round={k}")
+            parts = itself if active is None else itself.unionByName(active)
+            active = keep(_still(parts.filter(F.col("last") > k), linked, (k - 1) * block))
+    if rounds:
+        links = spark.read.schema(links.schema).parquet(f"{place}/links").drop("round")
+    return decisions.select("repo_id", "id").join(links.withColumnRenamed("by", "superseded_by"), ["repo_id", "id"], "left")
 
 
 def supersede_once(decisions: DataFrame, floor: float) -> DataFrame:

@@ -224,6 +224,23 @@ def test_supersession_in_rounds_equals_the_fold(spark, block, monkeypatch):
     assert decisions.supersede(frame.limit(0), 0.9).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 16])
+def test_supersession_in_packs_takes_few_rounds(spark, block):
+    import random
+
+    rng = random.Random(block)
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    rows = [(i % 2, i, rng.randint(0, 30), rng.randint(0, 9), rng.choice(["pr", "pr", "commit", "doc"]), unit([rng.gauss(0, 1) for _ in range(6)])) for i in range(60)]
+    rows += [(7, 300 + i, i, 5 * i % 7, "pr", [1.0] + [0.0] * 5) for i in range(40)] + [(8, 500, 1, 1, "pr", [0.6, 0.8] + [0.0] * 4)]
+    frame = spark.createDataFrame(rows, "repo_id long, id long, ord long, decided_at long, source_type string, vector array<double>")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"supersede-{block}", "")
+    got = {r["id"]: r["superseded_by"] for r in decisions.supersede(frame.unionByName(frame.limit(5)), 0.6, block).collect()}
+    spark.sparkContext.setJobGroup("", "")
+    assert got == folded(rows, 0.6)
+    assert len(tracker.getJobIdsForGroup(f"supersede-{block}")) < (200 if block == 3 else 60)  # 40 alike wait for each other in a row
+
+
 def test_supersession_of_the_whole_table(spark):
     from citeloom.plans import catalog, history
 
