@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ ITEM = "struct<topic:string,summary:string,alternativesConsidered:array<string>,
 
 _FENCE = re.compile(r"^```(?:json)?\s*(.*?)```$", re.I | re.S)
 _PART = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[\]{}]', re.S)
+_JSON = json.JSONDecoder()
 
 
 def balanced(raw: str) -> str:
@@ -32,6 +34,10 @@ def balanced(raw: str) -> str:
     begin = re.search(r"[\[{]", text)
     if not begin:
         return text
+    try:  # sound JSON ends where its brackets do
+        return text[begin.start() : _JSON.raw_decode(text, begin.start())[1]]
+    except (ValueError, RecursionError):
+        pass
     opens, depth = begin[0], 0
     closes = "}" if opens == "{" else "]"
     for part in _PART.finditer(text, begin.start()):
@@ -55,11 +61,12 @@ def parsed(outputs: DataFrame, column: str = "raw") -> DataFrame:
     """Adds ``decisions`` (list of records, missing lists empty) and ``valid``: null and false for bad output."""
     outputs = outputs.withColumn("__json", first_json(F.col(column)))
     text = F.col("__json")
-    wrapped = F.from_json(text, f"struct<decisions:array<{ITEM}>>")["decisions"]
+    is_list, is_object = F.startswith(text, F.lit("[")), F.startswith(text, F.lit("{"))  # other texts are not read
+    outputs = outputs.withColumn("__wrapped", F.when(is_object, F.from_json(text, f"struct<decisions:array<{ITEM}>>")["decisions"]))
+    wrapped = F.col("__wrapped")
     listed = F.from_json(text, f"array<{ITEM}>")
     single = F.from_json(text, ITEM)
-    is_list = F.startswith(text, F.lit("["))
-    found = F.when(is_list, listed).when(wrapped.isNotNull(), wrapped).when(single["topic"].isNotNull() & single["summary"].isNotNull(), F.array(single))
+    found = F.when(is_list, listed).when(wrapped.isNotNull(), wrapped).when(is_object & single["topic"].isNotNull() & single["summary"].isNotNull(), F.array(single))
     number = lambda d: d["confidence"].try_cast("double")
     empty = F.array().cast("array<string>")
     clean = F.transform(found, lambda d: F.struct(
@@ -69,7 +76,7 @@ def parsed(outputs: DataFrame, column: str = "raw") -> DataFrame:
     sound = lambda d: F.coalesce(
         F.length(d["topic"]).between(1, SETTINGS.topic_chars) & (F.length(d["summary"]) >= 1) & d["confidence"].between(0.0, 1.0), F.lit(False)
     )
-    return outputs.withColumn("decisions", clean).withColumn("valid", F.coalesce(F.forall("decisions", sound), F.lit(False))).drop("__json")
+    return outputs.withColumn("decisions", clean).withColumn("valid", F.coalesce(F.forall("decisions", sound), F.lit(False))).drop("__json", "__wrapped")
 
 
 def gated(decisions: DataFrame, least: float = SETTINGS.min_confidence) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import text
-from citeloom.operators import index, providers, ranking, retrieval
+from citeloom.operators import decisions, index, providers, ranking, retrieval
 from citeloom.sources import vectors
 
 WORDS = ["alpha", "betaGamma", "get_user", "HTTPServer", "x1", "delta", "7", "eta", "theta", "iota", "kappa", "lambda_x"]
@@ -188,6 +188,53 @@ def test_fail_over_in_order():
     assert providers.Gateway((first, second), open_for={"a": 10}).ask("s", "u")[1].id == "b"
 
 
+def test_answers_are_those_of_asking_one_by_one():
+    import threading
+
+    threads = []
+
+    def first(n):
+        threads.append(threading.get_ident())
+        if n % 3 == 0:
+            raise providers.Refused(500)
+        if n in (4, 11):
+            time.sleep(1.5)
+        return f"a{n}"
+
+    def second(n):
+        if n == 6:
+            raise providers.Refused(400, "no")
+        return f"b{n}"
+
+    gate = providers.Gateway((providers.Provider("a", "m", first, 0), providers.Provider("b", "m", second, 1)), seconds=0.3)
+    found = gate.answers([(n,) for n in range(300)])
+    want = [f"b{n}" if n % 3 == 0 or n in (4, 11) else f"a{n}" for n in range(300)]
+    assert [None if isinstance(f, Exception) else f[0] for f in found] == [None if n == 6 else w for n, w in enumerate(want)]
+    assert str(found[6]) == "no" and [u["error"] for u in gate.usage if "seconds" in (u["error"] or "")] == ["no answer in 0.3 seconds"] * 2
+    assert len(set(threads)) <= 3  # a late call keeps its thread, all others share one
+    assert gate.answers([]) == []
+
+    def ends(n):
+        raise SystemExit
+
+    with pytest.raises(SystemExit):
+        providers.Gateway((providers.Provider("a", "m", ends),)).answers([(1,)])
+
+
+def test_answers_are_parsed_and_judged_once(spark):
+    from citeloom.plans import catalog
+
+    plan = catalog.queries()["decide_extract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Python" not in plan and "InArrow" not in plan
+
+
+def test_sound_json_ends_where_its_brackets_do(monkeypatch):
+    texts = ['{"a": "]}"} tail }', 'so: [1, {"b": "\\"["}] x', "{broken", '{"a": [}]} y', '{"a": NaN} z', "[" * 30_000 + "]" * 30_000 + "]", '```json\n{"a": {}}\n```', "none", '{"a": "\n"} b', '[1} 2]', '{"a": ' + "9" * 6000 + "} c"]
+    quick = [decisions.balanced(t) for t in texts]
+    monkeypatch.setattr(decisions._JSON, "raw_decode", lambda *_: float("no"))
+    assert quick == [decisions.balanced(t) for t in texts] and quick[0] == '{"a": "]}"}'
+
+
 def test_search_by_a_gateway_and_a_reranker_that_fails(spark):
     rows = spark.createDataFrame([(i, f"f{i}.ts", None, "alpha " * (i + 1) + "beta") for i in range(6)], "id long, file_path string, symbol string, content string")
     asked = spark.createDataFrame([(1, "alpha beta")], "query_id int, query string")
@@ -242,3 +289,14 @@ def test_suites_are_read_and_checked(spark, tmp_path):
 def test_one_channel_is_enough_where_asked(spark):
     fused = spark.createDataFrame([(1, 1, 0.5, 0.1, 1, 0), (1, 2, 0.3, 0.0, 0, 1), (1, 3, 0.2, 0.1, 1, 1)], "query_id int, id int, score double, evidence double, in_dense int, in_sparse int")
     assert [r["id"] for r in ranking.hybrid_cutoff(fused, 5, min_channels=1).orderBy("position").collect()] == [1, 2]
+
+
+def test_cues_of_a_contrast_in_one_pass(spark):
+    from citeloom.functions import policy
+
+    rng = random.Random(5)
+    parts = [" ", "\n", " ", "﻿", "vs", "vs.", "Versus", "chose", "over", "rather", "than", "instead of", "rejected", "é", "x", "_", "not using", "prefer", "preferred", "y" * 79, "."]
+    texts = [("".join(rng.choices(parts, k=rng.randint(0, 6))),) for _ in range(4000)] + [(None,)]
+    each = policy._any(text.trimmed(F.col("t")), policy.CONTRAST)
+    rows = spark.createDataFrame(texts, "t string").select("t", policy.has_contrast(F.col("t")).alias("got"), each.alias("want")).collect()
+    assert [r["t"] for r in rows if r["got"] != r["want"]] == [] and 500 < sum(bool(r["got"]) for r in rows) < 3500
