@@ -32,6 +32,7 @@ Embed = Callable[[list[str]], list]
 ENCODER = "bm25-identifiers-1"  # stamp of the sparse encoding
 EMBED_BATCH = 32
 BLOCK = 2048  # chunks of a block
+GROUP = 4  # blocks that a reader holds at once, whatever they compress to
 QUERIES = 1024  # queries that one reading of the blocks answers
 NEAR = 2e-6  # scores are rounded to six places later, so ties are kept this far apart
 
@@ -85,10 +86,15 @@ def embedded(texts: list[str], embed: Embed) -> list[np.ndarray]:
     return out
 
 
-def encode(chunks: DataFrame, embed: Embed = bag, content: str = "content") -> DataFrame:
-    """``id`` (and ``repo_id``) with ``vector``, and ``terms`` with their ``weights``, of every chunk."""
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _slim(chunks: DataFrame, content: str) -> tuple[DataFrame, list[str]]:
     scope = [c for c in ("repo_id",) if c in chunks.columns]
-    slim = chunks.select("id", *scope, F.coalesce(F.col(content).cast("string"), F.lit("")).alias("body"))
+    return chunks.select("id", *scope, F.coalesce(F.col(content).cast("string"), F.lit("")).alias("body")), scope
+
+
+def _encoding(scope: list[str], embed: Embed) -> Batches:
     k1, b, mean = SETTINGS.bm25_k1, SETTINGS.bm25_b, SETTINGS.bm25_avgdl
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,19 +109,25 @@ def encode(chunks: DataFrame, embed: Embed = bag, content: str = "content") -> D
             made = [pa.array(vectors, pa.list_(pa.float64())), pa.array(named, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", *scope)] + made, names=["id", *scope, "vector", "terms", "weights"])
 
-    kept = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in ("id", *scope))
-    return slim.mapInArrow(each, f"{kept}, vector array<double>, terms array<string>, weights array<double>")
+    return each
 
 
-def pack(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows of ``encode`` in blocks, where they lie: ids, the matrix, and postings by term."""
-    scope = [c for c in ("repo_id",) if c in points.columns]
+def encode(chunks: DataFrame, embed: Embed = bag, content: str = "content") -> DataFrame:
+    """``id`` (and ``repo_id``) with ``vector``, and ``terms`` with their ``weights``, of every chunk."""
+    slim, scope = _slim(chunks, content)
+    kept = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in ("id", *scope))
+    return slim.mapInArrow(_encoding(scope, embed), f"{kept}, vector array<double>, terms array<string>, weights array<double>")
+
 
+def _packing(scope: list[str], block: int) -> Batches:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, block):
                 batch = whole.slice(low, block)
-                matrix = np.array(batch.column("vector").to_pylist(), dtype=np.float64)  # vectors of one block have one length
+                lengths = np.diff(batch.column("vector").offsets.to_numpy())
+                if (lengths != lengths[0]).any():
+                    raise ValueError("vectors of one block have several lengths")
+                matrix = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 weights = batch.column("weights")
                 sizes = np.diff(weights.offsets.to_numpy())
                 owners = np.repeat(np.arange(batch.num_rows, dtype=np.int32), sizes)
@@ -136,18 +148,31 @@ def pack(points: DataFrame, block: int = BLOCK) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_pydict(row, pa.schema([(k, kinds[k]) for k in row]))
 
-    types = {c: points.schema[c].dataType.simpleString() for c in ("id", *scope)}
+    return each
+
+
+def _packed_schema(rows: DataFrame, scope: list[str]) -> str:
+    types = {c: rows.schema[c].dataType.simpleString() for c in ("id", *scope)}
     own = "".join(f", {c} array<{types[c]}>" for c in scope)
-    return points.mapInArrow(each, f"ids array<{types['id']}>{own}, width int, matrix binary, terms array<string>, counts array<int>, most array<double>, owners binary, weights binary")
+    return f"ids array<{types['id']}>{own}, width int, matrix binary, terms array<string>, counts array<int>, most array<double>, owners binary, weights binary"
+
+
+def pack(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of ``encode`` in blocks, where they lie: ids, the matrix, and postings by term."""
+    scope = [c for c in ("repo_id",) if c in points.columns]
+    return points.mapInArrow(_packing(scope, block), _packed_schema(points, scope))
 
 
 def build(chunks: DataFrame, embed: Embed = bag, content: str = "content") -> DataFrame:
     """The packed index of chunks, written once to the shared folder and read from there.
 
     Chunks are dealt by id first: one file may hold most of them, and reading and
-    embedding a text costs more than sending it.
+    embedding a text costs more than sending it. One worker a task encodes and
+    packs them, so vectors and terms do not travel between two.
     """
-    return keep(pack(encode(chunks.repartition("id"), embed, content)))
+    slim, scope = _slim(chunks.repartition("id"), content)
+    encoded, packed = _encoding(scope, embed), _packing(scope, BLOCK)
+    return keep(slim.mapInArrow(lambda batches: packed(encoded(batches)), _packed_schema(slim, scope)), GROUP)
 
 
 def _asked(index: DataFrame, queries: list, embed: Embed) -> list[dict]:

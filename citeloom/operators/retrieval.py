@@ -9,6 +9,7 @@ from citeloom.config import SETTINGS
 from citeloom.functions import policy, text
 from citeloom.operators import index as indexes
 from citeloom.operators import ranking
+from citeloom.session import keep
 
 
 def _scope(rows: DataFrame, queries: DataFrame) -> list[str]:
@@ -50,7 +51,7 @@ def hybrid(index: DataFrame, queries: DataFrame, prefetch: int, floor: float, li
     ``mode`` ``dense`` reads the vectors alone: their order and scores stand.
     """
     channels = ("dense",) if mode == "dense" else ("dense", "sparse")
-    found = indexes.nearest(index, queries, prefetch, floor, embed, channels).withColumn("score", F.round("score", 6))
+    found = keep(indexes.nearest(index, queries, prefetch, floor, embed, channels)).withColumn("score", F.round("score", 6))  # one reading for both channels
     dense = ranking.ranked(found.filter(F.col("channel") == "dense").filter(F.col("score") >= floor), "dense", prefetch)
     if mode == "dense":
         return dense.filter(F.col("rank") < limit).select("query_id", "id", "score", F.col("score").alias("evidence"), (F.col("rank") + 1).alias("position"))

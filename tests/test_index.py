@@ -300,3 +300,18 @@ def test_cues_of_a_contrast_in_one_pass(spark):
     each = policy._any(text.trimmed(F.col("t")), policy.CONTRAST)
     rows = spark.createDataFrame(texts, "t string").select("t", policy.has_contrast(F.col("t")).alias("got"), each.alias("want")).collect()
     assert [r["t"] for r in rows if r["got"] != r["want"]] == [] and 500 < sum(bool(r["got"]) for r in rows) < 3500
+
+
+def test_few_blocks_are_held_at_once(spark, monkeypatch):
+    """Blocks that compress well fill a row group many times over, and a reader holds the rows of one."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(index, "BLOCK", 3)
+    rows = spark.range(600).select("id", F.lit("alpha beta").alias("content"), F.lit("f.ts").alias("file_path"))
+    stored = index.build(rows)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in stored.inputFiles()]
+    assert sum(m.num_rows for m in files) >= 200 and max(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)) <= index.GROUP
+    asked = spark.createDataFrame([(1, "alpha")], "query_id int, query string")
+    found = retrieval.hybrid(stored, asked, 10, 0.1, 5)
+    assert [r["id"] for r in found.orderBy("position").collect()][:2] == [0, 1] and found.count() == 5
+    assert "InArrow" not in found._jdf.queryExecution().executedPlan().toString()  # the blocks were read once, for both channels
