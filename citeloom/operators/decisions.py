@@ -141,6 +141,9 @@ def neighbours(decisions: DataFrame, floor: float = SETTINGS.supersede_floor, bl
     )
 
 
+GROUP = 32  # packs that a reader holds at once, whatever they compress to
+
+
 def _packed(decisions: DataFrame, block: int) -> DataFrame:
     """Decisions of each repository in order of processing, in packs of at most ``block``: ids, decided, the matrix, and ``nth`` of how many packs.
 
@@ -282,10 +285,10 @@ def supersede(decisions: DataFrame, floor: float = SETTINGS.supersede_floor, blo
     """
     spark = decisions.sparkSession
     place = f"{shared_dir(spark)}/supersede-{uuid.uuid4().hex}"
-    cut = keep(_packed(decisions, block))
+    cut = keep(_packed(decisions, block), GROUP)
     own = Window.partitionBy("repo_id")
     slim = cut.select("repo_id", "part", "seq").withColumns({"nth": F.row_number().over(own.orderBy("part", "seq")), "last": F.count("*").over(own)})
-    cut.join(slim.hint("merge"), ["repo_id", "part", "seq"]).select("repo_id", "last", "ids", "decided", "matrix", "nth").write.partitionBy("nth").parquet(f"{place}/packs")
+    cut.join(slim.hint("merge"), ["repo_id", "part", "seq"]).select("repo_id", "last", "ids", "decided", "matrix", "nth").write.option("parquet.block.row.count.limit", GROUP).partitionBy("nth").parquet(f"{place}/packs")
     kind = {f.name: f.dataType.simpleString() for f in cut.schema}
     said = ", ".join(f"{c} {kind[c]}" for c in ("ids", "decided", "matrix"))
     packs = spark.read.schema(f"repo_id {kind['repo_id']}, last long, {said}, nth int").parquet(f"{place}/packs")
@@ -301,7 +304,7 @@ def supersede(decisions: DataFrame, floor: float = SETTINGS.supersede_floor, blo
         if k < rounds:
             linked = spark.read.schema(links.schema).parquet(f"{place}/links/round={k}")
             parts = itself if active is None else itself.unionByName(active)
-            active = keep(_still(parts.filter(F.col("last") > k), linked, (k - 1) * block))
+            active = keep(_still(parts.filter(F.col("last") > k), linked, (k - 1) * block), GROUP)
     if rounds:
         links = spark.read.schema(links.schema).parquet(f"{place}/links").drop("round")
     return decisions.select("repo_id", "id").join(links.withColumnRenamed("by", "superseded_by"), ["repo_id", "id"], "left")
